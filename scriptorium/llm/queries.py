@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import shard, token_output
+from . import neardup, shard, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 shard_seed = 20_240_601
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_token_output": op3_token_output, "op5_feistel_shards": op5_feistel_shards}
+    return {"op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op5_feistel_shards": op5_feistel_shards}
 
 
 def oracle_sql() -> dict[str, str]:
