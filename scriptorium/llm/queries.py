@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import importlib.util
+import math
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup, shard, token_output
+from . import license_scan, neardup, shard, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(spec.submodule_search_locations[0], name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -44,8 +49,41 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op5_feistel_shards": op5_feistel_shards}
+    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op5_feistel_shards": op5_feistel_shards}
+
+
+def license_sql() -> str:
+    """Phrases by consecutive words, templates by comparing every block with every template."""
+    templates = []
+    for i, (label, template) in enumerate(license_scan.TEMPLATES):
+        words = license_scan.words_of(template)
+        templates.append(f"({i}, '{label}', [{', '.join(repr(w) for w in words)}], {math.ceil(0.8 * len(words) - 1e-9)})")
+    starts = []
+    for phrase, label in license_scan.PHRASES:
+        words = phrase.split()
+        same = " AND ".join(f"w[i+{k + 1}] = '{word}'" for k, word in enumerate(words))
+        starts.append(f"list_transform(list_filter(range(len(w)), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})")
+    pattern, low = license_scan.WORD, f"translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}')"
+    return f"""
+WITH t(id, label, template, need) AS (VALUES {', '.join(templates)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(low, '{pattern}') AS w FROM d),
+p AS (SELECT r, doc_id, len(w) AS n_words, list_concat({', '.join(starts)}) AS s FROM w),
+b AS (SELECT r, i, list_distinct(regexp_extract_all(lines[i], '{pattern}')) AS words
+      FROM (SELECT r, string_split(low, chr(10)) AS lines FROM d) x, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i) y),
+m AS (SELECT r, i, label, len(template) AS size, len(list_intersect(words, template)) / len(template) AS containment
+      FROM b, t WHERE len(list_intersect(words, template)) >= need),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY containment DESC, size DESC, label DESC) = 1),
+a AS (SELECT r, list(label) AS labels, max(containment) AS containment, count(*) AS n FROM best GROUP BY r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(s) AS BIGINT) AS n_base,
+       CAST(list_min(list_transform(s, lambda x: x.at)) AS BIGINT) AS first_word,
+       CAST(list_max(list_transform(s, lambda x: x.at)) AS BIGINT) AS last_word,
+       array_to_string(list_sort(list_distinct(list_transform(s, lambda x: x.label))), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(list_transform(s, lambda x: x.label), coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN len(s) > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0)::DOUBLE END AS score,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_matches
+FROM p LEFT JOIN a USING (r)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_sql()}
