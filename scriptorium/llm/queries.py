@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import license_scan, neardup, shard, token_output
+from . import decontaminate, license_scan, mixing, neardup, shard, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), seed=7)
+
+
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard.shard_documents(table(spark, sf_dir, "documents"), n_shards=16, seed=shard_seed)
     return placed.select(
@@ -49,7 +57,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op5_feistel_shards": op5_feistel_shards}
+    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op7_poisson_mixing": op7_poisson_mixing}
 
 
 def license_sql() -> str:
@@ -85,5 +93,30 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(s) AS BIGINT) AS n_b
 FROM p LEFT JOIN a USING (r)"""
 
 
+#: All runs of five words of documents against those of items; items have five words at least here.
+CONTAINMENT_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM documents),
+g AS (SELECT r, doc_id, p, array_to_string(w[p+1:p+5], ' ') AS g FROM w, LATERAL (SELECT unnest(range(0, len(w) - 4)) AS p) x),
+v AS (SELECT item_id, regexp_extract_all(translate(text, '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, array_to_string(w[p+1:p+5], ' ') AS g FROM v, LATERAL (SELECT unnest(range(0, len(w) - 4)) AS p) x),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n_item, count(DISTINCT g) AS n_shared, count(DISTINCT g)::DOUBLE / n_item AS containment,
+       min(p) AS first_word, max(p) + 4 AS last_word
+FROM g JOIN i USING (g) JOIN n USING (item_id) GROUP BY r, doc_id, item_id, n_item HAVING 100 * count(DISTINCT g) >= 80 * n_item"""
+
+#: Rates stay below 16 in these tables, so each document has one draw.
+MIXING_SQL = """
+WITH RECURSIVE s AS (SELECT source, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents GROUP BY source),
+t AS (SELECT sum(bytes) AS bytes, sum(pow(bytes::DOUBLE, 0.5)) AS weight FROM s),
+r AS (SELECT source, round(pow(s.bytes::DOUBLE, 0.5) / t.weight * t.bytes::DOUBLE / s.bytes, 9) AS rate FROM s, t),
+c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+      UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM c WHERE k < 96),
+d AS (SELECT *, (('0x' || md5('7:' || doc_id || ':1')[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT d.doc_id, any_value(d.text) AS text, any_value(d.lang) AS lang, d.source, any_value(d.n_chars) AS n_chars, c.rate, count(*) AS n
+      FROM d JOIN c ON c.source = d.source AND c.c <= d.u GROUP BY d.doc_id, d.source, c.rate)
+SELECT doc_id, text, lang, source, n_chars, rate, copy::INTEGER AS copy, md5('7/order:' || doc_id || ':' || copy) AS shuffle_key
+FROM n, LATERAL (SELECT unnest(range(1, n + 1)) AS copy) x"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql()}
+    return {"op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op7_poisson_mixing": MIXING_SQL}
