@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, license_scan, mixing, neardup, shard, token_output
+from . import chat, decontaminate, langid, license_scan, mixing, neardup, shard, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(langid.held_out(), F.lit(False))
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+
+
+def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), seed=7)
 
@@ -57,7 +68,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op7_poisson_mixing": op7_poisson_mixing}
+    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse}
 
 
 def license_sql() -> str:
@@ -118,5 +129,15 @@ SELECT doc_id, text, lang, source, n_chars, rate, copy::INTEGER AS copy, md5('7/
 FROM n, LATERAL (SELECT unnest(range(1, n + 1)) AS copy) x"""
 
 
+#: Conversations as lists of turns; a longer one with the same first turns makes one a snapshot.
+CHAT_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, l, count(*) AS copies FROM c GROUP BY l)
+SELECT conv_id, len(l) AS n_turns, copies,
+       list_aggregate(list_transform(l, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
+FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.l[1] = u.l[1] AND len(o.l) > len(u.l) AND o.l[1:len(u.l)] = u.l)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op7_poisson_mixing": MIXING_SQL}
+    return {"op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op7_poisson_mixing": MIXING_SQL, "op8_chat_collapse": CHAT_SQL}
