@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, langid, license_scan, mixing, neardup, shard, token_output
+from . import chat, decontaminate, langid, license_scan, media, mixing, neardup, shard, token_output
+from .common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,17 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "media")
+    media.text_images(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
+    pages = media.sequences(stored.select("doc_id", "n_bytes", "html"), ["doc_id", "n_bytes"])
+    found = media.resolved(pages, ["doc_id", "n_bytes"], media.image_features(stored))
+    image = F.col("pieces")[1]
+    fields = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return found.select("doc_id", "n_bytes", *[image["media"][c].alias(c) for c in fields], image["caption"].alias("caption"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -68,7 +80,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse}
+    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse}
 
 
 def license_sql() -> str:
