@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, langid, license_scan, media, mixing, neardup, shard, token_output
+from . import chat, decontaminate, langid, license_scan, media, mixing, neardup, quality, shard, token_output
 from .common import scratch_path
 
 
@@ -61,6 +61,11 @@ def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), seed=7)
 
@@ -80,7 +85,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse}
+    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
 
 
 def license_sql() -> str:
