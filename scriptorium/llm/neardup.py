@@ -6,11 +6,17 @@ pair of one key from either collection, so ``bands**2`` tables of four minhashes
 tables only if one collection has no key in common: chance ``2 * (1 - s**2)**bands`` at most.
 
 Documents with equal shingle sets are one node from the start. Documents that share no key of
-either collection drop out before tables are formed. Within a table bucket, members meet hubs (the
-members found most often in other buckets), never all others at once: every link is confirmed on the
-full sets, components merge, a hub that has met the others leaves, and buckets with one component
-are done. Rounds go on until no bucket has two components, so no link found by the tables is lost,
-and no round makes more than ``HUBS`` pairs for a row.
+either collection drop out before tables are formed. A table bucket is never paired with itself:
+
+1. Each bucket has a hub h, the member found most often in other buckets, and every member x meets the
+   hub alone, on full sets. That also gives x's differences from h: r shingles of h it lacks and n
+   of its own.
+2. For two members x, y of hub h that have s differences in common, the intersection is
+   ``|h| - r_x - r_y + s`` and the union ``|h| + n_x + n_y - s``, exactly. Members linked with the hub are
+   connected already. Each other member is compared with all members of its hub by counting common
+   differences in inverted lists, inside tasks whose lists have a bounded size; only links come out.
+
+So every pair that shares a bucket is decided exactly, and pairs that miss the threshold make no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import WordHashes, discard, mix, shingle_hashes, stored, words_plain
 
-#: Most hubs of a bucket in a round; buckets of up to ``SMALL`` members meet in pairs at once.
-HUBS, SMALL = 64, 8
+#: Differences (8 bytes each) in a block of a hub's members; a task compares two blocks.
+BLOCK = 1_500_000
 #: Ids are broadcast up to this count (8 bytes each), and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -140,6 +146,70 @@ def merged(links: DataFrame) -> DataFrame:
     return labels
 
 
+def compared(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(rep, hub) pairs with linked, the hub's size, and rep's differences: r, n and ``apart``, with lacking shingles negated bitwise."""
+    left, right = (shingles.select(F.col("rep").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("rep", "hub"))
+    lacking, own = F.array_except("s_hub", "s_rep"), F.array_except("s_rep", "s_hub")
+    sized = pairs.join(left, "rep").join(right, "hub").select("rep", "hub", F.size("s_hub").alias("size"), lacking.alias("lacking"), own.alias("own"))
+    r, n = F.size("lacking"), F.size("own")
+    apart = F.concat(F.transform("lacking", F.bitwise_not), "own")
+    return sized.select("rep", "hub", "size", r.alias("r"), n.alias("n"), (100 * (F.col("size") - r) >= percent * (F.col("size") + n)).alias("linked"), apart.alias("apart"))
+
+
+def links_within(spokes: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between members of one hub of which one at least has no link with the hub."""
+    hubs = spokes.groupBy("hub").agg(F.count_if(~F.col("linked")).alias("open"), F.count("*").alias("members"), F.sum(F.size("apart")).alias("total"))
+    blocks = F.ceil(F.greatest(F.col("total"), F.lit(1)) / BLOCK).cast("int")
+    hubs = hubs.where("open > 0 AND members > 1").select("hub", blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = spokes.join(hubs, "hub").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("hub", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"), "rep", "size", "r", "n", "linked", "apart")
+
+    def links(table: pa.Table) -> pa.Table:
+        rep, size, r, n = (table[c].to_numpy() for c in ("rep", "size", "r", "n"))
+        linked, second = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("linked", "second"))
+        within = table["a"][0].as_py() == table["b"][0].as_py()
+        apart = table["apart"].combine_chunks()
+        lengths = r + n
+        stops = np.cumsum(lengths)
+        element = np.unique(apart.flatten().to_numpy(), return_inverse=True)[1].reshape(-1)
+        owner = np.repeat(np.arange(len(rep)), lengths)[np.argsort(element, kind="stable")]
+        ends = np.cumsum(np.bincount(element, minlength=1))
+        xs, ys = [], []
+        for i in np.flatnonzero(~linked).tolist():
+            lists = [owner[ends[e - 1] if e else 0 : ends[e]] for e in element[stops[i] - lengths[i] : stops[i]].tolist()]
+            common = np.bincount(np.concatenate(lists), minlength=len(rep)) if lists else np.zeros(len(rep), np.int64)
+            hit = 100 * (size[i] - r[i] - r + common) >= percent * (size[i] + n[i] + n - common)
+            hit &= (rep != rep[i]) if within else (second != second[i])
+            near = np.flatnonzero(hit)
+            xs += [rep[i]] * len(near)
+            ys += rep[near].tolist()
+            if len(xs) > 4 * len(rep):  # a forest of the links is enough
+                xs, ys = forest(xs, ys)
+        xs, ys = forest(xs, ys)
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
+
+    return dealt.groupBy("hub", "a", "b").applyInArrow(links, "x long, y long").distinct()
+
+
+def forest(xs: list[int], ys: list[int]) -> tuple[list[int], list[int]]:
+    """A subset of links that connects the same nodes, with fewer links than nodes."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (p := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[p]
+        return v
+
+    kept = []
+    for x, y in zip(xs, ys, strict=True):
+        a, b = root(int(x)), root(int(y))
+        if a != b:
+            parent[a] = b
+            kept.append((int(x), int(y)))
+    return [x for x, _ in kept], [y for _, y in kept]
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id and kept.
 
@@ -169,40 +239,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         full_sets(docs.join(wanted, docs["doc_id"] == F.col("rep")).select("rep", "sig1", "sig2", "text"), k).dropDuplicates(["rep", "shingles"]),
         "shingles",
     )
-    labels = stored(active.select("rep", F.col("rep").alias("label")), "labels")
-
-    hubs = 1
-    while True:
-        labelled = members.join(labels, "rep")
-        opened = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size")).where("a <> b").select("key", "size")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("popular"), "rep"))
-        ranked = stored(labelled.join(opened, "key").withColumn("place", rank), "ranked")
-        discard(members)
-        if ranked.isEmpty():
-            discard(ranked)
-            break
-        is_hub = F.when(F.col("size") <= SMALL, F.lit(True)).otherwise(F.col("place") <= hubs)
-        hub = ranked.where(is_hub).select("key", F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("place").alias("hub_place"))
-        pairs = (
-            ranked.join(hub, "key")
-            .where("label <> hub_label AND place > hub_place")
-            .select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y"), F.least("label", "hub_label").alias("lx"), F.greatest("label", "hub_label").alias("ly"))
-            .distinct()
-        )
-        left, right = (shingles.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
-        both = F.size(F.array_intersect("sx", "sy"))
-        linked = pairs.join(left, "x").join(right, "y").where(100 * both >= percent * (F.size("sx") + F.size("sy") - both))
-        new = merged(linked.select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct())
-        after = stored(labels.join(new.withColumnRenamed("label", "to"), labels["label"] == new["node"], "left").select("rep", F.coalesce("to", "label").alias("label")), "labels")
-        discard(new)
-        discard(labels)
-        labels = after
-        members = stored(ranked.where(~is_hub).select("key", "rep", "popular"), "members")
-        discard(ranked)
-        hubs = min(HUBS, 2 * hubs)
+    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("popular", -F.col("rep"))).alias("hub"))
+    pairs = members.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct()
+    spokes = stored(compared(pairs, shingles, percent), "spokes")
+    discard(members)
     discard(shingles)
+    links = spokes.where("linked").select(F.col("rep").alias("x"), F.col("hub").alias("y"))
+    labels = merged(links.unionByName(links_within(spokes, percent)))
 
-    found = nodes.join(labels, "rep", "left").select("sig1", "sig2", F.coalesce("label", "rep").alias("component"))
+    found = nodes.join(labels, nodes["rep"] == labels["node"], "left").select("sig1", "sig2", F.coalesce("label", "rep").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = rows.select("doc_id", "n", "sig1", "sig2").join(found, ["sig1", "sig2"], "left").withColumn("component_id", alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
