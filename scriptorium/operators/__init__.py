@@ -1 +1 @@
-
+"""DataFrame operators: chunking, retrieval, evaluation, works, assembly, operations."""
