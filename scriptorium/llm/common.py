@@ -73,7 +73,7 @@ def words_letters(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """word -> 63-bit hash, remembered. Forgets all when it holds ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 

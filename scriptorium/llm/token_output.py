@@ -40,7 +40,7 @@ LANES, STEPS = 32, 1024
 LOW = np.uint64(1 << 31)
 SEGMENT_IDS = 4_000_000
 #: Texts go to the tokenizer in slices of about so many bytes.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 6_000_000
 
 
 def scaled(counts: np.ndarray, bits: int) -> np.ndarray:
@@ -181,7 +181,7 @@ class WordTokens(dict):
     goes through the whole tokenizer. Both memories forget all at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         super().__init__()
         import re
 
