@@ -62,6 +62,56 @@ def embed(text: Column | str, model: Callable[[], Embedder] = HashedWords, batch
     return run(F.col(text) if isinstance(text, str) else text)
 
 
+def _unit_rows(texts: list[str], call: Embedder) -> np.ndarray:
+    """Unit vectors of texts, each distinct text embedded once; zero vectors stay."""
+    distinct = list(dict.fromkeys(texts))
+    place = {t: i for i, t in enumerate(distinct)}
+    vectors = batched(distinct, call).astype(float)
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)[[place[t] for t in texts]]
+
+
+def sentence_coherence(sentences: Column | str, model: Callable[[], Embedder] = HashedWords, least: int = 2) -> Column:
+    """Mean cosine of all pairs of different sentences of an array; 1 below ``least``.
+
+    From one sum of unit vectors for each row: (|sum|^2 - n) / (n (n - 1)), without pairs.
+    """
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = model()
+        for rows in batches:
+            lists = [list(r) if r is not None else [] for r in rows]
+            flat = [t for r in lists for t in r]
+            unit = _unit_rows(flat, call) if flat else np.zeros((0, 1))
+            out, at = [], 0
+            for r in lists:
+                u, at, n = unit[at : at + len(r)], at + len(r), len(r)
+                total = u.sum(axis=0)
+                out.append(1.0 if n < max(2, least) else float((total @ total - (u * u).sum()) / (n * (n - 1))))
+            yield pd.Series(out, index=rows.index)
+
+    return run(F.col(sentences) if isinstance(sentences, str) else sentences)
+
+
+def text_cosine(a: Column | str, b: Column | str, model: Callable[[], Embedder] = HashedWords) -> Column:
+    """Cosine of two texts' embeddings; null where either is zero."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        call = model()
+        for left, right in batches:
+            if not len(left):
+                yield pd.Series([], dtype=float)
+                continue
+            unit = _unit_rows(left.fillna("").tolist() + right.fillna("").tolist(), call)
+            u, v = unit[: len(left)], unit[len(left) :]
+            dots = (u * v).sum(axis=1)
+            yield pd.Series(np.where((u != 0).any(1) & (v != 0).any(1), dots, np.nan), index=left.index)
+
+    return run(*(F.col(c) if isinstance(c, str) else c for c in (a, b)))
+
+
 def rerank_scores(query: Column | str, text: Column | str, model: Callable[[], Reranker] = lambda: overlap_reranker) -> Column:
     """A relevance score for each pair of query and text."""
 

@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.models import HashedWords, embed
+from ..functions.models import HashedWords, sentence_coherence, text_cosine
 from ..functions.names import normalize_score, token_estimate
 from ..functions.text import count_citations, long_sentences
-from ..functions.vectors import cosine, mean_cosine
 
 
 def _group(chunks: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
@@ -53,17 +52,9 @@ def citation_integrity(chunks: DataFrame, by: list[str] = (), text_col: str = "t
     return _group(counted, list(by), *[F.coalesce(v, F.lit(0)).alias(k) for k, v in values.items()])
 
 
-def coherence(chunks: DataFrame, model: Callable = HashedWords, size: int = 256, text_col: str = "text", least: int = 2) -> DataFrame:
-    """Adds ``coherence``: the mean cosine of a chunk's sentences of over 20 characters; 1 below ``least`` sentences.
-
-    Sentences are embedded once for each distinct sentence, then put back by position.
-    """
-    keyed = chunks.withColumn("_chunk", F.monotonically_increasing_id()).withColumn("_s", long_sentences(text_col))
-    rows = keyed.select("_chunk", F.posexplode("_s").alias("_at", "_text"))
-    vectors = rows.select("_text").distinct().withColumn("_v", embed("_text", model))
-    gathered = rows.join(vectors, "_text").groupBy("_chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]).alias("_all"))
-    scored = gathered.select("_chunk", F.when(F.size("_all") < least, F.lit(1.0)).otherwise(mean_cosine("_all", size)).alias("coherence"))
-    return keyed.join(scored, "_chunk", "left").withColumn("coherence", F.coalesce("coherence", F.lit(1.0))).drop("_chunk", "_s")
+def coherence(chunks: DataFrame, model: Callable = HashedWords, text_col: str = "text", least: int = 2) -> DataFrame:
+    """Adds ``coherence``: the mean cosine of a chunk's sentences of over 20 characters; 1 below ``least`` sentences."""
+    return chunks.withColumn("coherence", sentence_coherence(long_sentences(text_col), model, least))
 
 
 def boundary_pairs(chunks: DataFrame, partition: list[str], order: list[str], text_col: str = "text") -> DataFrame:
@@ -82,7 +73,7 @@ def boundary_pairs(chunks: DataFrame, partition: list[str], order: list[str], te
 def boundary_quality(chunks: DataFrame, partition: list[str], order: list[str], model: Callable = HashedWords, text_col: str = "text") -> DataFrame:
     """:func:`boundary_pairs` with their cosine ``boundary``; lower is better. All pairs are scored, none sampled."""
     pairs = boundary_pairs(chunks, partition, order, text_col)
-    return pairs.withColumns({"_a": embed("last", model), "_b": embed("first", model)}).withColumn("boundary", cosine("_a", "_b")).drop("_a", "_b")
+    return pairs.withColumn("boundary", F.nanvl(text_cosine("last", "first", model), F.lit(None)))
 
 
 def strategy_score(metrics: DataFrame) -> DataFrame:
@@ -136,10 +127,10 @@ def report_rows(metrics: DataFrame, name_col: str = "strategy") -> DataFrame:
     return metrics.select(name_col, *[text(c, "%.1f").alias(c) for c in ("mean_chars", "std_chars")], *[text(c, "%.3f").alias(c) for c in ("coherence", "boundary", "citation_coverage")])
 
 
-def evaluate(chunks: DataFrame, model: Callable = HashedWords, size: int = 256) -> DataFrame:
+def evaluate(chunks: DataFrame, model: Callable = HashedWords) -> DataFrame:
     """All metrics of chunks with ``strategy``, ``paper_id`` and ``chunk_index``; every chunk and pair is scored."""
     out = chunk_statistics(chunks, ["strategy"]).join(citation_integrity(chunks, ["strategy"]), "strategy")
-    out = out.join(coherence(chunks, model, size).groupBy("strategy").agg(F.avg("coherence").alias("coherence")), "strategy", "left")
+    out = out.join(coherence(chunks, model).groupBy("strategy").agg(F.avg("coherence").alias("coherence")), "strategy", "left")
     pairs = boundary_quality(chunks, ["strategy", "paper_id"], ["chunk_index"], model)
     return out.join(pairs.groupBy("strategy").agg(F.avg("boundary").alias("boundary")), "strategy", "left")
 
