@@ -74,13 +74,13 @@ def tail_overlap(pieces: Column, share: float) -> Column:
     The end is ``int(length * share)`` characters, left-trimmed; where that is 0, the whole string.
     """
 
-    def with_tail(p: Column, i: Column) -> Column:
-        before = F.get(pieces, i - 1)
+    def with_tail(ps: Column, p: Column, i: Column) -> Column:
+        before = F.get(ps, i - 1)
         n = F.floor(F.length(before) * F.lit(float(share))).cast("int")
         tail = F.when(n == 0, before).otherwise(F.right(before, n))
         return F.when(i == 0, p).otherwise(F.concat(lstrip(tail), F.lit("\n\n"), p))
 
-    return F.transform(pieces, with_tail)
+    return let(pieces, lambda ps: F.transform(ps, lambda p, i: with_tail(ps, p, i)))
 
 
 def count_citations(text: Column | str) -> Column:

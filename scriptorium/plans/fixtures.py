@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.files import table
+from ..sources.files import spread, table
 
 MARKDOWN = r"""array_join(transform(split(text, '\n'), (l, i) -> concat(
     CASE WHEN i % 5 = 1 THEN concat(repeat('#', CAST(1 + (i DIV 5) % 3 AS INT)), ' ', substr(l, 1, 40)) ELSE l END,
@@ -39,11 +39,11 @@ WORK = """named_struct(
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").selectExpr("CAST(doc_id AS STRING) AS paper_id", "concat('Paper ', doc_id) AS paper_title", f"{MARKDOWN} AS markdown", "source")
+    return spread(table(spark, folder, "documents")).selectExpr("CAST(doc_id AS STRING) AS paper_id", "concat('Paper ', doc_id) AS paper_title", f"{MARKDOWN} AS markdown", "source")
 
 
 def documents(spark: SparkSession, folder: str, expression: str = "text") -> DataFrame:
-    return table(spark, folder, "documents").selectExpr("doc_id", f"{expression} AS text", "source", "lang")
+    return spread(table(spark, folder, "documents")).selectExpr("doc_id", f"{expression} AS text", "source", "lang")
 
 
 def works(spark: SparkSession, folder: str) -> DataFrame:

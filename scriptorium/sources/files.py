@@ -16,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out evenly where files give fewer tasks than there are cores; a large input stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def objects(spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, modificationTime, length) of files, without reading them; all pages of a listing, however many."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
