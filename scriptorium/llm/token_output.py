@@ -273,11 +273,12 @@ def segment(part: int, number: int, start: int, ids: list[np.ndarray], sizes: li
 SEGMENT_SCHEMA = "part int, segment int, start_in_part long, n_ids long, doc_ids array<long>, data binary"
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS, slice_bytes: int = SLICE_BYTES) -> None:
     """Tokenizes every whole text, appends ``end_id``, and writes the ids in ascending order of id.
 
     ``path`` gets Parquet rows (part, segment, start_in_part, n_ids, doc_ids, data): parts in order
-    of id, ``data`` the binary segments of the module's format. A segment ends with a document. Null
+    of id, ``data`` the binary segments of the module's format. A segment ends with a document, after
+    the slice of texts (``slice_bytes``) that fills it. Null
     and empty texts have just the end id; null ids come first; rows with equal ids are ordered by
     text; an empty table writes no segment; other columns are not read. A task holds one segment
     and one Arrow batch, and a long document makes its own segment longer.
@@ -290,7 +291,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         ids, sizes, doc_ids, n, start, number = [], [], [], 0, 0, 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for at, length in slices(texts, SLICE_BYTES):
+            for at, length in slices(texts, slice_bytes):
                 more, size = tokens.encode(texts.slice(at, length), end_id)
                 ids.append(more)
                 sizes.append(size)
