@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.layout import page_boxes, parse_layout
 from ..functions.markdown import elements_markdown
@@ -30,7 +31,7 @@ def layout_elements(pages: DataFrame, layout_col: str = "layout", dims_col: str
 def page_model(pages: DataFrame, model: Callable[[], PageModel], image_col: str, prompt: Column, out: str, batch: int = 32) -> DataFrame:
     """Adds ``out``: the model's string for each image and prompt, in batches; an error gives null and its text in ``error``."""
     keep = pages.withColumn("_prompt", prompt)
-    schema = keep.drop("_prompt").withColumns({out: F.lit("").cast("string"), "error": F.lit("").cast("string")}).schema
+    schema = StructType([*pages.schema.fields, StructField(out, StringType()), StructField("error", StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()

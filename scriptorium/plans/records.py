@@ -212,7 +212,7 @@ def layout_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def elements_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """A document for each benchmark item, with an element of every label."""
     t = lambda label, *text: F.struct(F.lit(label).alias("label"), F.concat(*text).alias("text"))
-    lit, body = F.lit, F.col("text")
+    lit, body = F.lit, F.translate("text", "\n", " ")
     elements = F.array(
         t("sec_0", lit(" Head\nline ")), t("sec_3", lit("中\n文")), t("text", F.substring(body, 1, 40), lit("-\n"), F.substring(body, 41, 30), lit("\n\nend")), t("list", lit(" item ")), t("code", lit("x = 1")),
         t("equ", lit("$a \\leq b\\\\ $")), t("tab", lit('<table a="b"><tr></tr></table>')), t("fig", lit("![Figure](f.png)")), t("fig", lit("iVBOR")), t("text", lit("  ")), t("page_separator", lit("---")),
@@ -220,9 +220,9 @@ def elements_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", markdown.elements_markdown(elements).alias("markdown"))
 
 
-_BODY = "substr(text, 1, 40) || substr(text, 41, 30)"
+_BODY = "substr(replace(text, chr(10), ' '), 1, 70)"
 ELEMENTS_SQL = f"""SELECT item_id, '# Head line' || chr(10) || chr(10) || '### ' || chr(20013) || chr(25991) || chr(10) || chr(10)
-    || replace(trim({_BODY}), chr(10), ' ') || chr(10) || chr(10) || 'end' || chr(10) || chr(10) || '- item' || chr(10) || '```bash' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || chr(10)
+    || trim({_BODY}) || chr(10) || chr(10) || 'end' || chr(10) || chr(10) || '- item' || chr(10) || '```bash' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || chr(10)
     || '$$a \\leq  b$$' || chr(10) || chr(10) || '<table><tr></tr></table>' || chr(10) || chr(10) || chr(10) || '![Figure](f.png)' || chr(10) || chr(10) || '![Figure 8](data:image/png;base64,iVBOR)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS markdown FROM benchmark"""
 
 ANSWERS = [

@@ -9,6 +9,7 @@ from __future__ import annotations
 from html import escape
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite") -> None:
@@ -66,7 +67,7 @@ def fetched(urls: DataFrame, fetch, url_col: str = "url") -> DataFrame:
     """
     import pandas as pd
 
-    schema = urls.withColumns({"status": F.lit("").cast("string"), "bytes": F.lit(None).cast("binary"), "error": F.lit("").cast("string")}).schema
+    schema = StructType([*urls.schema.fields, StructField("status", StringType()), StructField("bytes", BinaryType()), StructField("error", StringType())])
 
     def one(url: str | None) -> tuple[str, bytes | None, str | None]:
         if not url:
