@@ -156,5 +156,40 @@ SELECT conv_id, len(l) AS n_turns, copies,
 FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.l[1] = u.l[1] AND len(o.l) > len(u.l) AND o.l[1:len(u.l)] = u.l)"""
 
 
+#: Links by joining shingles of whole texts, components by following links.
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(len(w) - 2), lambda p: array_to_string(w[p+1:p+3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+g AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id AND r.c < l.y)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) USING (doc_id)"""
+
+
+def shard_sql(n_shards: int = 16) -> str:
+    """Row numbers by id, the network's rounds one after another, and walks by recursion; CRC-32 by its table, byte by byte."""
+    p, inner = shard.PRIME, "SELECT row, x, step, a, b, n, x // b AS l, x % b AS r FROM walk WHERE step = 0 OR x >= n"
+    for i, (k1, k2) in enumerate(shard.round_keys(shard_seed)):
+        v, into, size = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        other = v
+        inner = f"SELECT * EXCLUDE (f), f FROM (SELECT *, ((({v} + {k1}) % {p}) * (({v} + {k1}) % {p}) + {k2}) % {p} AS f FROM ({inner}))"
+        inner = f"SELECT row, x, step, a, b, n, ({into} + ((((f + {v}) % {p}) * ((f + {v}) % {p}) + f) % {p})) % {size} AS {into}, {other} FROM ({inner})"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+c AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS root FROM d),
+m AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, root, unnest(range(root, root + 1024)) AS a FROM c) ORDER BY a * ((n + a - 1) // a), a LIMIT 1),
+walk(row, x, step, a, b, n) AS (SELECT row, row, 0, a, b, n FROM d, m UNION ALL SELECT row, l * b + r, step + 1, a, b, n FROM ({inner})),
+e AS (SELECT row, x AS position FROM walk WHERE step > 0 AND x < n),
+k AS (SELECT list(v ORDER BY i) AS k FROM (SELECT i, list_reduce(range(8), lambda u, v: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END, i) AS v FROM range(256) z(i))),
+h AS (SELECT row, doc_id, octet_length(t) AS size, list_transform(range(0, octet_length(t)), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT) AS bytes FROM d)
+SELECT doc_id, size + 1 AS size, CASE WHEN size = 0 THEN 0 ELSE xor(4294967295, list_reduce(bytes, lambda u, v: xor(u >> 8, k[(xor(u, v) & 255) + 1]), 4294967295::BIGINT)) END AS text_crc32,
+       'rows' AS law, CAST(position % {n_shards} AS INT) AS shard, position // {n_shards} AS slot, NULL::INT AS grown_shard, position
+FROM h JOIN e USING (row), k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op7_poisson_mixing": MIXING_SQL, "op8_chat_collapse": CHAT_SQL}
+    return {
+        "op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op5_feistel_shards": shard_sql(), "op7_poisson_mixing": MIXING_SQL,
+        "op8_chat_collapse": CHAT_SQL, "op10_near_duplicates": NEAR_SQL,
+    }
