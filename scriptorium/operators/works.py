@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import http_or_null, work_key
+from ..functions.text import let
 
 _LOCATION = "struct<is_oa:boolean,landing_page_url:string,pdf_url:string,source:struct<id:string,display_name:string,issn_l:string,issn:array<string>,host_organization:string,type:string>,license:string,version:string,is_accepted:boolean,is_published:boolean>"
 _NAMED = "struct<display_name:string>"
@@ -72,7 +73,10 @@ def _location_columns(location: Column, prefix: str) -> dict[str, Column]:
 
 def flatten(works: DataFrame, work_col: str = "work", full_json: bool = True) -> DataFrame:
     """The flat row of each work: scalars, the first three concepts by place, and lists joined with ``|``."""
-    w = F.col(work_col)
+    return works.select(let(F.col(work_col), lambda w: _flat(w, full_json)).alias("_flat")).select("_flat.*")
+
+
+def _flat(w: Column, full_json: bool) -> Column:
     urls, topic, access = pdf_urls(w), w["primary_topic"], w["open_access"]
     no = lambda c: F.coalesce(c, F.lit(False))
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
@@ -93,7 +97,7 @@ def flatten(works: DataFrame, work_col: str = "work", full_json: bool = True) ->
     }
     if full_json:
         columns["full_json"] = F.to_json(w)
-    return works.select(*[c.alias(n) for n, c in columns.items()])
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
 
 
 def rebuilt(flat: DataFrame) -> DataFrame:

@@ -220,3 +220,18 @@ def test_report(spark):
     m = spark.createDataFrame([("a<", 2000.0, 300.0, 0.0, None, 0.5)], "strategy string, mean_chars double, std_chars double, coherence double, boundary double, citation_coverage double")
     page = sinks.html_report(m)
     assert "a&lt;" in page and "N/A" in page and "0.000" in page
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from scriptorium import cli
+
+    for r in fixtures.markdown(spark, data).where("paper_id < 12").collect():
+        folder = tmp_path / "in" / r["paper_id"]
+        folder.mkdir(parents=True)
+        (folder / "document.md").write_text(r["markdown"])
+        (folder / "metadata.json").write_text(json.dumps({"source_file": f"{r['paper_id']}.pdf"}))
+    cli.main(["chunk", str(tmp_path / "in"), "--output", str(tmp_path / "chunks")])
+    cli.main(["chunk", str(tmp_path / "in"), "--done", str(tmp_path / "chunks"), "--limit", "3", "--output", str(tmp_path / "more")])
+    cli.main(["index", str(tmp_path / "chunks"), "--output", str(tmp_path / "index")])
+    cli.main(["search", str(tmp_path / "index"), "the and attion", "--rerank", "--top-k", "3"])
+    assert "section_hierarchy" in capsys.readouterr().out
