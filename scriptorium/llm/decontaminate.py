@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, shingle_hashes, stored, words_alnum
+from .common import WordHashes, shingle_hashes, stored, tidy, words_alnum
 
 BROADCAST_IDS = 1_000_000
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double, first_word long, last_word long"
@@ -112,7 +112,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = Index([(r["item_id"], bytes(r["text"])) for r in part.collect()], k, percent)
         if index.items:
-            found = texts.mapInArrow(search(index), SCHEMA)
+            found = texts.mapInArrow(tidy(search(index)), SCHEMA)
             out = found if blocks == 1 else out.unionByName(stored(found, "contained"))
     return out
 

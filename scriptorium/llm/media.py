@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidy
+
 WIDTH, TILE, PAD = 24, 576, b"\xff"
 PIECES = "array<struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>>"
 #: Elements whose content is no text of the page, elements that end a piece of text, and elements that refer to media.
@@ -106,7 +108,7 @@ def sequences(pages: DataFrame, keep: list[str], html_col: str = "html") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*keep, "pieces"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in (pages.schema[c] for c in keep)), f"pieces {PIECES}"])
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(tidy(run), schema)
 
 
 def resolved(pages: DataFrame, keep: list[str], media: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def text_images(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ["doc_id", "n_bytes", "html", "digest", "data"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, data binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, n_bytes long, html string, digest string, data binary")
 
 
 def image_features(store: DataFrame) -> DataFrame:
@@ -196,4 +198,4 @@ def image_features(store: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
-    return store.select("digest", "data").mapInArrow(run, schema)
+    return store.select("digest", "data").mapInArrow(tidy(run), schema)

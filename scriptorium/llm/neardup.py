@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WordHashes, discard, mix, shingle_hashes, stored, words_plain
+from .common import WordHashes, discard, mix, shingle_hashes, stored, tidy, words_plain
 
 #: Differences (8 bytes each) in a block of a hub's members; a task compares two blocks.
 BLOCK = 1_500_000
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, k: int, bands: int) -> DataFrame:
                 ["doc_id", "n", "sig1", "sig2", "u", "v"],
             )
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(tidy(run), SKETCH)
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -112,7 +112,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                     sets.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    return docs.mapInArrow(tidy(run), "rep long, shingles array<long>")
 
 
 def table_members(nodes: DataFrame) -> DataFrame:

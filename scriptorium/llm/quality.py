@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, words_alnum
+from .common import WordHashes, tidy, words_alnum
 
 BITS = 16
 WORDS = 1 << BITS
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in (index, value, meta)]], ["doc_id", "y", "held", "i", "v", "m"])
 
     rows = labelled(docs, labels, labelled_rows, pool_rows).select("doc_id", "y", "held", "text", "lang", "source", F.col("n_chars").cast("long"))
-    found = rows.mapInArrow(features, "doc_id long, y int, held boolean, i binary, v binary, m binary").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    found = rows.mapInArrow(tidy(features), "doc_id long, y int, held boolean, i binary, v binary, m binary").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
     index, value, meta = (found[c].to_pylist() for c in "ivm")
     text = Rows(np.frombuffer(b"".join(index), np.int32), np.frombuffer(b"".join(value), np.float32), np.fromiter((len(x) // 4 for x in index), np.int64))
     flat = np.frombuffer(b"".join(meta), np.int32)
@@ -228,4 +228,4 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k]) for k in range(3)], pa.array(p[:, 2] >= threshold)], ["doc_id", "p_text", "p_meta", "score", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", F.col("n_chars").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, p_text double, p_meta double, score double, kept boolean")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import scratch_path
+from .common import scratch_path, tidy
 
 MAGIC = b"RNS1"
 HEADER = struct.Struct("<qIIIIIII")
@@ -308,7 +308,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         .repartitionByRange(*keys)
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-        .mapInArrow(segments, SEGMENT_SCHEMA)
+        .mapInArrow(tidy(segments), SEGMENT_SCHEMA)
         .write.option("compression", "uncompressed")
         .parquet(path)
     )
@@ -345,7 +345,7 @@ def document_index(segments: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.select("start", "doc_ids", "data").mapInArrow(index, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("start", "doc_ids", "data").mapInArrow(tidy(index), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_token_ids(segments: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def read_token_ids(segments: DataFrame) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids.as_py(), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
-    return segments.select("doc_ids", "data").mapInArrow(rows, "doc_id long, ids array<int>")
+    return segments.select("doc_ids", "data").mapInArrow(tidy(rows), "doc_id long, ids array<int>")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
