@@ -122,7 +122,8 @@ def resolved(pages: DataFrame, keep: list[str], media: DataFrame) -> DataFrame:
     what = [c for c in media.columns if c != "digest"]
     store = media.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(*what)).alias("media"))
     rows = pages.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, F.explode_outer("pieces").alias("_piece"))
-    joined = rows.join(store, F.col("_piece.digest") == F.col("digest"), "left")
+    key = F.coalesce("_piece.digest", F.concat(F.lit("-"), F.col("_row").cast("string")))  # text has no digest: dealt out by page
+    joined = rows.withColumn("_key", key).join(store, F.col("_key") == F.col("digest"), "left")
     whole = F.when(F.col("_piece").isNotNull(), F.struct("_piece.*", "media"))
     grouped = joined.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(whole), lambda a, b: a["position"] - b["position"]).alias("pieces"))
     return grouped.drop("_row")
