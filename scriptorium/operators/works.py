@@ -73,11 +73,11 @@ def _location_columns(location: Column, prefix: str) -> dict[str, Column]:
 
 def flatten(works: DataFrame, work_col: str = "work", full_json: bool = True) -> DataFrame:
     """The flat row of each work: scalars, the first three concepts by place, and lists joined with ``|``."""
-    return works.select(let(F.col(work_col), lambda w: _flat(w, full_json)).alias("_flat")).select("_flat.*")
+    return works.select(let(F.col(work_col), lambda w: let(F.struct(pdf_urls(w).alias("urls"), author_names(w).alias("names")), lambda x: _flat(w, x["urls"], x["names"], full_json))).alias("_flat")).select("_flat.*")
 
 
-def _flat(w: Column, full_json: bool) -> Column:
-    urls, topic, access = pdf_urls(w), w["primary_topic"], w["open_access"]
+def _flat(w: Column, urls: Column, authors: Column, full_json: bool) -> Column:
+    topic, access = w["primary_topic"], w["open_access"]
     no = lambda c: F.coalesce(c, F.lit(False))
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
     columns = {
@@ -89,7 +89,7 @@ def _flat(w: Column, full_json: bool) -> Column:
         "all_pdf_urls": _listed(urls), "has_any_pdf": F.size(urls) > 0,
         "topic_id": _nonempty(F.substring_index(topic["id"], "/", -1)), "topic_name": topic["display_name"],
         **{f"topic_{level}": topic[level]["display_name"] for level in ("subfield", "field", "domain")},
-        "num_authors": size(w["authorships"]), "first_author": F.get(author_names(w), F.lit(0)), "author_names": _listed(author_names(w)),
+        "num_authors": size(w["authorships"]), "first_author": F.get(authors, F.lit(0)), "author_names": _listed(authors),
         **{f"concept_{i + 1}_{part}": F.get(w["concepts"], F.lit(i))[key] for i in range(3) for part, key in (("name", "display_name"), ("score", "score"))},
         "keywords": _listed(F.array_compact(F.transform(w["keywords"], lambda k: _nonempty(k["display_name"])))),
         "cited_by_count": F.coalesce(w["cited_by_count"], F.lit(0)), "is_retracted": no(w["is_retracted"]), "is_paratext": no(w["is_paratext"]),

@@ -49,7 +49,7 @@ def documents(spark: SparkSession, folder: str, expression: str = "text") -> Dat
 def works(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.works import parse_works
 
-    records = table(spark, folder, "orders").selectExpr(f"to_json({WORK}) AS json")
+    records = spread(table(spark, folder, "orders")).selectExpr(f"to_json({WORK}) AS json")
     return parse_works(records).where("NOT rejected").select("work")
 
 
