@@ -14,6 +14,8 @@ from ..functions.vectors import dot, normalized
 
 #: A block of queries for one pass over the vectors is broadcast up to this many.
 QUERY_BLOCK = 20_000
+#: Queries of a block that are scored at once against a batch of vectors, so scores of a task stay small.
+QUERY_SLICE = 100
 
 # Fixed value: the frame of a prompt.
 PROMPT = """Based on the following academic sources, answer the user's policy question.
@@ -83,6 +85,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
     return ranked(found, k)
 
 
+def _best(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each row by score, then by ``order``; ties at the last place are all looked at."""
+    keep = []
+    for s, o in zip(-scores, order, strict=True):
+        near = np.flatnonzero(~(s > np.partition(s, k - 1)[k - 1])) if k < len(s) else np.arange(len(s))
+        keep.append(near[np.lexsort((o[near], s[near]))[:k]])
+    return np.stack(keep)
+
+
 def _nearest(keys: pa.Array, queries: np.ndarray, k: int, threshold: float | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: tuple[np.ndarray, ...] | None = None
@@ -92,15 +103,19 @@ def _nearest(keys: pa.Array, queries: np.ndarray, k: int, threshold: float | Non
             if not n:
                 continue
             vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            scores = np.einsum("qd,nd->qn", queries, vectors)
             own = batch.column(0)
             ids = own if ids is None else pa.concat_arrays([ids, own])
-            at = np.broadcast_to(np.arange(len(ids) - n, len(ids)), scores.shape)
-            if best is not None:
-                scores, at = np.concatenate([best[0], scores], axis=1), np.concatenate([best[1], at], axis=1)
-            order = ids.to_pandas().to_numpy()[at]
-            keep = np.stack([np.lexsort((o, -s))[:k] for o, s in zip(order, scores, strict=True)])
-            best = np.take_along_axis(scores, keep, 1), np.take_along_axis(at, keep, 1)
+            by_id = ids.to_pandas().to_numpy()
+            new = np.arange(len(ids) - n, len(ids))
+            parts = []
+            for q in range(0, len(queries), QUERY_SLICE):
+                scores = np.einsum("qd,nd->qn", queries[q : q + QUERY_SLICE], vectors)
+                at = np.broadcast_to(new, scores.shape)
+                if best is not None:
+                    scores, at = np.concatenate([best[0][q : q + QUERY_SLICE], scores], axis=1), np.concatenate([best[1][q : q + QUERY_SLICE], at], axis=1)
+                keep = _best(scores, by_id[at], k)
+                parts.append((np.take_along_axis(scores, keep, 1), np.take_along_axis(at, keep, 1)))
+            best = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             used, inverse = np.unique(best[1], return_inverse=True)
             ids, best = ids.take(pa.array(used)), (best[0], inverse.reshape(best[1].shape))
         if best is not None:
