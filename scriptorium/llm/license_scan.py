@@ -1,23 +1,31 @@
 """License scan: exact set-similarity join of text blocks with license templates, and exact phrases.
 
-A block is a line of a text. A template matches a block if the block has ``threshold`` of the template's
+A block is a line of a text, or a window over a line break: a line's last words and the next words after it, of
+whatever lines, on either side one word less than the longest template has. So a notice that wraps over lines is
+whole in the window of its first line. A template matches a block if the block has ``threshold`` of the template's
 distinct words or more (containment). The join is exact: the templates' words are ordered by their
-number of blocks in the whole corpus, rarest first (words of no template never match; they come before all and
+number of texts in the whole corpus, rarest first (words of no template never match; they come before all and
 count as length only). With ``need`` the least overlap for a template,
 
 - prefix filter: a match shares one of the template's first ``size - need + 1`` words;
 - length filter: a match has ``need`` of the ordered words at least;
 - positional filter: from the shared word on, both sides have ``need`` words at least.
 
-What passes is verified on the full sets. Only the templates' words and counts, as many as the templates
-have, reach the driver and the broadcast; rows are never paired with all templates.
+What passes is verified on the full sets. Texts that have ``need`` words of no template have no blocks to look at.
+Only the templates' words and counts, as many as the templates have, reach the driver and the broadcast; rows are
+never paired with all templates.
+
+A window's match counts if its first line adds a word to it, if half of its words or more aren't those of a match
+of one of its lines, and if no window that overlaps has a better match of the same template (or as good, and earlier).
 
 Phrases are places where their words stand consecutively, whatever separates them.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,7 +75,7 @@ def phrase_columns(text: Column, phrases: list[tuple[str, str]]) -> dict[str, Co
     own = [(label, F.regexp_count(text, F.lit(phrase_pattern([p]))).cast("long")) for p, label in phrases]
     labels = F.array(*[F.when(n > 0, F.lit(label)) for label, n in own])
     return {
-        "n_words": count(text),
+        "n_words": F.size("_tokens").cast("long"),
         "n_base": F.when(hit, sum((n for _, n in own), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")),
         "first_word": F.when(hit, count(F.regexp_extract(text, f"^((?s:.)*?){either}", 1))),
         "last_word": F.when(hit, count(F.regexp_extract(text, f"^((?s:.)*){either}", 1))),
@@ -79,66 +87,120 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased. Other letters may change, but not into A-Z's (the Kelvin sign would)."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00e9")))
+
+
 def block_words(block: Column) -> Column:
-    """Distinct words of a block, A-Z lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.translate(block, UPPER, LOWER), F.lit(WORD), F.lit(0)))
+    """Words of a lower-cased block, in order."""
+    return F.regexp_extract_all(block, F.lit(WORD), F.lit(0))
 
 
 def word_order(docs: DataFrame, templates: list[tuple[str, str]], text_col: str = "text") -> list[str]:
-    """The templates' words, by number of blocks of the whole corpus that have them, then by word."""
+    """The templates' words, by number of texts of the whole corpus that have them, then by word."""
     vocabulary = sorted({w for _, t in templates for w in words_of(t)})
-    blocks = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("block"))
-    found = blocks.select(F.explode(F.array_intersect(_strings(vocabulary), block_words(F.col("block")))).alias("word"))
+    found = docs.select(F.explode(F.array_intersect(_strings(vocabulary), block_words(lowered(F.col(text_col))))).alias("word"))
     counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def text_blocks(low: Column, reach: int) -> Column:
+    """Blocks of a lower-cased text, lines and windows: block and last (lines from 0), wrapped, words, rest (a window's words after its first line)."""
+    lines = F.transform(F.split(low, "\n"), lambda b, i: F.struct(i.alias("block"), block_words(b).alias("w")))
+    lines = F.filter(lines, lambda x: F.size(x["w"]) > 0)
+
+    def of(all_lines: Column) -> Column:
+        none = F.array().cast("array<string>")
+        alone = F.transform(all_lines, lambda x: F.struct(x["block"].alias("block"), x["block"].alias("last"), F.lit(False).alias("wrapped"), x["w"].alias("words"), none.alias("rest")))
+
+        def window(x: Column, i: Column) -> Column:
+            after = F.slice(all_lines, i + 2, F.lit(reach))
+            rest = F.slice(F.flatten(F.transform(after, lambda y: F.slice(y["w"], F.lit(1), F.lit(reach)))), F.lit(1), F.lit(reach))
+            tail = F.slice(x["w"], F.greatest(F.lit(1), F.size(x["w"]) - F.lit(reach - 1)), F.lit(reach))
+            # the last line that a window of ``reach`` words after this line touches
+            ends = F.aggregate(
+                after, F.struct(F.lit(0).alias("n"), x["block"].alias("last")),
+                lambda s, y: F.when(s["n"] >= reach, s).otherwise(F.struct((s["n"] + F.size(y["w"])).alias("n"), y["block"].alias("last"))),
+            )
+            return F.struct(x["block"].alias("block"), ends["last"].alias("last"), F.lit(True).alias("wrapped"), F.concat(tail, rest).alias("words"), rest.alias("rest"))
+
+        return F.concat(alone, F.filter(F.transform(all_lines, window), lambda x: F.size(x["rest"]) > 0))
+
+    return F.flatten(F.transform(F.array(lines), of))
+
+
+def kept_matches(matches: Column) -> Column:
+    """A text's matches without those of windows that say nothing new, as the module describes."""
+
+    def repeated(m: Column, o: Column) -> Column:
+        overlaps = (o["block"] <= m["last"]) & (o["last"] >= m["block"])
+        in_line = ~o["wrapped"] & (F.size(F.array_except(m["found"], o["found"])) * 2 < F.size(m["found"]))
+        ahead = (o["containment"] > m["containment"]) | ((o["containment"] == m["containment"]) & (o["block"] < m["block"]))
+        better = o["wrapped"] & (o["template"] == m["template"]) & ahead
+        return overlaps & (in_line | better)
+
+    return F.filter(matches, lambda m: ~m["wrapped"] | ~F.exists(matches, lambda o: repeated(m, o)))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its phrases, and the templates that its blocks match.
 
     Returns doc_id, n_words, n_base (places of phrases), first_word and last_word (smallest and
     largest start of a phrase, in words from 0, else null), base_labels (array), matches (array of
-    structs: block from 0, containment, size, label; the best template of each matching block: by containment,
-    then size, then label). Null texts are empty: no words, no matches. Repeated rows are scanned
+    structs: block (its first line, from 0), containment, size, label; the best template of each matching block: by
+    containment, then size, then label). Null texts are empty: no words, no matches. Repeated rows are scanned
     alike; ids may be null; an empty table gives no rows; other columns are not read.
     """
     order = word_order(docs, templates, text_col)
     rank = {w: i for i, w in enumerate(order)}
-    index = []
+    index, needs = [], []
     for label, template in templates:
         words = sorted(words_of(template), key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
+        needs.append((words, need))
         index += [(w, i, label, words, need) for i, w in enumerate(words[: len(words) - need + 1])]
     quoted = lambda w: "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(f"({quoted(w)}, {i}, {quoted(label)}, array({', '.join(map(quoted, words))}), {need})" for w, i, label, words, need in index)
     prefixes = docs.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(word, i, label, template, need)")
     least = min(need for *_, need in index)
+    reach = max(len(re.findall(RAW_WORD + "+", t)) for _, t in templates) - 1
 
     text = F.col("text")
-    blocks = F.transform(F.split(text, "\n"), lambda b: F.array_intersect(_strings(order), block_words(b)))
+    own = F.array_intersect(_strings(order), F.col("_tokens"))
+    any_template = functools.reduce(operator.or_, [F.size(F.array_intersect(F.col("_own"), _strings(words))) >= need for words, need in needs])
     first_words = _strings(sorted({w for w, *_ in index}, key=rank.__getitem__))
-    numbered = F.transform(blocks, lambda w, i: F.struct(i.alias("block"), w.alias("words")))
+    ordered = lambda w: F.array_intersect(_strings(order), w)
+    numbered = F.transform(text_blocks(F.col("_low"), reach), lambda b: b.withField("words", ordered(b["words"])))
+    blocks = F.filter(numbered, lambda b: (F.size(b["words"]) >= least) & F.arrays_overlap(b["words"], first_words))
     base = (
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lowered(F.col(text_col)).alias("_low"))
         .withColumn("_hit", text.rlike(phrase_pattern([p for p, _ in phrases])))
+        .withColumn("_tokens", block_words(F.col("_low")))
+        .withColumn("_own", own)
         .select(
             F.monotonically_increasing_id().alias("_row"),
             "doc_id",
             *[c.alias(name) for name, c in phrase_columns(text, phrases).items()],
-            F.filter(numbered, lambda b: (F.size(b["words"]) >= least) & F.arrays_overlap(b["words"], first_words)).alias("_blocks"),
+            F.when(any_template, blocks).alias("_blocks"),
         )
     )
     kept = ["_row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
-    each = base.select(*kept, F.explode_outer("_blocks").alias("b")).select(*kept, "b.block", "b.words", F.posexplode_outer("b.words").alias("j", "word"))
-    ordered, size = F.size("words"), F.size("template")
-    shared = F.size(F.array_intersect("words", "template"))
-    near = (ordered >= F.col("need")) & (F.least(size - F.col("i"), ordered - F.col("j")) >= F.col("need"))
+    place = ["block", "last", "wrapped"]
+    each = base.select(*kept, F.explode_outer("_blocks").alias("b")).select(*kept, *[f"b.{c}" for c in place], "b.words", "b.rest", F.posexplode_outer("b.words").alias("j", "word"))
+    n_ordered, size = F.size("words"), F.size("template")
+    shared = F.array_intersect("words", "template")
+    near = (n_ordered >= F.col("need")) & (F.least(size - F.col("i"), n_ordered - F.col("j")) >= F.col("need"))
     found = each.alias("e").join(F.broadcast(prefixes).alias("p"), (F.col("e.word") == F.col("p.word")) & near, "left")
-    match = F.when(shared >= F.col("need"), F.struct((shared / size).alias("containment"), size.alias("size"), "label"))
+    begins = ~F.col("wrapped") | (F.size(F.array_intersect("rest", "template")) < F.size(shared))
+    value = F.struct((F.size(shared) / size).alias("containment"), size.alias("size"), "label", "template", shared.alias("found"))
+    match = F.when((F.size(shared) >= F.col("need")) & begins, value)
     carried = [F.first(c).alias(c) for c in kept[1:]]
-    best = found.groupBy("_row", "block").agg(*carried, F.max(match).alias("best"))
-    placed = F.when(F.col("best").isNotNull(), F.struct("block", "best.containment", "best.size", "best.label"))
-    return best.groupBy("_row").agg(*carried, F.array_sort(F.collect_list(placed)).alias("matches")).drop("_row")
+    best = found.groupBy("_row", *place).agg(*carried, F.max(match).alias("best"))
+    placed = F.when(F.col("best").isNotNull(), F.struct(*place, "best.*"))
+    matches = best.groupBy("_row").agg(*carried, F.array_sort(F.collect_list(placed)).alias("matches")).drop("_row")
+    shown = F.transform(kept_matches(F.col("matches")), lambda m: F.struct(*[m[c].alias(c) for c in ("block", "containment", "size", "label")]))
+    return matches.withColumn("matches", F.array_sort(shown))
 
 
 def report(scanned: DataFrame) -> DataFrame:
