@@ -18,6 +18,10 @@ never paired with all templates.
 A window's match counts if its first line adds a word to it, if half of its words or more aren't those of a match
 of one of its lines, and if no window that overlaps has a better match of the same template (or as good, and earlier).
 
+All templates that match a block count, but those whose words found there are all words of a better match: GPL 2's
+notice has nearly all words of GPL 3's, and both count only if a block has both numbers. Blocks are sets of words, so
+a notice whose words are all part of another's in its block (CC BY beside CC BY-NC) can't be told from it.
+
 Phrases are places where their words stand consecutively, whatever separates them.
 """
 
@@ -130,6 +134,11 @@ def text_blocks(low: Column, reach: int) -> Column:
     return F.flatten(F.transform(F.array(lines), of))
 
 
+def unexplained(matches: Column) -> Column:
+    """A block's matches without those whose words are all words of a better match: by containment, then size, then label."""
+    return F.filter(matches, lambda m: ~F.exists(matches, lambda o: (o > m) & (F.size(F.array_except(m["found"], o["found"])) == 0)))
+
+
 def kept_matches(matches: Column) -> Column:
     """A text's matches without those of windows that say nothing new, as the module describes."""
 
@@ -148,8 +157,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     Returns doc_id, n_words, n_base (places of phrases), first_word and last_word (smallest and
     largest start of a phrase, in words from 0, else null), base_labels (array), matches (array of
-    structs: block (its first line, from 0), containment, size, label; the best template of each matching block: by
-    containment, then size, then label). Null texts are empty: no words, no matches. Repeated rows are scanned
+    structs: block (its first line, from 0), containment, size, label; every template that a block matches, but
+    those explained by a better one, see ``unexplained``). Null texts are empty: no words, no matches. Repeated rows are scanned
     alike; ids may be null; an empty table gives no rows; other columns are not read.
     """
     order = word_order(docs, templates, text_col)
@@ -196,9 +205,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     value = F.struct((F.size(shared) / size).alias("containment"), size.alias("size"), "label", "template", shared.alias("found"))
     match = F.when((F.size(shared) >= F.col("need")) & begins, value)
     carried = [F.first(c).alias(c) for c in kept[1:]]
-    best = found.groupBy("_row", *place).agg(*carried, F.max(match).alias("best"))
-    placed = F.when(F.col("best").isNotNull(), F.struct(*place, "best.*"))
-    matches = best.groupBy("_row").agg(*carried, F.array_sort(F.collect_list(placed)).alias("matches")).drop("_row")
+    each_block = found.groupBy("_row", *place).agg(*carried, F.collect_set(match).alias("of_block"))
+    placed = F.transform(unexplained(F.col("of_block")), lambda m: F.struct(*[F.col(c).alias(c) for c in place], *[m[c].alias(c) for c in ("containment", "size", "label", "template", "found")]))
+    matches = each_block.groupBy("_row").agg(*carried, F.array_sort(F.flatten(F.collect_list(placed))).alias("matches")).drop("_row")
     shown = F.transform(kept_matches(F.col("matches")), lambda m: F.struct(*[m[c].alias(c) for c in ("block", "containment", "size", "label")]))
     return matches.withColumn("matches", F.array_sort(shown))
 

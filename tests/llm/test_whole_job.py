@@ -18,3 +18,9 @@ def test_wrapped_notices(spark):
     whole = "x\n" + license_scan.TEMPLATES[8][1] + "\nChapter 2"
     got = labels_of(spark, [prose + BSD + "\n" + prose, MPL, narrow, apart, whole, BSD + "\n" + prose + BSD, BSD.replace("\n", " ")])
     assert got == [("bsd", 1), ("mpl-2.0", 1), ("gpl,lgpl-2.1", 1), ("", 0), ("gpl,gpl-3.0", 1), ("bsd", 2), ("bsd", 1)]
+
+
+def test_every_notice_of_a_block(spark):
+    mit, apache, gpl3 = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", license_scan.TEMPLATES[8][1]
+    texts = [f"{mit} {apache}", gpl3, f"{gpl3} {license_scan.TEMPLATES[7][1]}", "Licensed under CC BY-NC 4.0.", f"{apache} {BSD} {MPL} {mit}".replace("\n", " ")]
+    assert labels_of(spark, texts) == [("apache-2.0,mit", 2), ("gpl,gpl-3.0", 1), ("gpl,gpl-2.0,gpl-3.0", 2), ("cc-by,cc-by-nc-4.0", 1), ("apache-2.0,bsd,mit,mpl-2.0", 4)]
