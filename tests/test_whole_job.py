@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from scriptorium.operators import operations
 from scriptorium.plans import catalog
 
 
@@ -31,3 +32,13 @@ def test_search_takes_every_due_query(spark, data, name, k):
                 rank = [j for j in np.lexsort((ids, -score))[:k] if name == "vector_topk" or score[j] >= 0.3]
             want |= {(i, int(ids[j]), n) for n, j in enumerate(rank)}
         assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == want
+
+
+def test_modulo_shards_places_every_document(spark, data):
+    ids = sorted(r[0] for r in rows_of(data, "SELECT doc_id FROM '{data}/documents.parquet'"))
+    assert sorted(r["doc_id"] for r in catalog.queries()["modulo_shards"](spark, data).collect()) == ids[2::7]
+
+
+def test_modulo_shard_over_gaps(spark):
+    gaps = spark.createDataFrame([(i * i,) for i in range(40)], "doc_id long").repartition(3)
+    assert sorted(r["doc_id"] for r in operations.modulo_shard(gaps, "doc_id", 2, 7).collect()) == [i * i for i in range(2, 40, 7)]
