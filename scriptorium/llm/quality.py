@@ -1,25 +1,32 @@
 """Quality classification by co-training.
 
 Two views of a document: its text (hashed words and the text's shape) and its metadata (source, language, size and line
-counts). Each view has a logistic classifier. Rounds of co-training go over a pool of unlabelled
-documents: what one view is confident about becomes pseudo-labelled training data of the other.
+counts). Each view has a logistic classifier. In each round of co-training every unlabelled document is scored with both
+views on the executors: what one view is confident about becomes pseudo-labelled training data of the other.
 Held-out labels calibrate both views and weigh their combination, which scores all documents.
 
-Only fitting is bounded: ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents at most, drawn
-by a hash of the id over the whole tables. Features of those reach the driver; every document is scored.
+Only labelled rows are bounded: ``labelled_rows`` at most, drawn by a hash of the id over the whole table; their features
+reach the driver. Pseudo-labelled documents come as sums over all of them:
+
+- for the metadata view, the number of documents of each metadata tuple and pseudo-label, which is all it needs;
+- for the text view, the gradient at the weights of the round before and the sum of squares for each feature. They make a
+  proximal term, which is minimised together with the labelled rows' loss.
+
+All pseudo-labelled documents weigh alike, half a labelled row each, and half of the labelled rows together at most.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, tidy, words_alnum
+from .common import WordHashes, discard, stored, tidy, words_alnum
 
 BITS = 16
 WORDS = 1 << BITS
@@ -27,7 +34,10 @@ WORDS = 1 << BITS
 SHAPES, LEVELS = 8, 8
 TEXT_SIZE = WORDS + SHAPES * LEVELS
 META_SIZE = 1 << 12
-CONFIDENT, ROUNDS, PER_ROUND = 0.97, 3, 1000
+CONFIDENT, ROUNDS = 0.97, 3
+#: Sums of gradients are of whole numbers, so they don't depend on the order of tasks.
+UNIT = float(1 << 24)
+FEATURES = "doc_id long, y int, held boolean, i binary, v binary, m binary"
 
 
 def shape(raw: bytes, words: list[bytes], distinct: int) -> list[int]:
@@ -64,21 +74,28 @@ class Logistic:
     def __init__(self, size: int, penalty: float):
         self.w, self.bias, self.penalty = np.zeros(size), 0.0, penalty
 
-    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> Logistic:
+    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 60, others: Others | None = None) -> Logistic:
+        """On rows, and on ``others`` by their gradient and squares at the present weights."""
         if not len(y) or y.min() == y.max():  # one class: a constant
             self.w[:] = 0
             self.bias = float(np.clip(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), -4, 4)) if len(y) else 0.0
             return self
         weight = weight / weight.sum()
+        start, start_bias, share, pull, pull_bias, hold = self.w, self.bias, 0.0, np.zeros(len(self.w)), 0.0, np.zeros(len(self.w))
+        if others is not None:  # a proximal step for them, of the same size as a step for rows
+            share = others.share
+            weight, pull, pull_bias = weight * (1 - share), share * others.gradient, share * others.bias
+            hold = share * np.sqrt(others.squares * others.squares.max() * max(1.0, rows.size.mean()))
         curve = np.bincount(rows.index, np.repeat(weight, rows.size) * rows.value**2, len(self.w)) + 1e-6
         rate = 4.0 / (np.sqrt(curve * curve.max()) * max(1.0, np.sqrt(rows.size.mean())))
         w, bias, t = self.w, self.bias, 1.0
         ahead, ahead_bias = w, bias
         for _ in range(steps):
             error = weight * (sigmoid(rows.dot(ahead) + ahead_bias) - y)
-            step = ahead - rate * np.bincount(rows.index, np.repeat(error, rows.size) * rows.value, len(w))
-            new = np.sign(step) * np.maximum(0, np.abs(step) - rate * self.penalty)
-            new_bias = ahead_bias - 2.0 * error.sum()
+            slope = np.bincount(rows.index, np.repeat(error, rows.size) * rows.value, len(w)) + pull
+            step = ahead - rate * slope + rate * hold / 4 * start
+            new = np.sign(step) * np.maximum(0, np.abs(step) - rate * self.penalty) / (1 + rate * hold / 4)
+            new_bias = ahead_bias - 2.0 * (error.sum() + pull_bias + share / 4 * (ahead_bias - start_bias))
             t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
             ahead, ahead_bias = new + (last - 1) / t * (new - w), new_bias + (last - 1) / t * (new_bias - bias)
             w, bias = new, new_bias
@@ -90,6 +107,16 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass(frozen=True)
+class Others:
+    """Means over rows that are elsewhere, and their share of the weight of all rows."""
+
+    gradient: np.ndarray
+    bias: float
+    squares: np.ndarray
+    share: float
+
+
 class Rows:
     """Sparse rows, one after another."""
 
@@ -105,6 +132,12 @@ class Rows:
         place = np.repeat(self.at[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         return Rows(self.index[place], self.value[place], size)
 
+    @staticmethod
+    def of(index: list[bytes], value: list[bytes] | None = None) -> Rows:
+        flat = np.frombuffer(b"".join(index), np.int32)
+        values = np.ones(len(flat), np.float32) if value is None else np.frombuffer(b"".join(value), np.float32)
+        return Rows(flat, values, np.fromiter((len(x) // 4 for x in index), np.int64, len(index)))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -132,52 +165,99 @@ def calibrate(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray
     return w
 
 
-def fit(text: Rows, meta: Rows, labels: np.ndarray, held: np.ndarray) -> Model:
-    """Co-trains both views. ``labels``: 1, 0, or -1 for the pool; ``held`` labelled rows calibrate only."""
-    views = {"text": (text, Logistic(TEXT_SIZE, 4e-4)), "meta": (meta, Logistic(META_SIZE, 1e-3))}
-    known = np.flatnonzero((labels >= 0) & ~held)
-    given = {v: (known, labels[known].astype(float), np.ones(len(known))) for v in views}
-    pool = np.flatnonzero(labels < 0)
-    for turn in range(ROUNDS + 1):
-        for v, (rows, classifier) in views.items():
-            at, y, weight = given[v]
-            classifier.fit(rows.take(at), y, weight)
-        if turn == ROUNDS or not len(pool):
-            break
-        chosen = {}
-        for v, (rows, classifier) in views.items():
-            p = sigmoid(rows.take(pool).dot(classifier.w) + classifier.bias)
-            sure = np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT))
-            sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")[:PER_ROUND]]
-            chosen[v] = (sure, (p[sure] > 0.5).astype(float))
-        for v, other in (("text", "meta"), ("meta", "text")):
-            sure, y = chosen[other]
-            at, old, weight = given[v]
-            given[v] = (np.append(at, pool[sure]), np.append(old, y), np.append(weight, np.full(len(sure), 0.5)))
-        pool = np.delete(pool, np.union1d(chosen["text"][0], chosen["meta"][0]))
-    check = np.flatnonzero((labels >= 0) & held)
+@dataclass(frozen=True)
+class Pseudo:
+    """Sums over the pseudo-labelled documents: of the text view's features, and (metadata tuple, label) -> documents."""
+
+    gradient: np.ndarray
+    bias: float
+    squares: np.ndarray
+    n: int
+    tuples: dict[tuple[bytes, int], int]
+
+
+def _sure(p: np.ndarray) -> np.ndarray:
+    return (p >= CONFIDENT) | (p <= 1 - CONFIDENT)
+
+
+def pseudo_labelled(pool: DataFrame, text: Logistic, meta: Logistic) -> Pseudo:
+    """Scores all of ``pool`` with both views, and sums up what each view's confident documents tell the other."""
+    (tw, tb), (mw, mb) = (text.w, text.bias), (meta.w, meta.bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gradient, squares, bias, n = np.zeros(TEXT_SIZE), np.zeros(TEXT_SIZE), 0.0, 0
+        tuples: Counter[tuple[bytes, int]] = Counter()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, v, m = (c.to_pylist() for c in batch.columns)
+            words, marks = Rows.of(i, v), Rows.of(m)
+            p_text, p_meta = sigmoid(words.dot(tw) + tb), sigmoid(marks.dot(mw) + mb)
+            at = np.flatnonzero(_sure(p_meta))
+            rows, error = words.take(at), p_text[at] - (p_meta[at] > 0.5)
+            gradient += np.bincount(rows.index, np.repeat(error, rows.size) * rows.value, TEXT_SIZE)
+            squares += np.bincount(rows.index, rows.value.astype(float) ** 2, TEXT_SIZE)
+            bias, n = bias + error.sum(), n + len(at)
+            tuples.update((m[k], int(p_text[k] > 0.5)) for k in np.flatnonzero(_sure(p_text)).tolist())
+        used = np.flatnonzero(squares)
+        whole = lambda x: np.rint(x * UNIT).astype(np.int64).tolist()
+        key = [b""] * (len(used) + 1) + [k for k, _ in tuples]
+        place = [-1, *used.tolist(), *[y for _, y in tuples]]
+        a = [*whole(np.array([bias])), *whole(gradient[used]), *tuples.values()]
+        b = [n, *whole(squares[used]), *[0] * len(tuples)]
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(place, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "place", "a", "b"])
+
+    found = pool.select("i", "v", "m").mapInArrow(tidy(run), "key binary, place int, a long, b long").groupBy("key", "place").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    gradient, squares, bias, n, tuples = np.zeros(TEXT_SIZE), np.zeros(TEXT_SIZE), 0.0, 0, {}
+    for key, place, a, b in zip(*(found[c].to_pylist() for c in ("key", "place", "a", "b")), strict=True):
+        if key:
+            tuples[key, place] = a
+        elif place < 0:
+            bias, n = a / UNIT, b
+        else:
+            gradient[place], squares[place] = a / UNIT, b / UNIT
+    return Pseudo(gradient, bias, squares, n, dict(sorted(tuples.items())))
+
+
+def fit(text: Rows, meta: Rows, labels: np.ndarray, held: np.ndarray, pseudo: Callable[[Logistic, Logistic], Pseudo]) -> Model:
+    """Co-trains both views on rows with ``labels`` 1 and 0, of which ``held`` calibrate only, and on what ``pseudo`` finds."""
+    by_text, by_meta = Logistic(TEXT_SIZE, 4e-4), Logistic(META_SIZE, 1e-3)
+    known = np.flatnonzero(~held)
+    words, marks, y, n = text.take(known), meta.take(known), labels[known].astype(float), len(known)
+    by_text.fit(words, y, np.ones(n), steps=240)  # labelled rows are fitted before others hold the weights back
+    by_meta.fit(marks, y, np.ones(n))
+    for _ in range(ROUNDS if n else 0):
+        found = pseudo(by_text, by_meta)
+        mass = 0.5 * min(n, found.n)
+        others = Others(found.gradient / found.n, found.bias / found.n, found.squares / found.n, mass / (n + mass)) if found.n else None
+        if others:
+            by_text.fit(words, y, np.ones(n), others=others)
+        count = np.fromiter(found.tuples.values(), float, len(found.tuples))
+        extra, extra_y = Rows.of([m for m, _ in found.tuples]), np.array([label for _, label in found.tuples], float)
+        all_rows = Rows(np.append(marks.index, extra.index), np.append(marks.value, extra.value), np.append(marks.size, extra.size))
+        by_meta.fit(all_rows, np.append(y, extra_y), np.append(np.ones(n), count * 0.5 * min(1.0, n / max(1.0, count.sum()))))
+    check = np.flatnonzero(held)
     y = labels[check].astype(float)
-    logits = {v: rows.take(check).dot(c.w) + c.bias for v, (rows, c) in views.items()}
+    logits = {"text": text.take(check).dot(by_text.w) + by_text.bias, "meta": meta.take(check).dot(by_meta.w) + by_meta.bias}
     scale = {v: calibrate(x[:, None], y) for v, x in logits.items()}
     both = calibrate(np.column_stack([scale[v][0] * logits[v] + scale[v][1] for v in ("text", "meta")]), y)
-    t, m = views["text"][1], views["meta"][1]
-    return Model(t.w.astype(np.float32), t.bias, m.w.astype(np.float32), m.bias, tuple(scale["text"]), tuple(scale["meta"]), tuple(both))
+    return Model(by_text.w.astype(np.float32), by_text.bias, by_meta.w.astype(np.float32), by_meta.bias, tuple(scale["text"]), tuple(scale["meta"]), tuple(both))
+
 
+COLUMNS = ["text", "lang", "source", "n_chars"]
 
-def labelled(docs: DataFrame, labels: DataFrame, labelled_rows: int, pool_rows: int) -> DataFrame:
-    """Rows to fit on: doc_id, text, lang, source, n_chars, ``y`` (1 good: quality 1 and not toxic; -1 unlabelled) and ``held``."""
+
+def marks_of(labels: DataFrame) -> DataFrame:
+    """_id and ``y`` (1 good: quality 1 and not toxic) of each labelled document."""
     good = F.when(F.col("quality").isNull(), F.lit(None)).otherwise(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
-    marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("y")).where("y IS NOT NULL").withColumnRenamed("doc_id", "_id")
+    return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("y")).where("y IS NOT NULL").withColumnRenamed("doc_id", "_id")
 
-    def draw(key: str, n: int, total: int):
-        return F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, n / max(1, total)))
 
-    n_marks, n_docs = marks.count(), docs.count()
-    ids = F.broadcast(marks.where(draw("_id", labelled_rows, n_marks)))  # about labelled_rows rows
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    known = docs.select(*columns).join(ids, F.col("doc_id") == F.col("_id")).select(*columns, "y")
-    rest = docs.select(*columns).where(draw("doc_id", pool_rows, n_docs)).join(marks.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti").withColumn("y", F.lit(-1))
-    return known.unionByName(rest).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0)
+def labelled(docs: DataFrame, marks: DataFrame, labelled_rows: int) -> DataFrame:
+    """Labelled rows to fit on: doc_id, ``y``, ``held`` and the columns of the views."""
+    share = min(1.0, labelled_rows / max(1, marks.count()))
+    ids = F.broadcast(marks.where(F.pmod(F.xxhash64(F.lit("draw"), "_id"), F.lit(1 << 30)) < int((1 << 30) * share)))  # about labelled_rows rows
+    return docs.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "y", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held"), *COLUMNS)
 
 
 def _views(batch: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,8 +267,8 @@ def _views(batch: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple[np.ndarr
         yield *text_view(raw, hashes), meta_view(so, la, n, raw)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_rows: int = 6_000) -> Model:
-    """A model from bounded, hash-drawn rows; without any labels, scores are 0.5."""
+def featured(rows: DataFrame) -> DataFrame:
+    """doc_id, y, held and the features of both views as bytes."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -200,13 +280,27 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, pool_
                 meta.append(m.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.binary()) for x in (index, value, meta)]], ["doc_id", "y", "held", "i", "v", "m"])
 
-    rows = labelled(docs, labels, labelled_rows, pool_rows).select("doc_id", "y", "held", "text", "lang", "source", F.col("n_chars").cast("long"))
-    found = rows.mapInArrow(tidy(features), "doc_id long, y int, held boolean, i binary, v binary, m binary").toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    return rows.select("doc_id", "y", "held", "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(tidy(features), FEATURES)
+
+
+def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Features of every document without a label; texts don't go through the join."""
+    rows = docs.select("doc_id", F.lit(-1).alias("y"), F.lit(False).alias("held"), *COLUMNS)
+    return featured(rows).join(marks.select("_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti").select("i", "v", "m")
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000) -> Model:
+    """A model from bounded, hash-drawn labelled rows and all unlabelled documents; without any labels, scores are 0.5."""
+    docs = docs.select(F.col("doc_id").cast("long"), *COLUMNS)
+    marks = marks_of(labels)
+    found = featured(labelled(docs, marks, labelled_rows)).toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
     index, value, meta = (found[c].to_pylist() for c in "ivm")
-    text = Rows(np.frombuffer(b"".join(index), np.int32), np.frombuffer(b"".join(value), np.float32), np.fromiter((len(x) // 4 for x in index), np.int64))
-    flat = np.frombuffer(b"".join(meta), np.int32)
-    other = Rows(flat, np.ones(len(flat), np.float32), np.fromiter((len(x) // 4 for x in meta), np.int64))
-    return fit(text, other, found["y"].to_numpy().astype(int), found["held"].to_numpy(zero_copy_only=False).astype(bool))
+    held = found["held"].to_numpy().astype(bool)
+    pool = stored(unlabelled(docs, marks), "unlabelled") if (~held).any() else None
+    model = fit(Rows.of(index, value), Rows.of(meta), found["y"].to_numpy().astype(int), held, lambda text, by_meta: pseudo_labelled(pool, text, by_meta))
+    if pool is not None:
+        discard(pool)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

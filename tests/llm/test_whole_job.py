@@ -1,6 +1,6 @@
 """The training-data operators take the whole of their input."""
 
-from scriptorium.llm import license_scan
+from scriptorium.llm import license_scan, quality
 
 BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
 MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */"
@@ -24,3 +24,18 @@ def test_every_notice_of_a_block(spark):
     mit, apache, gpl3 = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", license_scan.TEMPLATES[8][1]
     texts = [f"{mit} {apache}", gpl3, f"{gpl3} {license_scan.TEMPLATES[7][1]}", "Licensed under CC BY-NC 4.0.", f"{apache} {BSD} {MPL} {mit}".replace("\n", " ")]
     assert labels_of(spark, texts) == [("apache-2.0,mit", 2), ("gpl,gpl-3.0", 1), ("gpl,gpl-2.0,gpl-3.0", 2), ("cc-by,cc-by-nc-4.0", 1), ("apache-2.0,bsd,mit,mpl-2.0", 4)]
+
+
+def test_every_unlabelled_document_can_be_pseudo_labelled(spark):
+    n = 9000
+    make = lambda i: (i, "good clear prose" if i % 2 else "buy cheap pills", "en", "a" if i % 2 else "b", 16)
+    docs = spark.createDataFrame([make(i) for i in range(n)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    sums = []
+    whole, quality.pseudo_labelled = quality.pseudo_labelled, lambda *a: sums.append(whole(*a)) or sums[-1]
+    try:
+        model = quality.train(docs, labels)
+    finally:
+        quality.pseudo_labelled = whole
+    assert sums[-1].n == n - 400 == sum(sums[-1].tuples.values())
+    assert all(r["kept"] == bool(r["doc_id"] % 2) for r in quality.scored(docs, model).collect())
