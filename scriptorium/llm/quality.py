@@ -17,6 +17,7 @@ All pseudo-labelled documents weigh alike, half a labelled row each, and half of
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -31,9 +32,12 @@ from .common import WordHashes, discard, stored, tidy, words_alnum
 BITS = 16
 WORDS = 1 << BITS
 #: Buckets of the text's shape follow the words' in the text view.
-SHAPES, LEVELS = 8, 8
+SHAPES, LEVELS = 12, 8
 TEXT_SIZE = WORDS + SHAPES * LEVELS
 META_SIZE = 1 << 12
+#: Bytes of some symbols, frequent capitals and digits, and of all ASCII punctuation, capitals and digits.
+GROUPS = ("#$%&*|!@", "AEINORST", "012357", string.punctuation, string.ascii_uppercase, string.digits)
+CLASSES = np.array([[b in c.encode() for b in range(256)] for c in GROUPS], np.int64)
 CONFIDENT, ROUNDS = 0.97, 3
 #: Sums of gradients are of whole numbers, so they don't depend on the order of tasks.
 UNIT = float(1 << 24)
@@ -41,14 +45,15 @@ FEATURES = "doc_id long, y int, held boolean, i binary, v binary, m binary"
 
 
 def shape(raw: bytes, words: list[bytes], distinct: int) -> list[int]:
-    """Buckets of shape: shares (in eighths) of repeated words, ASCII punctuation, capitals, digits, longest-line length and so on."""
+    """Buckets of shape: shares (in eighths) of repeated words, of some symbols, frequent capitals and digits, of all ASCII punctuation, capitals and digits, the longest line's length and so on."""
     n, m = max(1, len(raw)), max(1, len(words))
-    upper = sum(map(raw.count, (b"A", b"E", b"I", b"N", b"O", b"R", b"S", b"T"))) / n
-    symbols = sum(map(raw.count, (b"#", b"$", b"%", b"&", b"*", b"|", b"!", b"@"))) / n
-    digits = sum(map(raw.count, (b"0", b"1", b"2", b"3", b"5", b"7"))) / n
-    lines = raw.count(b"\n") + 1
+    bytes_of = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    symbols, upper, digits, all_symbols, all_upper, all_digits = (CLASSES @ bytes_of / n).tolist()
+    lines = int(bytes_of[10]) + 1
+    longest = max(map(len, raw.split(b"\n")))
     doubled = sum(a == b for a, b in zip(words, words[1:], strict=False)) / m
     values = [1 - distinct / m, 8 * symbols, 4 * upper, 8 * digits, lines / m * 4, doubled, n / m / 24, min(1.0, np.log2(m) / 16)]
+    values += [all_symbols, all_upper, all_digits, min(1.0, np.log2(longest + 1) / 16)]
     return [WORDS + i * LEVELS + min(LEVELS - 1, int(v * LEVELS)) for i, v in enumerate(values)]
 
 

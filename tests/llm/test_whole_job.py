@@ -39,3 +39,12 @@ def test_every_unlabelled_document_can_be_pseudo_labelled(spark):
         quality.pseudo_labelled = whole
     assert sums[-1].n == n - 400 == sum(sums[-1].tuples.values())
     assert all(r["kept"] == bool(r["doc_id"] % 2) for r in quality.scored(docs, model).collect())
+
+
+def test_shape_counts_whole_classes():
+    of = lambda raw: quality.shape(raw, raw.split(), len(set(raw.split())))
+    plain = of(b"abcd")
+    for i, junk in ((8, b"()[]"), (9, b"BCDZ"), (10, b"4698")):
+        assert of(junk)[i] == plain[i] + quality.LEVELS - 1
+    assert of(b"a " * 500)[11] > of(b"a\n" * 500)[11]
+    assert len(of(b"")) == quality.SHAPES
