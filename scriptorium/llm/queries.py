@@ -89,11 +89,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def license_sql() -> str:
-    """Phrases by consecutive words, templates by comparing every block with every template."""
+    """Phrases by consecutive words; templates by comparing every line, and every window over a line's end, with every template.
+
+    A window has a line's last words and the next words of the text, on either side ``reach`` at most. Of a block's matches,
+    those go whose words are all words of a better one; then those of windows that a line's or another window's match explains.
+    """
     templates = []
     for i, (label, template) in enumerate(license_scan.TEMPLATES):
         words = license_scan.words_of(template)
         templates.append(f"({i}, '{label}', [{', '.join(repr(w) for w in words)}], {math.ceil(0.8 * len(words) - 1e-9)})")
+    reach = max(len(license_scan.all_words(t)) for _, t in license_scan.TEMPLATES) - 1
     starts = []
     for phrase, label in license_scan.PHRASES:
         words = phrase.split()
@@ -105,12 +110,25 @@ WITH t(id, label, template, need) AS (VALUES {', '.join(templates)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {low} AS low FROM documents),
 w AS (SELECT r, doc_id, regexp_extract_all(low, '{pattern}') AS w FROM d),
 p AS (SELECT r, doc_id, len(w) AS n_words, list_concat({', '.join(starts)}) AS s FROM w),
-b AS (SELECT r, i, list_distinct(regexp_extract_all(lines[i], '{pattern}')) AS words
+l AS (SELECT r, i - 1 AS block, regexp_extract_all(lines[i], '{pattern}') AS own
       FROM (SELECT r, string_split(low, chr(10)) AS lines FROM d) x, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i) y),
-m AS (SELECT r, i, label, len(template) AS size, len(list_intersect(words, template)) / len(template) AS containment
-      FROM b, t WHERE len(list_intersect(words, template)) >= need),
-best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY containment DESC, size DESC, label DESC) = 1),
-a AS (SELECT r, list(label) AS labels, max(containment) AS containment, count(*) AS n FROM best GROUP BY r)
+e AS (SELECT *, CAST(sum(len(own)) OVER (PARTITION BY r ORDER BY block) AS BIGINT) AS stop FROM l WHERE len(own) > 0),
+u AS (SELECT r, flatten(list(own ORDER BY block)) AS w, flatten(list(list_transform(own, lambda x: block) ORDER BY block)) AS line FROM e GROUP BY r),
+b AS (SELECT r, block, block AS last, false AS wrapped, list_distinct(own) AS words, [] AS rest FROM e
+      UNION ALL
+      SELECT r, block, line[least(stop + {reach}, len(w))], true,
+             list_distinct(w[greatest(stop - len(own), stop - {reach}) + 1 : stop + {reach}]), list_distinct(w[stop + 1 : stop + {reach}])
+      FROM e JOIN u USING (r) WHERE stop < len(w)),
+m AS (SELECT r, block, last, wrapped, id, label, len(template) AS size, list_intersect(words, template) AS found, len(list_intersect(words, template)) / len(template) AS containment
+      FROM b, t WHERE len(list_intersect(words, template)) >= need AND (NOT wrapped OR len(list_intersect(rest, template)) < len(list_intersect(words, template)))),
+f AS (SELECT * FROM m WHERE NOT EXISTS (
+        SELECT 1 FROM m o WHERE o.r = m.r AND o.block = m.block AND o.wrapped = m.wrapped AND (o.containment, o.size, o.label, o.id) > (m.containment, m.size, m.label, m.id)
+        AND list_has_all(o.found, m.found))),
+k AS (SELECT * FROM f WHERE NOT wrapped OR NOT EXISTS (
+        SELECT 1 FROM f o WHERE o.r = f.r AND o.block <= f.last AND o.last >= f.block
+        AND CASE WHEN o.wrapped THEN o.id = f.id AND (o.containment > f.containment OR o.containment = f.containment AND o.block < f.block)
+                 ELSE 2 * (len(f.found) - len(list_intersect(f.found, o.found))) < len(f.found) END)),
+a AS (SELECT r, list(label) AS labels, max(containment) AS containment, count(*) AS n FROM k GROUP BY r)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(s) AS BIGINT) AS n_base,
        CAST(list_min(list_transform(s, lambda x: x.at)) AS BIGINT) AS first_word,
        CAST(list_max(list_transform(s, lambda x: x.at)) AS BIGINT) AS last_word,

@@ -1,5 +1,7 @@
 """The training-data operators take the whole of their input."""
 
+import pytest
+
 from scriptorium.llm import license_scan, quality
 
 BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
@@ -20,6 +22,35 @@ def test_wrapped_notices(spark):
     assert got == [("bsd", 1), ("mpl-2.0", 1), ("gpl,lgpl-2.1", 1), ("", 0), ("gpl,gpl-3.0", 1), ("bsd", 2), ("bsd", 1)]
 
 
+def test_sql_states_the_same_rules(spark, tmp_path):
+    """Wrapped, doubled and nested notices, in the query and in its SQL."""
+    import duckdb
+
+    from scriptorium.llm import queries
+
+    prose, bsd, mit = "some other words\n" * 9, BSD, "Released under the MIT License."
+    gpl2, gpl3 = license_scan.TEMPLATES[7][1], license_scan.TEMPLATES[8][1]
+    texts = [None, "", prose + bsd + "\n" + prose + bsd, MPL + "\n" + MPL, f"{mit} {bsd} {mit}", f"{gpl3} {gpl2}", f"{gpl3}\n{gpl2}\n{prose}", "CC-BY-NC 4.0 licensed\nunder", gpl2.replace(" ", "\n"), f"{mit}\n" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.report(license_scan.scan(df))
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    rel = con.execute(queries.license_sql())
+    names = [c[0] for c in rel.description]
+    assert sorted(map(str, rel.fetchall())) == sorted(str(tuple(r)) for r in got.select(*names).collect())
+
+
+@pytest.mark.parametrize("filler", ["\U0001f600 a ", "日本語 é ", "𝔘 \U0001f468\u200d\U0001f469 ß1 ", "x", "a b\n", "İ ſ \u212a "])
+def test_long_texts_of_any_script(spark, filler):
+    """100,000 repetitions, of one and two UTF-16 units and of changing width, before and after a notice and a phrase."""
+    notice = "Released under the MIT License."
+    text = f"{filler * 100_000} All rights reserved. {filler * 50_000}\n{notice}"
+    row = license_scan.report(license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    n = len(license_scan.all_words(filler * 100_000))
+    assert (row["n_base"], row["first_word"], row["last_word"], row["labels"]) == (1, n, n, "mit,reserved")
+    assert row["n_words"] == len(license_scan.all_words(text))
+
+
 def test_every_notice_of_a_block(spark):
     mit, apache, gpl3 = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", license_scan.TEMPLATES[8][1]
     texts = [f"{mit} {apache}", gpl3, f"{gpl3} {license_scan.TEMPLATES[7][1]}", "Licensed under CC BY-NC 4.0.", f"{apache} {BSD} {MPL} {mit}".replace("\n", " ")]
