@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import col, strip
+from .text import col, decimals, strip
 
 # Prices in dollars for a million tokens, and vector sizes, by model.
 PRICES = {"text-embedding-3-large": 0.13, "text-embedding-3-small": 0.02, "text-embedding-ada-002": 0.10}
@@ -33,9 +33,9 @@ def pdf_filename(index: Column | str, url: Column | str, title: Column | str, mo
 def format_bytes(size: Column | str) -> Column:
     """Two decimals and B, KB, ... TB, and PB from there on."""
     size = col(size).cast("double")
-    out = F.format_string("%.2f PB", size / 1024.0**5)
+    out = F.concat(decimals(size / 1024.0**5, 2), F.lit(" PB"))
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(size / 1024.0**power < 1024.0, F.format_string(f"%.2f {unit}", size / 1024.0**power)).otherwise(out)
+        out = F.when(size / 1024.0**power < 1024.0, F.concat(decimals(size / 1024.0**power, 2), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -46,7 +46,7 @@ def format_duration(seconds: Column | str) -> Column:
     minutes = F.floor(s / 60).cast("long")
     hours = F.floor(s / 3600).cast("long")
     return (
-        F.when(s < 60, F.format_string("%.1fs", s))
+        F.when(s < 60, F.concat(decimals(s, 1), F.lit("s")))
         .when(minutes < 60, F.format_string("%dm %ds", minutes, whole % 60))
         .otherwise(F.format_string("%dh %dm %ds", hours, minutes % 60, whole % 60))
     )

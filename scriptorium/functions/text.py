@@ -36,6 +36,11 @@ def word_count(c: Column | str) -> Column:
     return F.regexp_count(col(c), F.lit(r"(?U)\S+"))
 
 
+def decimals(value: Column, places: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, half to even, as C and Python do (Java's ``%.2f`` goes by digits)."""
+    return F.replace(F.format_number(value.cast("double"), places), F.lit(","), F.lit(""))
+
+
 def paragraphs(text: Column | str) -> Column:
     """Trimmed, non-empty pieces between blank lines (two line feeds or more)."""
     return F.filter(F.transform(F.split(col(text), "\n\n+"), strip), lambda p: p != "")

@@ -58,8 +58,9 @@ def headings(text: Column | str) -> Column:
 
 
 def _headings(lines: Column) -> Column:
-    lines = F.transform(lines, lambda x, i: F.struct(strip(F.regexp_extract(x, HEADING, 2)).alias("text"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), i.alias("line")))
-    return F.filter(lines, lambda h: h["level"] > 0)
+    placed = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("text"), i.alias("line"))), lambda x: F.startswith(x["text"], F.lit("#")))
+    heads = F.transform(placed, lambda x: F.struct(strip(F.regexp_extract(x["text"], HEADING, 2)).alias("text"), F.length(F.regexp_extract(x["text"], HEADING, 1)).alias("level"), x["line"].alias("line")))
+    return F.filter(heads, lambda h: h["level"] > 0)
 
 
 def sections(text: Column | str, keep_preamble: bool = False) -> Column:
@@ -121,10 +122,42 @@ def _coarse(documents: DataFrame, options: HybridOptions) -> DataFrame:
     return texts.select("paper_id", "paper_title", F.arrays_zip(F.col("_raw").alias("raw"), tail_overlap(F.col("_plain"), options.coarse_overlap).alias("text")).alias("_coarse"))
 
 
-def _named(df: DataFrame, kind: str) -> DataFrame:
-    return df.select(
-        "text", F.format_string(f"%s_{kind}_%04d", "paper_id", "chunk_index").alias("chunk_id"), F.lit(kind).alias("chunk_type"),
-        "paper_id", "paper_title", "section_hierarchy", "char_start", "char_end", "chunk_index", "total_chunks", "overlap_with_previous", "parent_chunk_id",
+def _rows(documents: DataFrame, options: HybridOptions, kinds: tuple[str, ...]) -> DataFrame:
+    """Chunks of the given kinds from one array for each document: sections and coarse chunks are computed once for both."""
+    found = documents.select("paper_id", "paper_title", "_coarse")
+    first = F.transform(
+        "_coarse",
+        lambda c, i: F.struct(
+            F.lit("coarse").alias("kind"), i.alias("chunk_index"), F.size("_coarse").alias("total"), c["text"].alias("text"), c["raw"]["hierarchy"].alias("hierarchy"),
+            c["raw"]["char_start"].alias("char_start"), (i > 0).alias("overlapped"), F.lit(None).cast("int").alias("parent"),
+        ),
+    )
+    if kinds == ("coarse",):
+        return found.select("paper_id", "paper_title", F.explode(first).alias("c"))
+    plain = F.transform("_coarse", lambda c: packed(c["text"], options.fine_max))
+    pieces = F.transform(plain, lambda p: tail_overlap(p, options.fine_overlap))
+    each = F.flatten(F.transform(pieces, lambda ps, j: F.transform(ps, lambda t, i: F.struct(j.alias("parent"), i.alias("local"), t.alias("text")))))
+    found = found.withColumn("_fine", each)
+
+    def row(c: Column, i: Column) -> Column:
+        raw = F.get("_coarse", c["parent"])["raw"]
+        return F.struct(
+            F.lit("fine").alias("kind"), i.alias("chunk_index"), F.size("_fine").alias("total"), c["text"].alias("text"), raw["hierarchy"].alias("hierarchy"),
+            raw["char_start"].alias("char_start"), (c["local"] > 0).alias("overlapped"), c["parent"].alias("parent"),
+        )
+
+    second = F.transform("_fine", row)
+    return found.select("paper_id", "paper_title", F.explode(F.concat(first, second) if len(kinds) > 1 else second).alias("c"))
+
+
+def _chunks(documents: DataFrame, options: HybridOptions, kinds: tuple[str, ...], id_col: str, title_col: str | None, text_col: str) -> DataFrame:
+    rows = _rows(_coarse(_with_columns(documents, id_col, title_col, text_col), options), options, kinds)
+    c = F.col("c")
+    return rows.select(
+        c["text"].alias("text"), F.format_string("%s_%s_%04d", "paper_id", c["kind"], c["chunk_index"]).alias("chunk_id"), c["kind"].alias("chunk_type"),
+        "paper_id", "paper_title", c["hierarchy"].alias("section_hierarchy"), c["char_start"].alias("char_start"), (c["char_start"] + F.length(c["text"])).alias("char_end"),
+        c["chunk_index"].alias("chunk_index"), c["total"].alias("total_chunks"), c["overlapped"].alias("overlap_with_previous"),
+        F.when(c["parent"].isNotNull(), F.format_string("%s_coarse_%04d", "paper_id", c["parent"])).alias("parent_chunk_id"),
     )
 
 
@@ -134,38 +167,19 @@ def coarse_chunks(documents: DataFrame, options: HybridOptions = HybridOptions()
     char_start is the section's start in the cleaned text, char_end adds the chunk's length to it. Null and empty
     texts give one empty chunk, as a document without headings is one section. Rows are independent.
     """
-    found = _coarse(_with_columns(documents, id_col, title_col, text_col), options)
-    rows = found.select("paper_id", "paper_title", F.size("_coarse").alias("total_chunks"), F.posexplode("_coarse").alias("chunk_index", "c"))
-    raw, text = F.col("c")["raw"], F.col("c")["text"]
-    flat = rows.select(
-        "paper_id", "paper_title", "total_chunks", "chunk_index", text.alias("text"), raw["hierarchy"].alias("section_hierarchy"),
-        raw["char_start"].alias("char_start"), (raw["char_start"] + F.length(text)).alias("char_end"), (F.col("chunk_index") > 0).alias("overlap_with_previous"),
-        F.lit(None).cast("string").alias("parent_chunk_id"),
-    )
-    return _named(flat, "coarse")
+    return _chunks(documents, options, ("coarse",), id_col, title_col, text_col)
 
 
 def fine_chunks(documents: DataFrame, options: HybridOptions = HybridOptions(), id_col: str = "paper_id", title_col: str | None = "paper_title", text_col: str = "markdown") -> DataFrame:
     """Fine chunks of each coarse chunk (overlap included), numbered through the document; ``parent_chunk_id`` names it."""
-    found = _coarse(_with_columns(documents, id_col, title_col, text_col), options)
-    each = found.select("paper_id", "paper_title", F.transform("_coarse", lambda c, i: F.struct(i.alias("parent"), c["raw"].alias("raw"), c["text"].alias("text"), packed(c["text"], options.fine_max).alias("plain"))).alias("_c"))
-    each = each.select("paper_id", "paper_title", F.transform("_c", lambda c: F.struct(c["parent"].alias("parent"), c["raw"].alias("raw"), tail_overlap(c["plain"], options.fine_overlap).alias("pieces"))).alias("_c"))
-    flat = F.flatten(F.transform("_c", lambda c: F.transform(c["pieces"], lambda t, i: F.struct(c["parent"].alias("parent"), c["raw"]["hierarchy"].alias("hierarchy"), c["raw"]["char_start"].alias("char_start"), t.alias("text"), i.alias("local")))))
-    each = each.select("paper_id", "paper_title", flat.alias("_f"))
-    rows = each.select("paper_id", "paper_title", F.size("_f").alias("total_chunks"), F.posexplode("_f").alias("chunk_index", "c"))
-    return _named(
-        rows.select(
-            "paper_id", "paper_title", "total_chunks", "chunk_index", "c.text", F.col("c.hierarchy").alias("section_hierarchy"), "c.char_start",
-            (F.col("c.char_start") + F.length("c.text")).alias("char_end"), (F.col("c.local") > 0).alias("overlap_with_previous"),
-            F.format_string("%s_coarse_%04d", "paper_id", "c.parent").alias("parent_chunk_id"),
-        ), "fine",
-    )
+    return _chunks(documents, options, ("fine",), id_col, title_col, text_col)
 
 
-def hybrid_chunks(documents: DataFrame, options: HybridOptions = HybridOptions(), both: bool = True, **columns: str) -> DataFrame:
-    """Coarse chunks, and fine chunks of them unless ``both`` is off."""
-    coarse = coarse_chunks(documents, options, **columns)
-    return coarse.unionByName(fine_chunks(documents, options, **columns)) if both else coarse
+def hybrid_chunks(
+    documents: DataFrame, options: HybridOptions = HybridOptions(), both: bool = True, id_col: str = "paper_id", title_col: str | None = "paper_title", text_col: str = "markdown"
+) -> DataFrame:
+    """Coarse chunks, and fine chunks of them unless ``both`` is off, in one pass over the documents."""
+    return _chunks(documents, options, ("coarse", "fine") if both else ("coarse",), id_col, title_col, text_col)
 
 
 def strategies(documents: DataFrame, presets: dict[str, HybridOptions] = STRATEGIES, **columns: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.models import HashedWords, sentence_coherence, text_cosine
 from ..functions.names import normalize_score, token_estimate
-from ..functions.text import count_citations, long_sentences
+from ..functions.text import count_citations, decimals, long_sentences
 
 
 def _group(chunks: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
@@ -123,8 +123,8 @@ def score_spread(scores: DataFrame, by: str, score_col: str) -> DataFrame:
 
 def report_rows(metrics: DataFrame, name_col: str = "strategy") -> DataFrame:
     """Metrics as text: sizes with one decimal, scores with three, ``N/A`` where there is none (a score of 0 is a score)."""
-    text = lambda c, form: F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(F.format_string(form, F.col(c).cast("double")))
-    return metrics.select(name_col, *[text(c, "%.1f").alias(c) for c in ("mean_chars", "std_chars")], *[text(c, "%.3f").alias(c) for c in ("coherence", "boundary", "citation_coverage")])
+    text = lambda c, places: F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(decimals(F.col(c), places))
+    return metrics.select(name_col, *[text(c, 1).alias(c) for c in ("mean_chars", "std_chars")], *[text(c, 3).alias(c) for c in ("coherence", "boundary", "citation_coverage")])
 
 
 def evaluate(chunks: DataFrame, model: Callable = HashedWords) -> DataFrame:

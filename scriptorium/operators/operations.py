@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import format_span
+from .numbering import numbered
 
 
 def unprocessed(candidates: DataFrame, done: DataFrame, on: str | list[str]) -> DataFrame:
@@ -28,24 +29,12 @@ def page(df: DataFrame, order: str | list[str], start: int, size: int) -> DataFr
 
 
 def global_places(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``place``, from 0 by ``order`` (which must be unique), without sorting everything in one task.
+    """Adds ``place``, from 0 by ``order`` (a column of any type, nulls first), without sorting everything in one task.
 
-    Rows are ranked within ranges of the key, whose bounds are quantiles, and ranges are offset by the counts before them.
+    Object keys are strings, and their places are found like numbers': by ranges of the key, see :func:`numbered`. Rows with
+    equal keys have places next to one another.
     """
-    bounds = df.select(F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10_000).alias("q")).first()["q"] if dict(df.dtypes)[order] != "string" else None
-    if not bounds:
-        return df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(order)))
-    dealt = df.withColumn("_bucket", bucket)
-    counts = dict(dealt.groupBy("_bucket").count().collect())
-    before, starts = 0, []
-    for b in sorted(counts):
-        starts += [F.lit(b), F.lit(before)]
-        before += counts[b]
-    if not starts:
-        return df.withColumn("place", F.lit(0).cast("long"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
-    return dealt.withColumn("place", local + F.element_at(F.create_map(*starts), F.col("_bucket")).cast("long")).drop("_bucket")
+    return numbered(df, [F.col(order)])[0].withColumnRenamed("row_number", "place")
 
 
 def modulo_shard(df: DataFrame, order: str, worker: int, workers: int) -> DataFrame:

@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.models import HashedWords, Reranker, embed, overlap_reranker, rerank_scores
-from ..functions.text import strip
+from ..functions.text import decimals, strip
 from ..functions.vectors import dot, normalized
 
-#: A block of queries for one pass over the vectors is broadcast up to this many.
-QUERY_BLOCK = 20_000
-#: Queries of a block that are scored at once against a batch of vectors, so scores of a task stay small.
-QUERY_SLICE = 100
+#: Bytes of a block of queries for one pass over the vectors, their hits in a task included.
+QUERY_BYTES = 64 << 20
+#: Scores of queries of a block and vectors of a batch that a task has at once.
+SCORES = 1 << 20
 
 # Fixed value: the frame of a prompt.
 PROMPT = """Based on the following academic sources, answer the user's policy question.
@@ -62,66 +62,80 @@ def ranked(scores: DataFrame, k: int, by: str = "query_id", tie: str = "vec_id")
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float | None = None, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """Exact inner-product search: (query_id, vec_id, score, rank) of the ``k`` best vectors for each query.
 
-    Queries (query_id, vector) are the stated set, searched against all vectors. Blocks of ``QUERY_BLOCK`` queries go
-    to the executors; each task multiplies its vectors with a block batch by batch and keeps k rows for each query, so the
+    Queries (query_id, vector) are the stated set, searched against all vectors. Blocks of queries of ``QUERY_BYTES``
+    go to the executors; each task multiplies its vectors with a block batch by batch and keeps k rows for each query, so the
     shuffle has k rows for each task and query at most. A ``threshold`` drops lower scores first. Null vectors have no score.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     base = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("v"))
     schema = f"query_id {query_type}, vec_id {id_type}, score double"
     found = spark.createDataFrame([], schema)
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
-    for block in range(blocks if count else 0):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("v")).toArrow()
+    extent = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
+    per_query = max(8 * (extent["size"] or 1), 24 * k)  # a vector in the block, and k scores with ids and queries in a task
+    blocks = -(-extent["n"] * per_query // QUERY_BYTES)
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = part.toArrow()
         if not rows.num_rows:
             continue
-        keys, matrix = rows["query_id"].combine_chunks(), np.array(rows["v"].to_pylist(), float)
+        keys, matrix = rows["query_id"].combine_chunks(), _matrix(rows["v"].combine_chunks())
         near = ranked(base.mapInArrow(_nearest(keys, matrix, k, threshold), schema), k)
         found = near.drop("rank") if blocks == 1 else found.unionByName(near.drop("rank"))
     return ranked(found, k)
 
 
-def _best(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best of each row by score, then by ``order``; ties at the last place are all looked at."""
-    keep = []
-    for s, o in zip(-scores, order, strict=True):
-        near = np.flatnonzero(~(s > np.partition(s, k - 1)[k - 1])) if k < len(s) else np.arange(len(s))
-        keep.append(near[np.lexsort((o[near], s[near]))[:k]])
-    return np.stack(keep)
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _codes(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    return np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+
+
+def _kept(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of hits (query, score, id), the ``k`` best of each query by score, then by id."""
+    order = np.lexsort((_codes(ids), -score, query))
+    query, score, ids = query[order], score[order], ids[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return query[place < k], score[place < k], ids[place < k]
 
 
 def _nearest(keys: pa.Array, queries: np.ndarray, k: int, threshold: float | None) -> Callable:
+    """A task's best vectors for each query. One product for a batch finds who may be among them; their scores are summed anew,
+    one by one in the same order, so equal vectors have equal scores and ties go by id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: tuple[np.ndarray, ...] | None = None
-        ids = None
+        n_queries = len(queries)
+        least = np.full(n_queries, -np.inf if threshold is None else threshold)
+        length = np.sqrt((queries**2).sum(axis=1))
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            own = batch.column(0)
-            ids = own if ids is None else pa.concat_arrays([ids, own])
-            by_id = ids.to_pandas().to_numpy()
-            new = np.arange(len(ids) - n, len(ids))
-            parts = []
-            for q in range(0, len(queries), QUERY_SLICE):
-                scores = np.einsum("qd,nd->qn", queries[q : q + QUERY_SLICE], vectors)
-                at = np.broadcast_to(new, scores.shape)
-                if best is not None:
-                    scores, at = np.concatenate([best[0][q : q + QUERY_SLICE], scores], axis=1), np.concatenate([best[1][q : q + QUERY_SLICE], at], axis=1)
-                keep = _best(scores, by_id[at], k)
-                parts.append((np.take_along_axis(scores, keep, 1), np.take_along_axis(at, keep, 1)))
-            best = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            used, inverse = np.unique(best[1], return_inverse=True)
-            ids, best = ids.take(pa.array(used)), (best[0], inverse.reshape(best[1].shape))
-        if best is not None:
-            q, s, a = np.repeat(np.arange(len(queries)), best[0].shape[1]), best[0].ravel(), best[1].ravel()
-            good = np.ones(len(s), bool) if threshold is None else s >= threshold
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(q[good])), ids.take(pa.array(a[good])), pa.array(s[good])], ["query_id", "vec_id", "score"])
+            vectors, ids = _matrix(batch.column(1)), batch.column(0).to_pandas().to_numpy()
+            slack = 1e-12 * (1 + length * np.sqrt((vectors**2).sum(axis=1).max()))
+            step = max(1, SCORES // n)
+            for at in range(0, n_queries, step):
+                part = slice(at, at + step)
+                scores = queries[part] @ vectors.T
+                bound = least[part] if n <= k else np.maximum(least[part], np.partition(scores, n - k, axis=1)[:, n - k])
+                q, v = np.nonzero(scores >= (bound - slack[part])[:, None])
+                exact = np.einsum("nd,nd->n", queries[q + at], vectors[v])
+                good = exact >= least[q + at] if threshold is not None else slice(None)
+                hits.append((q[good] + at, exact[good], ids[v[good]]))
+            query, score, own = _kept(*(np.concatenate([h[i] for h in hits]) for i in range(3)), k)
+            hits = [(query, score, own)]
+            full = np.flatnonzero(np.bincount(query, minlength=n_queries) == k)
+            least[full] = score[np.searchsorted(query, full, side="right") - 1]
+        if hits:
+            query, score, own = hits[0]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(query)), pa.array(own), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -176,7 +190,7 @@ def source_block(place: Column, title: Column, hierarchy: Column, score: Column,
     """One numbered source of a prompt."""
     return F.concat(
         F.lit("\n### Source "), place.cast("string"), F.lit(": "), F.substring_index(title, "\n", 1), F.lit("\n**Section**: "), F.array_join(hierarchy, " > "),
-        F.lit("\n**Relevance Score**: "), F.format_string("%.2f%%", score * 100), F.lit("\n\n"), text, F.lit("\n"),
+        F.lit("\n**Relevance Score**: "), decimals(score * 100, 2), F.lit("%"), F.lit("\n\n"), text, F.lit("\n"),
     )
 
 

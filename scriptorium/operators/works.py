@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import http_or_null, work_key
-from ..functions.text import let
+from ..functions.text import decimals, let
 
 _LOCATION = "struct<is_oa:boolean,landing_page_url:string,pdf_url:string,source:struct<id:string,display_name:string,issn_l:string,issn:array<string>,host_organization:string,type:string>,license:string,version:string,is_accepted:boolean,is_published:boolean>"
 _NAMED = "struct<display_name:string>"
@@ -143,7 +143,7 @@ def summary(flat: DataFrame) -> DataFrame:
 
 def summary_report(flat: DataFrame) -> DataFrame:
     """The summary as lines of text; shares are of all works, and there are none where there are no works."""
-    share = lambda c: F.concat(F.col(c).cast("string"), F.coalesce(F.format_string(" (%.1f%%)", F.try_divide(F.col(c) * 100.0, "total_works")), F.lit("")))
+    share = lambda c: F.concat(F.col(c).cast("string"), F.coalesce(F.concat(F.lit(" ("), decimals(F.try_divide(F.col(c) * 100.0, "total_works"), 1), F.lit("%)")), F.lit("")))
     s = summary(flat)
     lines = [F.concat(F.lit("Works: "), F.col("total_works").cast("string")), *[F.concat(F.lit(f"{name}: "), share(c)) for name, c in (("With PDF", "with_pdf"), ("Without PDF", "without_pdf"), ("With DOI", "with_doi"))]]
     return s.select(F.explode(F.array(*lines)).alias("line"))

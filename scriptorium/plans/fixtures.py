@@ -1,6 +1,6 @@
 """Inputs for structural operators, derived from the driver's tables: a Spark form and its DuckDB form side by side.
 
-The driver's documents have no blank lines, headings, citations or tables, so queries derive them by these rules.
+The driver's documents have no blank lines, headings, citations or tables, so queries derive them by these rules; no text is cut.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.files import spread, table
 
 MARKDOWN = r"""array_join(transform(split(text, '\n'), (l, i) -> concat(
-    CASE WHEN i % 5 = 1 THEN concat(repeat('#', CAST(1 + (i DIV 5) % 3 AS INT)), ' ', substr(l, 1, 40)) ELSE l END,
+    CASE WHEN i % 5 = 1 THEN concat(repeat('#', CAST(1 + (i DIV 5) % 3 AS INT)), ' ', substr(l, 1, 40), CASE WHEN length(l) > 40 THEN concat('\n', substr(l, 41)) ELSE '' END) ELSE l END,
     CASE WHEN i % 7 = 6 THEN '\n---\n' ELSE '' END)), '\n\n')"""
 MARKDOWN_SQL = """array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
-    CASE WHEN (i-1) % 5 = 1 THEN repeat('#', CAST(1 + ((i-1)//5) % 3 AS INT)) || ' ' || substr(l, 1, 40) ELSE l END
+    CASE WHEN (i-1) % 5 = 1 THEN repeat('#', CAST(1 + ((i-1)//5) % 3 AS INT)) || ' ' || substr(l, 1, 40) || CASE WHEN length(l) > 40 THEN chr(10) || substr(l, 41) ELSE '' END ELSE l END
     || CASE WHEN (i-1) % 7 = 6 THEN chr(10) || '---' || chr(10) ELSE '' END), chr(10) || chr(10))"""
 PARAGRAPHS = r"replace(text, '\n', '\n\n')"
 PARAGRAPHS_SQL = "replace(text, chr(10), chr(10) || chr(10))"

@@ -214,13 +214,13 @@ def elements_markdown(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda label, *text: F.struct(F.lit(label).alias("label"), F.concat(*text).alias("text"))
     lit, body = F.lit, F.translate("text", "\n", " ")
     elements = F.array(
-        t("sec_0", lit(" Head\nline ")), t("sec_3", lit("中\n文")), t("text", F.substring(body, 1, 40), lit("-\n"), F.substring(body, 41, 30), lit("\n\nend")), t("list", lit(" item ")), t("code", lit("x = 1")),
+        t("sec_0", lit(" Head\nline ")), t("sec_3", lit("中\n文")), t("text", F.substring(body, 1, 40), lit("-\n"), F.substring(body, F.lit(41), F.length(body)), lit("\n\nend")), t("list", lit(" item ")), t("code", lit("x = 1")),
         t("equ", lit("$a \\leq b\\\\ $")), t("tab", lit('<table a="b"><tr></tr></table>')), t("fig", lit("![Figure](f.png)")), t("fig", lit("iVBOR")), t("text", lit("  ")), t("page_separator", lit("---")),
     )
     return table(spark, sf, "benchmark").select("item_id", markdown.elements_markdown(elements).alias("markdown"))
 
 
-_BODY = "substr(replace(text, chr(10), ' '), 1, 70)"
+_BODY = "replace(text, chr(10), ' ')"
 ELEMENTS_SQL = f"""SELECT item_id, '# Head line' || chr(10) || chr(10) || '### ' || chr(20013) || chr(25991) || chr(10) || chr(10)
     || trim({_BODY}) || chr(10) || chr(10) || 'end' || chr(10) || chr(10) || '- item' || chr(10) || '```bash' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || chr(10)
     || '$$a \\leq  b$$' || chr(10) || chr(10) || '<table><tr></tr></table>' || chr(10) || chr(10) || chr(10) || '![Figure](f.png)' || chr(10) || chr(10) || '![Figure 8](data:image/png;base64,iVBOR)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS markdown FROM benchmark"""
@@ -259,7 +259,7 @@ QUERIES = {
     "unprocessed": (unprocessed, "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)"),
     "limited_to_do": (limited_to_do, "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) d ANTI JOIN labels USING (doc_id)"),
     "already_processed": (already_processed, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
-    "modulo_shards": (modulo_shards, "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents WHERE doc_id % 3 <> 1) WHERE p % 7 = 2"),
+    "modulo_shards": (modulo_shards, "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 7 = 2"),
     "slice_page": (slice_page, "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 25 OFFSET 50"),
     "papers_with_metadata": (papers_with_metadata, "SELECT d.doc_id AS paper_id, CASE WHEN d.doc_id % 2 = 1 THEN d.doc_id || '.v1' WHEN toxic = 0 THEN 'A title' ELSE 'Unknown Title' END AS paper_title, length(text) AS length FROM documents d JOIN labels l USING (doc_id)"),
     "hourly_uploads": (hourly_uploads, "SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(*) AS files FROM events WHERE ts > TIMESTAMP '2024-01-19 12:30:00' GROUP BY 1 ORDER BY 1 DESC LIMIT 12"),

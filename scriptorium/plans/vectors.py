@@ -11,7 +11,7 @@ from ..sources.files import table
 from . import fixtures
 
 #: Scores are compared after rounding, as sums are taken in another order.
-HITS_SQL = """h AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+HITS_SQL = """h AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM h)"""
 
 
@@ -28,7 +28,7 @@ def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
 def vector_two_phase(spark: SparkSession, sf: str) -> DataFrame:
     by_label = lambda hits: hits.withColumn("score", F.round("score", 6) - F.col("label") * 0.01)
     hits = retrieval.search(table(spark, sf, "embeddings"), fixtures.queries(spark, sf), k=10, candidates=75, rerank_with=by_label)
-    return hits.select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long"))
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +111,7 @@ QUERIES = {
     "vector_threshold": (vector_threshold, f"WITH {HITS_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank < 10 AND score >= 0.3"),
     "vector_two_phase": (vector_two_phase, f"""WITH {HITS_SQL}, c AS (SELECT query_id, vec_id, round(score, 6) - label * 0.01::DOUBLE AS score FROM r WHERE rank < 75),
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM c)
-        SELECT query_id, vec_id, round(score, 5) AS score, rank FROM n WHERE rank < 10"""),
+        SELECT query_id, vec_id, round(score, 6) AS score, rank FROM n WHERE rank < 10"""),
     "vector_normalize": (vector_normalize, "SELECT vec_id, round((vec_id % 3) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS unit FROM embeddings"),
     "label_coherence": (label_coherence, """WITH p AS (SELECT a.label, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
         SELECT p.label, n.n AS vectors, round(avg(c), 6) AS coherence FROM p JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) n ON n.label = p.label GROUP BY p.label, n.n"""),
