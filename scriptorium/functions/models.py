@@ -2,18 +2,22 @@
 
 An embedder takes a list of texts and returns a float32 matrix; a reranker takes queries and texts
 and returns scores; a page model takes images and prompts and returns strings. Each runs in Arrow batches, once loaded per
-worker. Spark's task retry stands in for call retries; a model that wants smaller batches cuts them itself.
+worker. :func:`retrying` and :func:`halving` give a remote model patience, :func:`or_original` gives a reranker a way out, and a
+:class:`ModelHandle` loads once and can be unloaded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, functions as F
 
+from ..errors import ModelLoadError
+
 Embedder = Callable[[list[str]], np.ndarray]
 Reranker = Callable[[list[str], list[str]], list[float]]
 PageModel = Callable[[list[bytes], list[str]], list[str]]
@@ -50,6 +54,79 @@ def batched(texts: list[str], call: Embedder, size: int = 100) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, 0), np.float32)
 
 
+def retrying(call: Callable, attempts: int = 3, wait: float = 4.0, most_wait: float = 10.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call``, tried ``attempts`` times, with a wait that doubles up to ``most_wait`` seconds; the last error goes on."""
+
+    def run(*args):
+        for attempt in range(attempts):
+            try:
+                return call(*args)
+            except Exception:
+                if attempt == attempts - 1:
+                    raise
+                sleep(min(most_wait, wait * 2**attempt))
+
+    return run
+
+
+def halving(call: Embedder) -> Embedder:
+    """An embedder that, where a batch fails, tries its halves, down to single texts; a single text's error goes on."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        try:
+            return call(texts)
+        except Exception:
+            if len(texts) < 2:
+                raise
+            middle = len(texts) // 2
+            return np.concatenate([run(texts[:middle]), run(texts[middle:])])
+
+    return run
+
+
+def or_original(call: Reranker) -> Callable[[list[str], list[str]], list[float | None]]:
+    """A reranker whose failure gives no scores, so :func:`..operators.retrieval.rerank` keeps the scores and the order from before."""
+
+    def run(queries: list[str], texts: list[str]) -> list[float | None]:
+        try:
+            return call(queries, texts)
+        except Exception:
+            return [None] * len(texts)
+
+    return run
+
+
+class ModelHandle:
+    """A page model that is loaded by ``loader`` when it is first asked, once, and can be unloaded."""
+
+    def __init__(self, loader: Callable[[], PageModel]):
+        self.loader, self._model = loader, None
+
+    @property
+    def is_loaded(self) -> bool:
+        return self._model is not None
+
+    def load(self) -> None:
+        if self._model is None:
+            try:
+                self._model = self.loader()
+            except Exception as error:
+                raise ModelLoadError(f"{type(error).__name__}: {error}") from error
+
+    def unload(self) -> None:
+        self._model = None
+
+    def __call__(self, images: Sequence[bytes], prompts: Sequence[str]) -> list[str]:
+        if len(images) != len(prompts):
+            raise ValueError("an image for each prompt")
+        self.load()
+        return list(self._model(list(images), list(prompts)))
+
+    def chat(self, prompt: str | list[str], image: bytes | list[bytes]) -> str | list[str]:
+        """One prompt and image to a string, lists to a list."""
+        return self([image], [prompt])[0] if isinstance(prompt, str) else self(image, prompt)
+
+
 def embed(text: Column | str, model: Callable[[], Embedder] = HashedWords, batch: int = 100) -> Column:
     """``array<float>`` for each text; ``model`` makes the embedder, once for each worker task."""
 

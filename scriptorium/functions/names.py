@@ -151,3 +151,17 @@ def filter_string(filters: Column | str) -> Column:
     """A map back to ``k:v,k:v``, keys in the map's order."""
     return F.array_join(F.transform(F.map_entries(col(filters)), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
 
+
+
+def negotiated_language(header: Column | str, supported: tuple[str, ...] = ("en", "fr"), default: str = "en") -> Column:
+    """The supported language that an ``Accept-Language`` header wants most: by weight, then by place; regions count for their language."""
+    parts = F.transform(F.split(F.lower(F.coalesce(col(header), F.lit(""))), ","), strip)
+    weight = lambda p: F.coalesce(F.regexp_extract(p, r";\s*q=([01](?:\.\d+)?)", 1).try_cast("double"), F.lit(1.0))
+    weighed = F.transform(parts, lambda p, i: F.struct((-weight(p)).alias("w"), i.alias("i"), F.regexp_extract(p, r"^([a-z]+)", 1).alias("l")))
+    good = F.array_sort(F.filter(weighed, lambda x: x["l"].isin(*supported) & (x["w"] < 0)))
+    return F.coalesce(F.get(good, F.lit(0))["l"], F.lit(default))
+
+
+def known_values(values: Column | str) -> Column:
+    """A map without its null values."""
+    return F.map_filter(col(values), lambda k, v: v.isNotNull())

@@ -141,3 +141,13 @@ def embedding_cost(chunks: DataFrame, price: float, sample: int = 100, order: st
     whole = chunks.agg(F.count("*").alias("total_texts")).crossJoin(F.broadcast(first))  # two rows of one
     tokens = F.coalesce((F.col("_mean") * F.col("total_texts")).cast("long"), F.lit(0).cast("long"))
     return whole.select("total_texts", tokens.alias("tokens"), (tokens / 1_000_000 * price).alias("cost"))
+
+
+def sample_chunks(chunks: DataFrame, n: int = 20, seed: int = 0, key: str = "chunk_id") -> DataFrame:
+    """``n`` chunks without replacement, the same for a seed whatever the partitions: those of the least hash of seed and key."""
+    return chunks.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def overlap_efficiency(chunks: DataFrame, by: list[str] = ()) -> DataFrame:
+    """The reference's measure of overlap, which it leaves at 0 for every strategy."""
+    return _group(chunks, list(by), F.lit(0.0).alias("overlap_efficiency"))

@@ -74,6 +74,14 @@ def status(total: int, done: int, by_hour: DataFrame, objects: DataFrame, now: C
     )
 
 
+#: What to look at when nothing has been uploaded for an hour.
+IDLE_ADVICE = [
+    "No uploads in the last hour. Look at the running job's stages and at the failures table,",
+    "check that executors are alive and have disk and memory left,",
+    "and start the job again: documents that are done are left out.",
+]
+
+
 def run_counters(outcomes: DataFrame, by: list[str] = ()) -> DataFrame:
     """Counts of outcome rows (id, status in ok, skipped, failed, no_url): found, each status, and the success rate in percent (0 without rows)."""
     n = lambda s: F.count_if(F.col("status") == s)

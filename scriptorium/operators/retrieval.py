@@ -154,7 +154,12 @@ def index(chunks: DataFrame, model: Callable = HashedWords, batch: int = 100) ->
     return chunks.withColumn("_v", embed("text", model, batch)).select("*", F.col("chunk_id").alias("vec_id"), normalized("_v").cast("array<float>").alias("embedding")).drop("_v")
 
 
-def rerank(candidates: DataFrame, k: int = 10, model: Callable[[], Reranker] = lambda: overlap_reranker, query_col: str = "query", text_col: str = "text", tie: str = "vec_id") -> DataFrame:
+def overlap_model() -> Reranker:
+    """The reranker that needs no network."""
+    return overlap_reranker
+
+
+def rerank(candidates: DataFrame, k: int = 10, model: Callable[[], Reranker] = overlap_model, query_col: str = "query", text_col: str = "text", tie: str = "vec_id") -> DataFrame:
     """Scores candidates anew, keeps ``k`` for each query and numbers them from 0; a null score keeps the old one."""
     scored = candidates.withColumn("score", F.coalesce(rerank_scores(query_col, text_col, model), "score"))
     return ranked(scored.drop("rank"), k, tie=tie)

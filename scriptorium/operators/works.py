@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import http_or_null, work_key
 from ..functions.text import decimals, let
@@ -142,11 +144,29 @@ def summary(flat: DataFrame) -> DataFrame:
 
 
 def summary_report(flat: DataFrame) -> DataFrame:
-    """The summary as lines of text; shares are of all works, and there are none where there are no works."""
-    share = lambda c: F.concat(F.col(c).cast("string"), F.coalesce(F.concat(F.lit(" ("), decimals(F.try_divide(F.col(c) * 100.0, "total_works"), 1), F.lit("%)")), F.lit("")))
-    s = summary(flat)
-    lines = [F.concat(F.lit("Works: "), F.col("total_works").cast("string")), *[F.concat(F.lit(f"{name}: "), share(c)) for name, c in (("With PDF", "with_pdf"), ("Without PDF", "without_pdf"), ("With DOI", "with_doi"))]]
-    return s.select(F.explode(F.array(*lines)).alias("line"))
+    """(place, line): the summary as text: availability, statuses, citations and the ten most frequent open sources.
+
+    Shares are of all works, and there are none where there are no works.
+    """
+    number = lambda c: F.format_number(F.coalesce(F.col(c), F.lit(0)), 0)
+    share = lambda c: F.coalesce(F.concat(F.lit(" ("), decimals(F.try_divide(F.col(c) * 100.0, "total_works"), 1), F.lit("%)")), F.lit(""))
+    counted = [("Works with PDF URLs", "with_pdf"), ("Works without PDF URLs", "without_pdf"), ("Works with best open PDF", "with_best_oa_pdf"), ("Works with primary PDF", "with_primary_pdf"), ("Works with DOI", "with_doi"), ("Works without DOI", "without_doi")]
+    cited = [("Citations in all", number("total_citations")), ("Citations, mean", decimals(F.coalesce("mean_citations", F.lit(0.0)), 2)), ("Citations, median", decimals(F.coalesce("median_citations", F.lit(0.0)), 0)), ("Citations, most", number("max_citations"))]
+    years = F.concat_ws(" to ", F.col("min_year").cast("string"), F.col("max_year").cast("string"))
+    said = [("Works", number("total_works")), *[(t, F.concat(number(c), share(c))) for t, c in counted], ("Years", years), *cited]
+    lines = F.array(*[F.concat(F.lit(f"{t}: "), v) for t, v in said])
+    whole = summary(flat).select(F.posexplode(lines).alias("place", "line"))
+    total = F.sum("count").over(Window.partitionBy())
+    statuses = value_counts(flat, "oa_status").withColumn("share", F.col("count") * 100.0 / total)
+    ranked = F.row_number().over(Window.orderBy(F.desc("count"), "value"))  # as many rows as there are statuses, or ten
+    status_lines = statuses.select((ranked + 99).alias("place"), F.concat(F.lit("Open access, "), "value", F.lit(": "), F.format_number("count", 0), F.lit(" ("), decimals(F.col("share"), 1), F.lit("%)")).alias("line"))
+    source_lines = value_counts(flat, "best_oa_source", 10).select((ranked + 199).alias("place"), F.concat(F.lit("Source, "), F.substring("value", 1, 50), F.lit(": "), F.format_number("count", 0)).alias("line"))
+    return whole.unionByName(status_lines).unionByName(source_lines)
+
+
+def filtered(flat: DataFrame, predicate: Callable[[DataFrame], Column]) -> DataFrame:
+    """The works for which a caller's predicate over the frame holds."""
+    return flat.where(predicate(flat))
 
 
 def abstracts(works: DataFrame, work_col: str = "work") -> DataFrame:

@@ -40,6 +40,11 @@ def pdf_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(folder).select("path", "content")
 
 
+def pdf_store(spark: SparkSession, path: str) -> DataFrame:
+    """(id, url, bytes) of the PDFs that the command ``download`` wrote under ``path``."""
+    return spark.read.parquet(f"{path}/pdfs").where("status = 'ok'").select("id", "url", "bytes")
+
+
 def folders(listing: DataFrame, prefix: str) -> DataFrame:
     """Distinct names of the folders right under a prefix."""
     tail = F.when(F.contains("path", F.lit(prefix)), F.substring_index("path", prefix, -1))

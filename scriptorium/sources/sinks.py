@@ -1,16 +1,16 @@
 """Writing: Parquet and JSON tables, chunk envelopes, the index, documents, failures and reports.
 
 Every sink is a Spark write to a path that the cluster's file system resolves; none goes through the driver but the
-one-page HTML report.
+HTML report, whose rows are those of a few strategies.
 """
 
 from __future__ import annotations
 
-from html import escape
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from ..functions.names import is_pdf
+
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", compression).parquet(path)
@@ -39,17 +39,37 @@ def write_index(embedded: DataFrame, path: str, mode: str = "overwrite") -> None
     embedded.write.mode(mode).partitionBy("chunk_type").parquet(path)
 
 
-def write_works(works: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Each work's JSON under a folder of its key."""
-    out = works.select(F.substring_index("work.id", "/", -1).alias("key"), F.to_json("work").alias("value"))
-    out.write.mode(mode).partitionBy("key").text(path)
+def write_works(works: DataFrame, path: str, mode: str = "overwrite", buckets: int = 64) -> None:
+    """(key, work as JSON) rows in ``buckets`` folders by the key's hash; :func:`export_works` makes a folder for each work."""
+    out = works.select(F.substring_index("work.id", "/", -1).alias("key"), F.to_json("work").alias("json"))
+    _bucketed(out, "key", path, mode, buckets)
+
+
+def write_documents(docs: DataFrame, path: str, mode: str = "overwrite", buckets: int = 64) -> None:
+    """(paper_id, markdown) rows in ``buckets`` folders by the id's hash; :func:`export_documents` makes a folder for each paper."""
+    _bucketed(docs.select("paper_id", "markdown"), "paper_id", path, mode, buckets)
+
+
+def _bucketed(df: DataFrame, key: str, path: str, mode: str, buckets: int) -> None:
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket")
+    dealt.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Markdown under ``path/paper_id=<id>``."""
+def export_works(works: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``path/key=<key>`` with a work's JSON: a folder and a file for each, so for thousands of works, not for a whole corpus."""
+    works.select(F.substring_index("work.id", "/", -1).alias("key"), F.to_json("work").alias("value")).write.mode(mode).partitionBy("key").text(path)
+
+
+def export_documents(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """``path/paper_id=<id>`` with a paper's Markdown: for thousands of papers, as :func:`export_works`."""
     docs.select("paper_id", F.col("markdown").alias("value")).write.mode(mode).partitionBy("paper_id").option("lineSep", "\n").text(path)
 
 
+def write_figures(figures: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """(source_file, figure_path, crop) rows: PNG files as values of a Parquet table, by document's hash."""
+    _bucketed(figures, "source_file", path, mode, 64)
+
+
 def write_failures(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Failures by worker."""
     write_json(rows, path, "worker_id", mode)
@@ -76,16 +96,19 @@ def fetched(urls: DataFrame, fetch, url_col: str = "url") -> DataFrame:
             kind, data = fetch(url)
         except Exception as error:
             return "failed", None, f"{type(error).__name__}: {error}"
-        if not ("pdf" in (kind or "").lower() or url.lower().endswith(".pdf")):
-            return "failed", None, f"content type {kind}"
-        return ("ok", data, None) if data else ("failed", None, "empty")
+        return ("ok", data, kind) if data else ("failed", None, "empty")
 
     def run(frames):
         for frame in frames:
             got = pd.DataFrame([one(u) for u in frame[url_col]], columns=["status", "bytes", "error"], index=frame.index)
             yield pd.concat([frame, got], axis=1)
 
-    return urls.mapInPandas(run, schema)
+    got = urls.mapInPandas(run, schema)
+    wrong = (F.col("status") == "ok") & ~is_pdf("error", url_col)
+    return got.withColumns({
+        "status": F.when(wrong, "failed").otherwise(F.col("status")), "bytes": F.when(~wrong, F.col("bytes")),
+        "error": F.when(wrong, F.concat(F.lit("content type "), F.coalesce("error", F.lit("unknown")))).when(F.col("status") != "ok", F.col("error")),
+    })
 
 
 def url_outcomes(works: DataFrame, url: Column, existing: DataFrame, fetch) -> DataFrame:
@@ -96,13 +119,6 @@ def url_outcomes(works: DataFrame, url: Column, existing: DataFrame, fetch) -> D
     return skipped.unionByName(fetched(rows.join(known, "id", "left_anti"), fetch).select("id", "status"))
 
 
-def html_report(metrics: DataFrame, name_col: str = "strategy", title: str = "Chunking strategies") -> str:
-    """A page with the metrics of a few strategies and the recommended one."""
-    from ..operators.evaluation import recommended, report_rows
-
-    rows = report_rows(metrics, name_col).orderBy(name_col).collect()
-    best = recommended(metrics, name_col).first()
-    head = "".join(f"<th>{escape(c)}</th>" for c in rows[0].asDict()) if rows else ""
-    body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    chosen = f"<p>Recommended: {escape(str(best[name_col]))} ({best['score']:.1f})</p>" if best else ""
-    return f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{chosen}<table><tr>{head}</tr>{body}</table></body></html>"
+def write_html(spark, page: str, path: str) -> None:
+    """A page as one text file on the cluster's file system."""
+    spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -1,7 +1,9 @@
 """A Spark data source for cursor-paged works: ``spark.read.format("works_pages")``.
 
-Options: ``filter`` (``k:v,k:v``), ``per_page``, ``email``, and ``pages``, a folder of saved pages that stands in for the network.
-Pages depend on the cursor of the page before, so the read is one task; a failing page ends it and keeps what came before.
+Options: ``filter`` (``k:v,k:v``), ``per_page``, ``email``, ``attempts``, and ``pages``, a folder of saved pages that stands in for the network.
+Pages depend on the cursor of the page before, so the read is one task. A page is tried ``attempts`` times. Where it fails for
+good the read fails if it was the first page; later, what came before is kept, and a last row says so: ``json`` is null,
+``error`` has the reason and ``cursor`` the place to go on from (option ``cursor``). Without such a row the read is complete.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from urllib.request import urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.models import retrying
+
 
 def request_parameters(options: dict[str, str], cursor: str) -> dict[str, str]:
     """What a page is asked with."""
@@ -21,19 +25,25 @@ def request_parameters(options: dict[str, str], cursor: str) -> dict[str, str]:
     return out | ({"mailto": options["email"]} if options.get("email") else {})
 
 
-def walk(fetch: Callable[[str], dict]) -> Iterator[dict]:
-    """All records from cursor ``*`` on, until a page is empty or names no next cursor; an error ends the walk."""
-    cursor: str | None = "*"
+def walk(fetch: Callable[[str], dict], start: str = "*", attempts: int = 3, wait: float = 1.0) -> Iterator[tuple[dict | None, str | None, str]]:
+    """(record, error, cursor) from cursor ``start`` on, until a page is empty or names no next cursor.
+
+    An error of the first page is raised; one of a later page ends the walk with a row that has no record.
+    """
+    tried = retrying(fetch, attempts, wait)
+    cursor: str | None = start
     while cursor:
         try:
-            page = fetch(cursor)
-        except Exception:
+            page = tried(cursor)
+        except Exception as error:
+            if cursor == start:
+                raise
+            yield None, f"{type(error).__name__}: {error}", cursor
             return
         results = page.get("results") or []
-        if not results:
-            return
-        yield from results
-        cursor = (page.get("meta") or {}).get("next_cursor")
+        for record in results:
+            yield record, None, cursor
+        cursor = (page.get("meta") or {}).get("next_cursor") if results else None
 
 
 class WorksReader(DataSourceReader):
@@ -51,19 +61,20 @@ class WorksReader(DataSourceReader):
             return json.load(f)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for record in walk(self._fetch):
-            yield (json.dumps(record, ensure_ascii=False),)
+        attempts, wait = int(self.options.get("attempts", "3")), float(self.options.get("wait", "1"))
+        for record, error, cursor in walk(self._fetch, self.options.get("cursor", "*"), attempts, wait):
+            yield (json.dumps(record, ensure_ascii=False) if record is not None else None, error, cursor)
 
 
 class WorksSource(DataSource):
-    """Rows ``json``; :func:`scriptorium.operators.works.parse_works` reads them."""
+    """Rows (json, error, cursor); :func:`scriptorium.operators.works.parse_works` reads them, without the row of a failure."""
 
     @classmethod
     def name(cls) -> str:
         return "works_pages"
 
     def schema(self) -> str:
-        return "json string"
+        return "json string, error string, cursor string"
 
     def reader(self, schema) -> WorksReader:
         return WorksReader(dict(self.options))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import layout, markdown, names, vectors
 from scriptorium.functions.models import HashedWords, count_tokens, overlap_reranker
-from scriptorium.operators import assembly, chunking, evaluation, operations, retrieval, works
+from scriptorium.operators import assembly, chunking, evaluation, operations, reports, retrieval, works
 from scriptorium.plans import fixtures
 from scriptorium.sources import files, sinks, works_api
 from scriptorium.streaming import incremental
@@ -80,9 +80,11 @@ def test_coherence_against_pairs(spark):
     assert got[0]["coherence"] == pytest.approx((c.sum() - np.trace(c)) / 6) and got[1]["coherence"] == 1.0
 
 
-def test_published_coverage_ratios():
-    for with_citations, total, share in ((263, 514, 51.167), (278, 623, 44.623), (134, 226, 59.292)):
-        assert round(100 * with_citations / total, 3) == share
+@pytest.mark.parametrize("with_citations, total, share", [(263, 514, 51.167), (278, 623, 44.623), (134, 226, 59.292)])
+def test_published_coverage_ratios(spark, with_citations, total, share):
+    chunks = spark.range(total).select(F.when(F.col("id") < with_citations, "as found [1] before").otherwise("no source").alias("text"))
+    found = evaluation.citation_integrity(chunks).first()
+    assert (found["chunks_with_citations"], found["total_chunks"]) == (with_citations, total) and round(100 * found["citation_coverage"], 3) == share
 
 
 def test_layout_pushes_boxes_down(spark):
@@ -136,7 +138,13 @@ def test_works_reject_and_round_trip(spark, data):
     assert flat["openalex_id"] == "W1" and flat["is_oa"] is False and flat["num_locations"] == 0 and not flat["has_any_pdf"]
     w = fixtures.works(spark, data)
     assert works.flatten(works.rebuilt(works.flatten(w)), full_json=False).exceptAll(works.flatten(w, full_json=False)).count() == 0
-    assert works.summary_report(works.flatten(w, full_json=False).limit(0)).count() == 4
+    assert works.summary_report(works.flatten(w, full_json=False).limit(0)).count() == 12
+    flat = works.flatten(w, full_json=False)
+    lines = [r["line"] for r in works.summary_report(flat).orderBy("place").collect()]
+    n = flat.count()
+    with_pdf = flat.where("has_any_pdf").count()
+    assert lines[0] == f"Works: {n:,}" and lines[1] == f"Works with PDF URLs: {with_pdf:,} ({100 * with_pdf / n:.1f}%)" and lines[-1].startswith("Source, ")
+    assert works.filtered(flat, lambda f: f["has_any_pdf"]).count() == with_pdf
 
 
 def test_abstract(spark):
@@ -145,11 +153,17 @@ def test_abstract(spark):
 
 
 def test_works_source_walks_cursors_and_keeps_what_it_read(spark, tmp_path):
+    spark.dataSource.register(works_api.WorksSource)
+    with pytest.raises(Exception, match="start.json"):  # without the first page there is nothing
+        spark.read.format("works_pages").options(pages=str(tmp_path), wait="0").load().collect()
     (tmp_path / "start.json").write_text(json.dumps({"results": [{"id": "1"}], "meta": {"next_cursor": "c2"}}))
     (tmp_path / "c2.json").write_text(json.dumps({"results": [{"id": "2"}], "meta": {"next_cursor": "gone"}}))
-    spark.dataSource.register(works_api.WorksSource)
-    got = spark.read.format("works_pages").option("pages", str(tmp_path)).load()
-    assert sorted(json.loads(r["json"])["id"] for r in got.collect()) == ["1", "2"]
+    got = spark.read.format("works_pages").options(pages=str(tmp_path), wait="0").load().collect()
+    assert sorted(json.loads(r["json"])["id"] for r in got if r["json"]) == ["1", "2"]
+    assert [(r["cursor"], "FileNotFoundError" in r["error"]) for r in got if r["error"]] == [("gone", True)]
+    (tmp_path / "gone.json").write_text(json.dumps({"results": [{"id": "3"}], "meta": {}}))
+    rest = spark.read.format("works_pages").options(pages=str(tmp_path), cursor="gone").load().collect()
+    assert [json.loads(r["json"])["id"] for r in rest] == ["3"] and rest[0]["error"] is None
     assert works_api.request_parameters({"filter": "a:b", "email": "x@y"}, "*") == {"filter": "a:b", "per-page": "200", "cursor": "*", "mailto": "x@y"}
 
 
@@ -218,8 +232,8 @@ def test_streams(spark, data, tmp_path):
 
 def test_report(spark):
     m = spark.createDataFrame([("a<", 2000.0, 300.0, 0.0, None, 0.5)], "strategy string, mean_chars double, std_chars double, coherence double, boundary double, citation_coverage double")
-    page = sinks.html_report(m)
-    assert "a&lt;" in page and "N/A" in page and "0.000" in page
+    page = reports.html_report(m.withColumn("count", F.lit(7)))
+    assert "a&lt;" in page and "N/A" in page and "0.000" in page and "Recommended: a&lt;" in page and "<svg" in page
 
 
 def test_command_line(spark, data, tmp_path, capsys):
