@@ -56,7 +56,7 @@ def discard(df: DataFrame) -> None:
 
 def size_of(df: DataFrame) -> int:
     """Bytes of the files that a frame reads, as the optimizer's statistics give them."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
