@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -210,7 +211,7 @@ def test_language_edges_and_mixture(edges, docs):
     rows = langid.predict(edges, model, ["doc_id", "text"]).collect()
     assert len(rows) == len(EDGES)
     for r in rows:
-        letter = bool(re.search(r"[^\W\d_]", r["text"] or ""))
+        letter = any(unicodedata.category(c).startswith("L") for c in r["text"] or "")
         assert (r["lang_pred"] != "und") == letter and 0 <= r["score"] <= 1
     by = {}
     for r in docs.where("length(text) > 400").collect():
@@ -254,6 +255,21 @@ def test_mixing_against_python(edges, docs):
     assert mixing.mixed(edges.limit(0)).count() == 0 and "component_id" in mixing.mixed(edges).columns
 
 
+@pytest.mark.parametrize("limit", [mixing.BROADCAST_BYTES, 0])
+def test_mixing_leaves_columns_alone(spark, docs, edges, monkeypatch, limit):
+    """Columns with any name come out as they went in, ties keep their rows, and sources beyond the broadcast give the same."""
+    odd = ["_u", "_count", "_cdf", "_parts", "_source", "doc", "key", "draw", "of", "salt"]
+    wide = edges.select(*docs.columns, *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in odd])
+    want = {tuple(r)[:2]: tuple(r) for r in wide.collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", limit)
+    out = mixing.mixed(wide, {"a": 1.0, "b": 3.0}, seed=2)
+    assert out.columns == [*wide.columns, "rate", "copy", "shuffle_key"]
+    rows = out.collect()
+    assert rows and all(tuple(r)[: len(wide.columns)] == want[tuple(r)[:2]] for r in rows)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 1 << 40)
+    assert sorted(r["shuffle_key"] for r in mixing.mixed(wide, {"a": 1.0, "b": 3.0}, seed=2).collect()) == sorted(r["shuffle_key"] for r in rows)
+
+
 # Chat.
 
 
@@ -264,7 +280,7 @@ def test_snapshots(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string")
     got = {r["conv_id"]: (r["n_turns"], r["copies"], r["rendered"]) for r in chat.rendered(df).collect()}
     assert set(got) == {3, 5, 6, None} and got[3][:2] == (3, 2)
-    assert got[None][2] == "<|im_start|>u\nzz<|im_end|>\n" * 2 and got[6][2] == "<|im_start|>\n<|im_end|>\n"
+    assert got[None] == (1, 2, "<|im_start|>u\nzz<|im_end|>\n") and got[6][2] == "<|im_start|>\n<|im_end|>\n"
     assert chat.rendered(df.limit(0)).count() == 0
 
 
@@ -328,6 +344,7 @@ def test_near_duplicates_against_all_pairs(spark, docs, k, percent):
 
 def test_near_duplicate_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 60)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(80)]
     rows = [(i, " ".join(w if rng.random() > 0.04 else f"x{rng.randrange(20)}" for w in base)) for i in range(60)]
@@ -346,6 +363,18 @@ def test_near_duplicate_edges(edges):
     assert neardup.near_duplicates(edges.limit(0)).count() == 0 == neardup.deduplicated(edges.limit(0)).count()
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    """Rows of one id and different texts are different documents: only those of a linked text go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (5, a + " more", "x"), (5, b, "x"), (5, b, "y"), (7, b + " tail", "x"), (9, c, "x"), (9, c, "y"), (None, a, "x"), (4, "", "x"), (4, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc string")
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert got[5, 59] == (1, False) and got[5, 58] == (5, True) and got[7, 59] == (5, False) and got[9, 58] == (9, True) and got[None, 58] == (None, True)
+    kept = neardup.deduplicated(df, 3, 85)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(1, a), (5, b), (9, c), (0, a), (4, "")])
+
+
 def test_forest():
     xs, ys = neardup.forest([1, 2, 3, 1], [2, 3, 1, 4])
     assert len(xs) == 3
