@@ -48,11 +48,19 @@ l AS (SELECT paper_id, i, line, length(regexp_extract(line, '^(#{{1,6}})\s+(.+)$
       FROM (SELECT paper_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d)),
 n AS (SELECT *, count(*) FILTER (level > 0) OVER (PARTITION BY paper_id ORDER BY i) AS s, count(*) FILTER (level > 0) OVER (PARTITION BY paper_id) AS heads FROM l),
 s AS (SELECT paper_id, s, min(pos) AS char_start, string_agg(line, chr(10) ORDER BY i) AS t, max(level) AS level, max(head) FILTER (level > 0) AS head FROM n WHERE s > 0 OR heads = 0 GROUP BY paper_id, s)"""
-COARSE_SQL = f"""{SECTIONS_SQL},
-c0 AS (SELECT paper_id, s, char_start, CASE WHEN length(t) <= {HYBRID.coarse_max} THEN [t] ELSE {_packed('t', str(HYBRID.coarse_max))} END AS pieces FROM s),
+
+
+def coarse_sql(o: chunking.HybridOptions) -> str:
+    """CTEs up to ``coarse``: paper_id, chunk_index, total_chunks, char_start, text."""
+    return f"""{SECTIONS_SQL},
+c0 AS (SELECT paper_id, s, char_start, CASE WHEN length(t) <= {o.coarse_max} THEN [t] ELSE {_packed('t', str(o.coarse_max))} END AS pieces FROM s),
 c1 AS (SELECT paper_id, s, char_start, unnest(pieces) AS raw, unnest(range(len(pieces))) AS j FROM c0),
 c2 AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY s, j) - 1 AS chunk_index, count(*) OVER (PARTITION BY paper_id) AS total_chunks FROM c1),
-coarse AS ({_overlapped(HYBRID.coarse_overlap, 'paper_id', 'chunk_index').format('c2')})"""
+coarse AS ({_overlapped(o.coarse_overlap, 'paper_id', 'chunk_index').format('c2')})"""
+
+
+COARSE_SQL = coarse_sql(HYBRID)
+STRATEGIES_SQL = "SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(f"WITH {coarse_sql(o)} SELECT '{name}' AS strategy, paper_id, chunk_index, text FROM coarse" for name, o in chunking.STRATEGIES.items()) + ")"
 FINE_SQL = f"""{COARSE_SQL},
 f1 AS (SELECT paper_id, chunk_index AS parent, char_start, unnest(ps) AS raw, unnest(range(len(ps))) AS j FROM (SELECT *, {_packed('text', str(HYBRID.fine_max))} AS ps FROM coarse)),
 f2 AS ({_overlapped(HYBRID.fine_overlap, 'paper_id, parent', 'j').format('f1')}),
@@ -108,11 +116,46 @@ def sentence_pack(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(docs.select("doc_id", F.posexplode(chunking.split_sentences(F.col("text"), 400)).alias("i", "text")), "doc_id", "i")
 
 
-SENTENCE_SQL = rf"""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS ss FROM documents),
-r AS (SELECT doc_id, list_reduce(list_transform(ss, lambda p: {{'out': []::VARCHAR[], 'cur': p}}), lambda a, p: CASE WHEN a.cur <> '' AND length(a.cur) + length(p.cur) > 400 THEN {{'out': list_append(a.out, a.cur), 'cur': p.cur}}
-    ELSE {{'out': a.out, 'cur': CASE WHEN a.cur = '' THEN p.cur ELSE a.cur || ' ' || p.cur END}} END, {{'out': []::VARCHAR[], 'cur': ''}}) AS r FROM s),
-o AS (SELECT doc_id, list_filter(list_append(r.out, r.cur), lambda x: x <> '') AS o FROM r)
-SELECT doc_id, i, length(trim(t, {STRIP})) AS length, md5(trim(t, {STRIP})) AS digest FROM (SELECT doc_id, unnest(o) AS t, unnest(range(len(o))) AS i FROM o)"""
+def sentences_sql(text: str, size: int) -> str:
+    """Sentences of a DuckDB string packed greedily: a list of strings."""
+    cut = rf"string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31))"
+    fold = f"""list_reduce(list_transform({cut}, lambda p: {{'out': []::VARCHAR[], 'cur': p}}), lambda a, p: CASE WHEN a.cur <> '' AND length(a.cur) + length(p.cur) > {size} THEN {{'out': list_append(a.out, a.cur), 'cur': p.cur}}
+    ELSE {{'out': a.out, 'cur': CASE WHEN a.cur = '' THEN p.cur ELSE a.cur || ' ' || p.cur END}} END, {{'out': []::VARCHAR[], 'cur': ''}})"""
+    return f"list_transform(list_filter(list_append(({fold}).out, ({fold}).cur), lambda x: x <> ''), lambda x: trim(x, {STRIP}))"
+
+
+SENTENCE_SQL = f"""WITH o AS (SELECT doc_id, {sentences_sql('text', 400)} AS o FROM documents)
+SELECT doc_id, i, length(t) AS length, md5(t) AS digest FROM (SELECT doc_id, unnest(o) AS t, unnest(range(len(o))) AS i FROM o)"""
+_SHOWN = r"SELECT doc_id, i AS chunk_index, len(regexp_extract_all(t, '\S+')) AS word_count, length(t) AS length, md5(t) AS digest FROM (SELECT doc_id, unnest(o) AS t, unnest(range(len(o))) AS i FROM o)"
+#: Paragraphs one by one: a long one closes the chunk and comes in sentences, one that doesn't fit closes it and starts with its end.
+SEMANTIC_SQL = f"""WITH p AS (SELECT doc_id, unnest(string_split({fixtures.PARAGRAPHS_SQL}, chr(10) || chr(10))) AS para, unnest(range(len(string_split({fixtures.PARAGRAPHS_SQL}, chr(10) || chr(10))))) AS i FROM documents),
+q AS (SELECT doc_id, i, trim(para, {STRIP}) AS para FROM p WHERE trim(para, {STRIP}) <> ''),
+e AS (SELECT doc_id, list({{'out': CASE WHEN length(para) > {SPLIT.size * 1.5} THEN {sentences_sql('para', SPLIT.size)} ELSE []::VARCHAR[] END, 'cur': para, 'size': length(para)}} ORDER BY i) AS e FROM q GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(e, lambda a, p: CASE
+    WHEN length(p.cur) > {SPLIT.size * 1.5} THEN {{'out': list_concat(CASE WHEN a.cur <> '' THEN list_append(a.out, trim(a.cur, {STRIP})) ELSE a.out END, p.out), 'cur': '', 'size': CASE WHEN a.cur <> '' THEN 0 ELSE a.size END}}
+    WHEN a.size + p.size > {SPLIT.size} THEN {{'out': CASE WHEN a.cur <> '' THEN list_append(a.out, trim(a.cur, {STRIP})) ELSE a.out END,
+        'cur': CASE WHEN length(a.cur) <= {SPLIT.overlap} THEN a.cur WHEN instr(right(a.cur, {SPLIT.overlap}), '. ') > 0 THEN substr(right(a.cur, {SPLIT.overlap}), instr(right(a.cur, {SPLIT.overlap}), '. ') + 2) ELSE right(a.cur, {SPLIT.overlap}) END || chr(10) || chr(10) || p.cur,
+        'size': CASE WHEN length(a.cur) <= {SPLIT.overlap} THEN length(a.cur) WHEN instr(right(a.cur, {SPLIT.overlap}), '. ') > 0 THEN {SPLIT.overlap} - instr(right(a.cur, {SPLIT.overlap}), '. ') - 1 ELSE {SPLIT.overlap} END + p.size}}
+    ELSE {{'out': a.out, 'cur': CASE WHEN a.cur <> '' THEN a.cur || chr(10) || chr(10) || p.cur ELSE p.cur END, 'size': a.size + p.size}} END, {{'out': []::VARCHAR[], 'cur': '', 'size': 0::BIGINT}}) AS r FROM e),
+o AS (SELECT doc_id, CASE WHEN r.cur <> '' AND length(r.cur) >= {SPLIT.least} THEN list_append(r.out, trim(r.cur, {STRIP})) ELSE r.out END AS o FROM r)
+{_SHOWN}"""
+
+
+def _cut_sql(text: str, separators: tuple[str, ...], depth: int = 0) -> str:
+    """A string cut at the first separator, pieces that are too long at the next, and so on: a list of strings."""
+    if not separators:
+        return f"[{text}]"
+    mark = " || ".join("chr(10)" if c == chr(10) else f"'{c}'" for c in separators[0])
+    parts, inner = f"string_split({text}, {mark})", _cut_sql(f"p{depth}", separators[1:], depth + 1)
+    pieces = f"flatten(list_transform({parts}, lambda p{depth}: CASE WHEN length(p{depth}) > {SPLIT.size} THEN {inner} ELSE [p{depth} || {mark}] END))"
+    return f"CASE WHEN len({parts}) = 1 THEN {_cut_sql(text, separators[1:], depth + 1)} ELSE {pieces} END"
+
+
+RECURSIVE_SQL = f"""WITH d AS (SELECT doc_id, {fixtures.PARAGRAPHS_SQL} AS t FROM documents), s AS (SELECT doc_id, {_cut_sql('t', SPLIT.separators)} AS s FROM d),
+r AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {{'out': []::VARCHAR[], 'cur': x}}), lambda a, x: CASE WHEN length(a.cur) + length(x.cur) > {SPLIT.size}
+    THEN {{'out': CASE WHEN a.cur <> '' THEN list_append(a.out, trim(a.cur, {STRIP})) ELSE a.out END, 'cur': x.cur}} ELSE {{'out': a.out, 'cur': a.cur || x.cur}} END, {{'out': []::VARCHAR[], 'cur': ''}}) AS r FROM s),
+o AS (SELECT doc_id, CASE WHEN r.cur <> '' AND length(r.cur) >= {SPLIT.least} THEN list_append(r.out, trim(r.cur, {STRIP})) ELSE r.out END AS o FROM r)
+{_SHOWN}"""
 
 
 def chunk_citations(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,8 +191,9 @@ def chunk_stats_upper_median(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def boundary_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    found = evaluation.boundary_pairs(fixtures.documents(spark, sf), ["source"], ["doc_id"])
-    return found.select("doc_id", F.md5("last").alias("last"), F.md5("first").alias("first"))
+    lines = fixtures.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    found = evaluation.boundary_pairs(lines, ["doc_id"], ["i"])
+    return found.select("doc_id", "i", F.md5("last").alias("last"), F.md5("first").alias("first"))
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,8 +247,52 @@ def report_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strategies_evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    """The three presets with all metrics by the offline embedder."""
-    return evaluation.strategy_score(evaluation.evaluate(chunking.strategies(fixtures.markdown(spark, sf))))
+    """The three presets with all metrics, by an embedder that SQL can state."""
+    found = evaluation.strategy_score(evaluation.evaluate(chunking.strategies(fixtures.markdown(spark, sf)), fixtures.LetterCounts))
+    return found.select("strategy", "count", "total_citations", *[F.round(c, 6).alias(c) for c in ("mean_chars", "std_chars", "citation_coverage", "coherence", "boundary", "score")])
+
+
+def _unit_sql(text: str) -> str:
+    """The embedder's unit vector of a string."""
+    v = f"[len({text}) - len(replace({text}, 'a', '')), len({text}) - len(replace({text}, 'e', '')), len({text}) - len(replace({text}, 'n', '')), 1]::DOUBLE[]"
+    return f"list_transform({v}, lambda q: q / sqrt(list_dot_product({v}, {v})))"
+
+
+def coherence_sql(chunks: str, *keys: str) -> str:
+    """(keys, coherence) of chunks with ``text``: mean cosine of all pairs of a chunk's sentences of over 20 characters, 1 below two."""
+    k = ", ".join(keys)
+    return f"""SELECT {k}, CASE WHEN n < 2 THEN 1.0::DOUBLE ELSE (list_dot_product(total, total) - own) / (n * (n - 1)) END AS coherence FROM (
+        SELECT {k}, len(s) AS n, list_sum(list_transform(s, lambda v: list_dot_product(v, v))) AS own,
+               [coalesce(list_sum(list_transform(s, lambda v: v[1])), 0.0::DOUBLE), coalesce(list_sum(list_transform(s, lambda v: v[2])), 0.0::DOUBLE), coalesce(list_sum(list_transform(s, lambda v: v[3])), 0.0::DOUBLE), coalesce(list_sum(list_transform(s, lambda v: v[4])), 0.0::DOUBLE)] AS total
+        FROM (SELECT {k}, list_transform(list_filter(list_transform(string_split(regexp_replace(text, '[.!?]+\\s+', chr(31), 'g'), chr(31)), lambda x: trim(x, {STRIP})), lambda x: length(x) > 20), lambda x: {_unit_sql('x')}) AS s FROM {chunks}))"""
+
+
+def boundary_sql(chunks: str, partition: str, order: str) -> str:
+    """(partition, order, boundary): the cosine of a chunk's last sentence and the next one's first, where both have 20 characters."""
+    return f"""SELECT {partition}, {order}, list_dot_product({_unit_sql('last')}, {_unit_sql('first')}) AS boundary FROM (
+        SELECT {partition}, {order}, ss[-1] AS last, lead(ss[1]) OVER (PARTITION BY {partition} ORDER BY {order}) AS first FROM (
+            SELECT {partition}, {order}, list_filter(list_transform(string_split(regexp_replace(text, '[.!?]+\\s+', chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM {chunks}))
+        WHERE length(last) >= 20 AND length(first) >= 20"""
+
+
+def chunk_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    found = evaluation.coherence(fixtures.documents(spark, sf), fixtures.LetterCounts)
+    return found.select("doc_id", F.round("coherence", 6).alias("coherence"))
+
+
+def boundary_scores(spark: SparkSession, sf: str) -> DataFrame:
+    lines = fixtures.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    found = evaluation.boundary_quality(lines, ["doc_id"], ["i"], fixtures.LetterCounts)
+    return found.select("doc_id", "i", F.round("boundary", 6).alias("boundary"))
+
+
+LINES_SQL = "(SELECT doc_id, CAST(i AS INT) AS i, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))"
+EVALUATED_SQL = f"""WITH k AS MATERIALIZED ({STRATEGIES_SQL}),
+c AS (SELECT strategy, avg(coherence) AS coherence FROM ({coherence_sql('k', 'strategy', 'paper_id', 'chunk_index')}) GROUP BY strategy),
+b AS (SELECT strategy, avg(boundary) AS boundary FROM ({boundary_sql('k', 'strategy, paper_id', 'chunk_index')}) GROUP BY strategy),
+m AS (SELECT strategy, count(*) AS count, sum(COUNTED) AS total_citations, avg(length(text)) AS mean_chars, stddev_pop(length(text)) AS std_chars, avg((COUNTED > 0)::INT) AS citation_coverage FROM k GROUP BY strategy)
+SELECT strategy, count, CAST(total_citations AS BIGINT) AS total_citations, round(mean_chars, 6) AS mean_chars, round(std_chars, 6) AS std_chars, round(citation_coverage, 6) AS citation_coverage, round(coherence, 6) AS coherence, round(boundary, 6) AS boundary, round(SCORED, 6) AS score
+FROM m JOIN c USING (strategy) JOIN b USING (strategy)"""
 
 
 def strategy_sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,8 +310,8 @@ QUERIES = {
     "envelope_counts": (envelope_counts, f"WITH {COARSE_SQL} SELECT paper_id, 'coarse' AS chunk_type, count(*) AS total_chunks, paper_id || '_coarse_0000' AS first_id, sum(length(text)) AS characters FROM coarse GROUP BY paper_id"),
     "overlap": (overlap, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), o AS ({}) SELECT doc_id, i, length(text) AS length, md5(text) AS digest FROM o".format(_overlapped(0.1, "doc_id", "i").format("l"))),
     "fixed_chunks": (fixed_chunks, f"WITH {FIXED_SQL.format('documents')} SELECT doc_id, chunk_index, length(t) AS length, md5(t) AS digest FROM k"),
-    "semantic_chunks": (semantic_chunks, None),
-    "recursive_chunks": (recursive_chunks, None),
+    "semantic_chunks": (semantic_chunks, SEMANTIC_SQL),
+    "recursive_chunks": (recursive_chunks, RECURSIVE_SQL),
     "sentence_pack": (sentence_pack, SENTENCE_SQL),
     "chunk_citations": (chunk_citations, f"WITH {FIXED_SQL.format(CITED_DOCS)} SELECT doc_id, chunk_index, array_to_string(list_filter(['[1]', '(2)', '$^{{3}}$', '[9]'], lambda c: contains(t, c)), '|') AS citations FROM k".replace("{{3}}", "{3}")),
     "citation_integrity": (citation_integrity, f"""SELECT source, sum(c) AS total_citations, count(*) FILTER (c > 0) AS chunks_with_citations, round(avg((c > 0)::INT), 6) AS citation_coverage, round(avg(c * 1000.0::DOUBLE / n) FILTER (c > 0), 6) AS citation_density, count(*) AS total_chunks
@@ -231,9 +319,10 @@ QUERIES = {
     "citation_counts": (citation_counts, rf"SELECT doc_id, {COUNT_SQL} AS citations, len(regexp_extract_all(text, '\S+')) AS words FROM {CITED_DOCS}"),
     "chunk_stats": (chunk_stats, "SELECT source, count(*) AS count, round(avg(n), 6) AS mean_chars, round(quantile_cont(n, 0.5), 6) AS median_chars, round(stddev_pop(n), 6) AS std_chars, min(n) AS min_chars, max(n) AS max_chars, round(avg(n // 4), 6) AS mean_tokens, round(quantile_cont(n // 4, 0.5), 6) AS median_tokens FROM (SELECT source, length(text) AS n FROM documents) GROUP BY source"),
     "chunk_stats_upper_median": (chunk_stats_upper_median, "SELECT source, count(*) AS count, round(avg(n), 6) AS mean_chars, min(n) AS min_chars, max(n) AS max_chars, list_sort(list(n))[count(*) // 2 + 1] AS median_chars, round(avg(n // 4), 6) AS mean_tokens FROM (SELECT source, length(text) AS n FROM documents) GROUP BY source"),
-    "boundary_pairs": (boundary_pairs, r"""WITH s AS (SELECT source, doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[.!?]+\s+', chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents),
-        p AS (SELECT doc_id, ss[-1] AS last, lead(ss[1]) OVER (PARTITION BY source ORDER BY doc_id) AS first FROM s)
-        SELECT doc_id, md5(last) AS last, md5(first) AS first FROM p WHERE length(last) >= 20 AND length(first) >= 20"""),
+    "boundary_pairs": (boundary_pairs, r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+        s AS (SELECT doc_id, i, list_filter(list_transform(string_split(regexp_replace(text, '[.!?]+\s+', chr(31), 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM l),
+        p AS (SELECT doc_id, i, ss[-1] AS last, lead(ss[1]) OVER (PARTITION BY doc_id ORDER BY i) AS first FROM s)
+        SELECT doc_id, CAST(i AS INT) AS i, md5(last) AS last, md5(first) AS first FROM p WHERE length(last) >= 20 AND length(first) >= 20"""),
     "strategy_score": (strategy_score, f"WITH {METRICS_SQL} SELECT source, round({SCORE_SQL}, 6) AS score FROM m"),
     "recommended_strategy": (recommended_strategy, f"WITH {METRICS_SQL} SELECT source, round({SCORE_SQL}, 6) AS score FROM m ORDER BY {SCORE_SQL} DESC, source LIMIT 1"),
     "comparison_matrix": (comparison_matrix, f"WITH {METRICS_SQL} SELECT source, {_SCALED} FROM m"),
@@ -241,7 +330,9 @@ QUERIES = {
         SELECT lang, CAST(least(29, floor((n - low) / greatest((high - low) / 30, 1e-9))) AS INT) AS bin, count(*) AS chunks FROM e GROUP BY ALL"""),
     "score_spread": (score_spread, "SELECT lang, count(*) AS n, round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS median, round(quantile_cont(n_chars, 0.75), 6) AS q3, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std FROM documents GROUP BY lang"),
     "report_table": (report_table, "SELECT source, printf('%.1f', max(n_chars)::DOUBLE) AS mean_chars, printf('%.1f', min(n_chars)::DOUBLE) AS std_chars, '0.000' AS coherence, 'N/A' AS boundary, '0.250' AS citation_coverage FROM documents GROUP BY source"),
-    "strategies_evaluated": (strategies_evaluated, None),
-    "strategy_sizes": (strategy_sizes, None),
+    "chunk_coherence": (chunk_coherence, f"SELECT doc_id, round(coherence, 6) AS coherence FROM ({coherence_sql('documents', 'doc_id')})"),
+    "boundary_scores": (boundary_scores, f"SELECT doc_id, i, round(boundary, 6) AS boundary FROM ({boundary_sql(LINES_SQL, 'doc_id', 'i')})"),
+    "strategies_evaluated": (strategies_evaluated, EVALUATED_SQL.replace("COUNTED", COUNT_SQL).replace("SCORED", SCORE_SQL)),
+    "strategy_sizes": (strategy_sizes, f"SELECT strategy, count(*) AS chunks, sum(length(text)) AS characters FROM ({STRATEGIES_SQL}) GROUP BY strategy"),
     "embedding_cost": (embedding_cost, "WITH f AS (SELECT avg(n) AS m FROM (SELECT length(text) // 4 AS n FROM documents ORDER BY doc_id LIMIT 100)), c AS (SELECT count(*) AS total_texts FROM documents) SELECT total_texts, CAST(trunc(m * total_texts) AS BIGINT) AS tokens, round(trunc(m * total_texts) / 1000000 * 0.02, 9) AS cost FROM f, c"),
 }

@@ -5,6 +5,7 @@ The driver's documents have no blank lines, headings, citations or tables, so qu
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.files import spread, table
@@ -38,6 +39,13 @@ WORK = """named_struct(
  'cited_by_count', CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS INT) END)"""
 
 
+class LetterCounts:
+    """An embedder that SQL can state: a text's numbers of a, e and n, and 1."""
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        return np.array([[t.count("a"), t.count("e"), t.count("n"), 1] for t in texts], float).reshape(-1, 4)
+
+
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents")).selectExpr("CAST(doc_id AS STRING) AS paper_id", "concat('Paper ', doc_id) AS paper_title", f"{MARKDOWN} AS markdown", "source")
 

@@ -203,12 +203,6 @@ SELECT page, CAST(reading_order AS INT) AS reading_order, trim(regexp_extract(s,
 )
 
 
-def layout_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    dims = F.struct(F.lit(700).alias("original_width"), F.lit(1000).alias("original_height"), F.lit(1000).alias("padded_width"), F.lit(1000).alias("padded_height"))
-    found = assembly.layout_elements(spark.createDataFrame(LAYOUTS, "page int, layout string").withColumn("dims", dims))
-    return found.select("page", "label", "reading_order", *[F.col(f"{b}.{x}").alias(f"{b}_{x}") for b in ("box", "original") for x in ("x1", "y1", "x2", "y2")], layout.box_size("box")["area"].alias("area"))
-
-
 def elements_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """A document for each benchmark item, with an element of every label."""
     t = lambda label, *text: F.struct(F.lit(label).alias("label"), F.concat(*text).alias("text"))
@@ -282,7 +276,6 @@ QUERIES = {
     "token_costs": (token_costs, f"""SELECT doc_id, CAST(length(text) // 4 AS INT) AS tokens, round((length(text) // 4) / 1000000::DOUBLE * CASE doc_id % 4 WHEN 0 THEN 0.13 WHEN 1 THEN 0.02 ELSE 0.10 END, 12) AS cost, CAST(CASE doc_id % 4 WHEN 0 THEN 3072 ELSE 1536 END AS INT) AS dimension FROM documents"""),
     "html_tables": (html_tables, "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<table><tr><td>1</td></tr></table>' || chr(10) || '<table><tr>' || chr(10) || '<td>2</td></tr></table>' ELSE '' END AS tables FROM pages"),
     "layout_parse": (layout_parse, LAYOUT_SQL),
-    "layout_boxes": (layout_boxes, None),
     "elements_markdown": (elements_markdown, ELEMENTS_SQL),
     "answer_sections": (answer_sections, ANSWERS_SQL),
     "stripped": (stripped, "SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations"),
