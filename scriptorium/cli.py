@@ -156,6 +156,16 @@ def ask(spark: SparkSession, a: argparse.Namespace) -> None:
         print(f"[{c['id']}] {c['title']} ({c['paper_id']})")
 
 
+def serve(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Serves search and answers over HTTP until it is stopped."""
+    from .service import Service
+
+    service = Service(spark, chat=_named(a.chat) if a.chat else None).load(files.index(spark, a.index, a.chunk_type), reranker=retrieval.overlap_model)
+    with service.server(a.port, a.host) as server:
+        print(f"serving on {a.host}:{server.server_port}")
+        server.serve_forever()
+
+
 def report(spark: SparkSession, a: argparse.Namespace) -> None:
     """Writes the HTML report on saved metrics."""
     sinks.write_html(spark, reports.html_report(spark.read.json(a.input)), a.output)
@@ -199,6 +209,7 @@ def main(argv: list[str] | None = None) -> None:
     command(status, ("input", {}), ("output", {}), ("--prefix", {}))
     command(info)
     command(report, ("input", {}), out)
+    command(serve, ("index", {}), kind, ("--chat", {}), ("--port", {"type": int, "default": 8000}), ("--host", {"default": "127.0.0.1"}))
     command(ask, ("index", {}), ("question", {}), kind, ("--chat", {"required": True}), ("--model", {}), ("--top-k", {"type": int, "default": 10}), ("--no-rerank", {"action": "store_true"}))
     command(chunk, ("input", {}), ("--done", {}), ("--limit", {"type": int}), ("--force", {"action": "store_true"}), ("--coarse-only", {"action": "store_true"}), out)
     command(index, ("input", {}), kind, ("--price", {"type": float, "default": 0.02}), ("--dry-run", {"action": "store_true"}), out)

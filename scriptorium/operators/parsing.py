@@ -201,8 +201,9 @@ def parsing_stages(renderer: Callable[[], Renderer], model: Callable[[], PageMod
     ]
 
 
-def run_stages(df: DataFrame, stages: list[Stage], keep: bool = False) -> DataFrame:
-    """One stage after another; with ``keep`` each result is written to the scratch folder before the next."""
+def run_stages(df: DataFrame, stages: list[Stage], keep: bool = False, log: Callable[[str], None] = lambda _: None) -> DataFrame:
+    """One stage after another; with ``keep`` each result is written to the scratch folder before the next. ``log`` is told each stage's name."""
     for stage in stages:
+        log(stage.name)
         df = stored(stage.process(df), stage.name) if keep else stage.process(df)
     return df

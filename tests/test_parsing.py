@@ -85,7 +85,9 @@ def test_nothing_to_parse(pdfs):
 
 def test_stages(pdfs):
     stages = parsing.parsing_stages(renderer, page_model)
-    got = parsing.run_stages(pdfs.limit(1), stages, keep=True)
+    said = []
+    got = parsing.run_stages(pdfs.limit(1), stages, keep=True, log=said.append)
+    assert said == ["images", "layout", "crops", "recognition", "documents"]
     assert [p["page_number"] for p in got.first()["pages"]] == [1, 2]
     with pytest.raises(errors.ValidationError, match="content"):
         stages[0].process(pdfs.drop("content"))
@@ -263,6 +265,68 @@ def test_ask(spark, vectors, tmp_path, capsys):
         cli.main(["ask", str(tmp_path / "index"), " ", "--chat", "tests.test_parsing:chat_model"])
 
 
+def test_service(spark, vectors):
+    import threading
+
+    from scriptorium.service import Service, search_documents
+
+    service = Service(spark)
+    assert service.handle("GET", "/health", {})[1]["index_loaded"] is False and service.handle("POST", "/search", {"query": "x"})[0] == 503
+    service.load(vectors, reranker=retrieval.overlap_model)
+    assert service.handle("GET", "/", {})[0] == 200 and service.handle("GET", "/nothing", {})[0] == 404
+    assert service.handle("GET", "/health", {})[1]["index_size"] == 12 and len(service.handle("GET", "/models", {})[1]["models"]) == len(retrieval.MODELS)
+    assert service.handle("POST", "/search", {"query": " "})[0] == 400 and service.handle("POST", "/chat", {"message": "x"})[0] == 503
+    service.chat = chat_model
+    status, found = service.handle("POST", "/chat", {"message": "carbon tax", "top_k": 2})
+    assert status == 200 and found["answer"].endswith("|2") and found["sources_used"] == 2 and found["citations"]
+    assert service.handle("POST", "/chat", {"message": "x", "model": "unknown"})[0] == 400 and service.handle("POST", "/chat", {"message": "fail"})[0] == 503
+    with service.server(0) as server:
+        thread = threading.Thread(target=server.serve_forever, daemon=True)
+        thread.start()
+        got = search_documents(f"http://127.0.0.1:{server.server_port}", "carbon tax", 3)
+        server.shutdown()
+    assert got["total_results"] == 3 and [r["rank"] for r in got["results"]] == [0, 1, 2] and got["results"][0]["text"].startswith("carbon tax")
+    service.close()
+    assert service.retriever is None
+
+
+def test_other_commands_and_sinks(spark, tmp_path, capsys):
+    """fetch-works, evaluate, report; outcomes of addresses, failures by worker, samples."""
+    from scriptorium import cli
+    from scriptorium.sources import files, sinks
+
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    work = lambda i: {"id": f"https://w/W{i}", "open_access": {"is_oa": True, "oa_status": "gold"}, "cited_by_count": i}
+    (pages / "start.json").write_text(json.dumps({"results": [work(1), work(2)], "meta": {"next_cursor": "c2"}}))
+    fetch = ["fetch-works", "--pages", str(pages), "--output", str(tmp_path / "works")]
+    with pytest.raises(SystemExit, match="--cursor c2"):
+        cli.main(fetch)
+    assert files.flat_works(spark, str(tmp_path / "works" / "works")).count() == 2
+    (pages / "c2.json").write_text(json.dumps({"results": [work(3)], "meta": {}}))
+    cli.main(fetch)
+    assert spark.read.json(str(tmp_path / "works" / "summary")).first()["total_citations"] == 6
+    assert "Works: 3" in {r["value"] for r in spark.read.text(str(tmp_path / "works" / "report")).collect()}
+
+    for i in range(3):
+        (tmp_path / "papers" / f"p{i}").mkdir(parents=True)
+        (tmp_path / "papers" / f"p{i}" / "document.md").write_text("# A\n\n" + f"Some sentence about rivers and towns {i}. Another sentence about hills. " * 30 + "\n\n" + "More on the same. " * 200)
+    cli.main(["evaluate", str(tmp_path / "papers"), "--output", str(tmp_path / "metrics")])
+    assert {r["strategy"] for r in files.report(spark, str(tmp_path / "metrics")).collect()} <= {"hybrid", "fixed", "semantic"}
+    cli.main(["report", str(tmp_path / "metrics"), "--output", str(tmp_path / "html")])
+    assert "Recommended:" in spark.read.text(str(tmp_path / "html"), wholetext=True).first()["value"]
+
+    urls = spark.sql("SELECT named_struct('id', concat('W', id)) AS work, CASE WHEN id > 0 THEN concat('http://x/', id, '.pdf') END AS url FROM range(4)")
+    existing = spark.createDataFrame([("W1",)], "id string")
+    got = {r["id"]: r["status"] for r in sinks.url_outcomes(urls, F.col("url"), existing, fake_get).collect()}
+    assert got == {"W0": "no_url", "W1": "skipped", "W2": "failed", "W3": "ok"}
+    rows = spark.createDataFrame([("w1", "d1", "ValueError"), ("w2", "d2", "OSError")], "worker_id string, doc_id string, error string")
+    sinks.write_failures(rows, str(tmp_path / "failures"))
+    assert spark.read.json(str(tmp_path / "failures" / "worker_id=w1")).first()["doc_id"] == "d1"
+    papers = spark.createDataFrame([(f"p{i}", "x") for i in (3, 1, 2)], "paper_id string, markdown string")
+    assert [r["paper_id"] for r in sinks.sample_papers(papers, 2).collect()] == ["p1", "p2"]
+
+
 def test_bucketed_sinks(spark, tmp_path):
     from scriptorium.sources import sinks
 
