@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import decontaminate, langid, mixing, neardup, token_output
-from scriptorium.llm.common import stored
+from scriptorium.llm.common import discard, stored
 from scriptorium.llm.queries import table, vocabulary
 
 
@@ -53,8 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared scratch folder before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared scratch folder before the next, and deleted after it.
+
+    The last stage has written its files when it returns, so it reads nothing of the stage before any more.
+    """
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if written is not None:
+            discard(written)
+        written = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if written is not None:
+        discard(written)
+    return out
