@@ -23,6 +23,7 @@ one id of every lane of every block at a time.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -171,11 +172,36 @@ BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerat
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 
 
+# The settings of a tokenizer file under which words can be tokenized one by one.
+WORDWISE = {
+    "truncation": None,
+    "padding": None,
+    "post_processor": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+WORDWISE_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def is_wordwise(settings: dict) -> bool:
+    """Whether a tokenizer file has the settings that :class:`WordTokens` cuts words by; its vocabulary is its own."""
+    own = {k: settings.get(k) for k in WORDWISE}
+    model = {k: settings["model"].get(k) for k in WORDWISE_MODEL}
+    return own == WORDWISE and model == WORDWISE_MODEL and all(t["content"].startswith("<|") for t in settings.get("added_tokens", []))
+
+
 class WordTokens(dict):
     """Word -> its ids as little-endian uint32 bytes, from the tokenizer, remembered.
 
-    The tokenizer must treat texts word by word (white space is dropped and nothing joins across
-    it); :meth:`encode` then gives the ids of whole texts. Words of printable ASCII and Latin letters
+    That is for tokenizers which treat texts word by word (white space is dropped and nothing joins across
+    it, see :func:`is_wordwise`); :meth:`encode` then gives the ids of whole texts. With any other tokenizer :meth:`encode`
+    sends whole texts through the library. Words of printable ASCII and Latin letters
     are cut by the tokenizer's own pattern first, as cut pieces repeat more often than words; a
     piece goes to the tokenizer's BPE model. Any other word, and one that may hold a special token,
     goes through the whole tokenizer. Both memories forget all at ``most`` entries.
@@ -188,6 +214,10 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.wordwise = is_wordwise(json.load(f))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.most = most
         self.pieces: dict[str, bytes] = {}
@@ -219,6 +249,9 @@ class WordTokens(dict):
         """(ids of all texts, each followed by ``end_id``; numbers of ids). Null is empty."""
         import pyarrow.compute as pc
 
+        if not self.wordwise:
+            lists = [np.array([*e.ids, end_id], "<u4") for e in self.tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists))
         lists = pc.ascii_split_whitespace(texts.fill_null(""))
         words = lists.flatten().dictionary_encode()
         at = words.indices.to_numpy()
@@ -280,8 +313,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     of id, ``data`` the binary segments of the module's format. A segment ends with a document, after
     the slice of texts (``slice_bytes``) that fills it. Null
     and empty texts have just the end id; null ids come first; rows with equal ids are ordered by
-    text; an empty table writes no segment; other columns are not read. A task holds one segment
-    and one Arrow batch, and a long document makes its own segment longer.
+    their text's hash, and equal rows are dealt over tasks like others; an empty table writes no segment; other columns are not read. A task holds one segment
+    and one Arrow batch, and a long document makes its own segment longer. Any file of the tokenizers library serves;
+    those that go word by word are faster.
     """
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +337,12 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         if n:
             yield segment(part, number, start, ids, sizes, doc_ids)
 
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "spread"]
     (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("spread"))
         .repartitionByRange(*keys)
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .sortWithinPartitions(*keys)
+        .drop("spread")
         .mapInArrow(tidy(segments), SEGMENT_SCHEMA)
         .write.option("compression", "uncompressed")
         .parquet(path)
