@@ -51,3 +51,26 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_hashed_search_plainly(spark, data):
+    """The one query that SQL can't state: hashed embeddings, all scores, ties by id, reranked by shared words."""
+    import numpy as np
+
+    from scriptorium.functions.models import HashedWords, overlap_reranker
+
+    con = duckdb.connect()
+    docs = con.execute(f"SELECT doc_id::VARCHAR, text FROM '{data}/documents.parquet'").fetchall()
+    items = con.execute(f"SELECT item_id, text FROM '{data}/benchmark.parquet'").fetchall()
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    ids, texts = np.array([d[0] for d in docs], object), [d[1] for d in docs]
+    v = unit(HashedWords()(texts).astype(float)).astype(np.float32).astype(float)
+    got = {}
+    for r in catalog.queries()["hashed_embedding_search"](spark, data).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["chunk_id"], round(r["score"], 9))
+    for item, text in items:
+        score = np.round(v @ unit(HashedWords()([text]).astype(float))[0], 12)
+        first = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:10]
+        again = overlap_reranker([text] * 10, [texts[i] for i in first])
+        best = sorted(zip(again, (ids[i] for i in first), strict=True), key=lambda x: (-x[0], x[1]))[:5]
+        assert [got[item][n][1] for n in range(5)] == [round(s, 9) for s, _ in best]
