@@ -116,17 +116,18 @@ def resolved(pages: DataFrame, keep: list[str], media: DataFrame) -> DataFrame:
 
     ``media`` has a ``digest`` and other columns; of several rows with one digest (which describe equal payloads) the
     least serves. References are joined by digest and gathered by page row; pages without references keep
-    their sequences. Repeated pages and ids stay separate rows.
+    their sequences. Repeated pages and ids stay separate rows; the columns of ``keep`` may have any names but ``pieces``.
     """
     keep = list(keep)
     what = [c for c in media.columns if c != "digest"]
     store = media.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(*what)).alias("media"))
-    rows = pages.withColumn("_row", F.monotonically_increasing_id()).select("_row", *keep, F.explode_outer("pieces").alias("_piece"))
-    key = F.coalesce("_piece.digest", F.concat(F.lit("-"), F.col("_row").cast("string")))  # text has no digest: dealt out by page
-    joined = rows.withColumn("_key", key).join(store, F.col("_key") == F.col("digest"), "left")
-    whole = F.when(F.col("_piece").isNotNull(), F.struct("_piece.*", "media"))
-    grouped = joined.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.array_sort(F.collect_list(whole), lambda a, b: a["position"] - b["position"]).alias("pieces"))
-    return grouped.drop("_row")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.struct(*keep, F.lit(0)).alias("kept"), "pieces")
+    rows = rows.select("row", "kept", F.explode_outer("pieces").alias("piece"))  # the row's number comes before its pieces
+    key = F.coalesce("piece.digest", F.concat(F.lit("-"), F.col("row").cast("string")))  # text has no digest: dealt out by page
+    joined = rows.withColumn("key", key).join(store, F.col("key") == F.col("digest"), "left")
+    whole = F.when(F.col("piece").isNotNull(), F.struct("piece.*", "media"))
+    grouped = joined.groupBy("row").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(whole), lambda a, b: a["position"] - b["position"]).alias("pieces"))
+    return grouped.select(*[F.col("kept")[c].alias(c) for c in keep], "pieces")
 
 
 def to_pgm(payload: bytes) -> bytes:
