@@ -259,10 +259,15 @@ def marks_of(labels: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, marks: DataFrame, labelled_rows: int) -> DataFrame:
-    """Labelled rows to fit on: doc_id, ``y``, ``held`` and the columns of the views."""
+    """Labelled rows to fit on, one for each id: doc_id, ``y``, ``held`` and the columns of the views.
+
+    Of rows that share an id, the one whose text has the least hash counts, so the rows are bounded however often ids repeat.
+    """
     share = min(1.0, labelled_rows / max(1, marks.count()))
     ids = F.broadcast(marks.where(F.pmod(F.xxhash64(F.lit("draw"), "_id"), F.lit(1 << 30)) < int((1 << 30) * share)))  # about labelled_rows rows
-    return docs.join(ids, F.col("doc_id") == F.col("_id")).select("doc_id", "y", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held"), *COLUMNS)
+    one = F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64(*COLUMNS), F.length("text")))
+    rows = docs.join(ids, F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.first("y").alias("y"), one.alias("views"))
+    return rows.select("doc_id", "y", (F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(4)) == 0).alias("held"), "views.*")
 
 
 def _views(batch: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -294,11 +299,23 @@ def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return featured(rows).join(marks.select("_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti").select("i", "v", "m")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000) -> Model:
-    """A model from bounded, hash-drawn labelled rows and all unlabelled documents; without any labels, scores are 0.5."""
+def bounded(found: DataFrame, labelled_bytes: int) -> DataFrame:
+    """Featured rows of about ``labelled_bytes`` in all, drawn by a hash of the id; all of them where they have no more."""
+    found = stored(found, "labelled")
+    total = found.agg(F.sum(F.octet_length("i") + F.octet_length("v") + F.octet_length("m")).alias("n")).first()["n"] or 0
+    return found if total <= labelled_bytes else found.where(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * labelled_bytes / total))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = 12_000, labelled_bytes: int = 256 << 20) -> Model:
+    """A model from hash-drawn labelled rows and all unlabelled documents; without any labels, scores are 0.5.
+
+    The driver gets ``labelled_rows`` and ``labelled_bytes`` of features at most (give or take what drawing by a hash does).
+    """
     docs = docs.select(F.col("doc_id").cast("long"), *COLUMNS)
     marks = marks_of(labels)
-    found = featured(labelled(docs, marks, labelled_rows)).toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    rows = bounded(featured(labelled(docs, marks, labelled_rows)), labelled_bytes)
+    found = rows.toArrow().sort_by([("doc_id", "ascending"), ("i", "ascending")])
+    discard(rows)
     index, value, meta = (found[c].to_pylist() for c in "ivm")
     held = found["held"].to_numpy().astype(bool)
     pool = stored(unlabelled(docs, marks), "unlabelled") if (~held).any() else None
