@@ -167,7 +167,8 @@ FROM n, LATERAL (SELECT unnest(range(1, n + 1)) AS copy) x"""
 #: Conversations as lists of turns; a longer one with the same first turns makes one a snapshot.
 CHAT_SQL = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM t WHERE conv_id IS NOT NULL GROUP BY conv_id
+      UNION ALL SELECT NULL, [{'role': role, 'text': text}] FROM t WHERE conv_id IS NULL),
 u AS (SELECT min(conv_id) AS conv_id, l, count(*) AS copies FROM c GROUP BY l)
 SELECT conv_id, len(l) AS n_turns, copies,
        list_aggregate(list_transform(l, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
