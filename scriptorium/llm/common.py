@@ -1,19 +1,20 @@
-"""Helpers shared by the training-data operators: scratch tables, word splitting, small hashes."""
+"""Helpers shared by the training-data operators: word splitting, small hashes, memory of workers."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..scratch import discard, scratch_path, stored
+
+__all__ = ["WordHashes", "discard", "isqrt_up", "mix", "scratch_path", "shingle_hashes", "size_of", "stored", "tidy", "words_alnum", "words_letters", "words_plain"]
 
 #: Bytes that end a word when punctuation counts as a separator: all ASCII but digits and letters.
 _PUNCT = bytes(
@@ -24,36 +25,6 @@ _PUNCT = bytes(
 _LETTERS = bytes(32 if 48 <= b <= 57 else _PUNCT[b] for b in range(256))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session names no such folder, a temporary one serves, on a local master only.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = os.path.join(tempfile.gettempdir(), "checkpoints", str(os.getpid()))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared scratch folder and reads it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a frame that :func:`stored` made and nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def size_of(df: DataFrame) -> int:
     """Bytes of the files that a frame reads, as the optimizer's statistics give them."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

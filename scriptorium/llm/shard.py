@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import isqrt_up, stored
+from ..operators.numbering import numbered
+from .common import discard, isqrt_up
 
 #: Modulus of the round function; squares of smaller values fit into 63 bits.
 PRIME = 2_147_483_647
@@ -75,35 +76,6 @@ def place(row: int, n: int, n_shards: int, seed: int = 0) -> tuple[int, int]:
     return x % n_shards, x // n_shards
 
 
-def numbered(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
-    """Adds ``row_number`` (long, from 0) in the given order; also returns the number of rows.
-
-    Range partitions are sorted and written with each row's place in its partition; the driver gets
-    one count for each partition. Rows equal in the whole order are interchangeable, so a last range
-    key spreads even a run of equal rows over partitions.
-    """
-    place_in = F.monotonically_increasing_id()
-    table = stored(
-        df.withColumn("_spread", F.monotonically_increasing_id())
-        .repartitionByRange(*order, F.col("_spread"))
-        .sortWithinPartitions(*order, F.col("_spread"))
-        .withColumns({"_part": F.spark_partition_id(), "_at": place_in.bitwiseAND(F.lit((1 << 33) - 1))})
-        .drop("_spread"),
-        "numbered",
-    )
-    counts = sorted((r["_part"], r["n"]) for r in table.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    total, offsets = 0, []
-    for part, n in counts:
-        offsets.append((part, total))
-        total += n
-    if not offsets:
-        return table.select(*df.columns, F.col("_at").alias("row_number")), 0
-    rows = ", ".join(f"({p}, {o}L)" for p, o in offsets)  # one row for each partition of the table
-    starts = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(_part, _start)")
-    joined = table.join(F.broadcast(starts), "_part")
-    return joined.select(*df.columns, (F.col("_start") + F.col("_at")).alias("row_number")), total
-
-
 def feistel_positions(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Adds ``position``: the image of ``row_number`` under the permutation of 0..n-1."""
     if n == 0:
@@ -142,25 +114,25 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 0, id_col:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_tie"),
     )
-    rows, n = numbered(slim, [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32"), F.col("_tie")])
+    rows, n = numbered(slim, [F.col(c) for c in ("doc_id", "size", "text_crc32", "_tie")])
     out = feistel_positions(rows.drop("_tie"), n, seed)
     return out.withColumns({"shard": (F.col("position") % n_shards).cast("int"), "slot": F.floor(F.col("position") / n_shards) if n < 1 << 50 else F.expr(f"position div {n_shards}")})
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 16, seed: int = 0) -> None:
-    """Writes whole rows as ``path/shard=k``, each shard's rows in slot order.
+    """Writes whole rows with their ``slot`` as ``path/shard=k``, each shard's rows in slot order, as :func:`shard_documents` places them.
 
-    Ids must be unique and not null here, as placements are joined back to the rows by id.
+    Rows are numbered whole, so ids may be null or repeat: no row is lost or doubled. Columns named ``shard`` or ``slot``
+    are replaced.
     """
-    placed = shard_documents(docs, n_shards, seed).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    (
-        docs.join(placed, docs["doc_id"] == placed["_id"])
-        .drop("_id")
-        .repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    text = F.coalesce("row.text", F.lit(""))
+    order = [F.col("row.doc_id"), F.octet_length(text), F.crc32(text.cast("binary")), F.xxhash64(text)]
+    rows, n = numbered(docs.select(F.struct(*columns).alias("row")), order)
+    placed = feistel_positions(rows.select("row", "row_number"), n, seed).select("row", (F.col("position") % n_shards).cast("int").alias("shard"), F.expr(f"position div {n_shards}").alias("slot"))
+    dealt = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", "slot", "shard").write.partitionBy("shard").parquet(path)
+    discard(rows)
 
 
 __all__ = ["domain", "feistel_positions", "numbered", "permute", "place", "round_keys", "shard_documents", "walks", "write_shards"]
