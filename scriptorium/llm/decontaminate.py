@@ -7,6 +7,12 @@ partitioned by size (doubling bounds), and a partition's sketch length follows f
 ``q - ceil(c * q) + 1``. A document with enough of the item then holds at least one sketch shingle for
 certain, so candidates miss nothing, and the full shingle sets decide.
 
+Sizes and sketches are on the items' side, where they decide what the search finds: containment is measured by the item's
+size, so items are what has to be partitioned for one bound to serve all of a partition, and the sketch of a short item is what
+a long document is searched for. A document's own bottom sketch would be of little use: of a text of 20,000 shingles next to
+none of its smallest hashes are an item's. So each document offers all of its shingles to the sketches, by a bitmap and a binary
+search, and is read once, whatever its size; it needs no class of its own.
+
 The benchmark is the stated query set: blocks of at most ``block_shingles`` shingles go to the executors, each
 meets all documents, whole texts, in one pass.
 """
