@@ -202,7 +202,8 @@ def links_within(spokes: DataFrame, percent: int) -> DataFrame:
     )
     hubs = hubs.where("open > 0 AND members > 1").select("hub", blocks_of(F.col("members"), F.col("total")).alias("rows"), blocks_of(F.col("open"), F.col("open_total")).alias("columns"))
     known = spokes.join(bounded(stored(hubs, "open-hubs")), "hub").withColumns({"own": F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), "own_open": F.pmod(F.xxhash64("node"), F.col("columns")).cast("int")})
-    body = ["hub", "a", "b", "node", "size", "r", "n", "linked", "asks", "apart"]
+    n_tasks = int(spokes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    body = ["hub", "a", "b", "rows", "node", "size", "r", "n", "linked", "asks", "apart"]
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     answers = known.withColumns({"a": each("columns"), "b": F.col("own"), "asks": F.lit(False)}).select(*body)
     asks = known.where(open_).withColumns({"a": F.col("own_open"), "b": each("rows"), "asks": F.lit(True)}).select(*body)
@@ -235,8 +236,9 @@ def links_within(spokes: DataFrame, percent: int) -> DataFrame:
         xs, ys = forest(xs, ys)
         return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
-    dealt = answers.unionByName(asks).repartition("hub", "a", "b")  # by block: a hub's blocks go to different tasks
-    return dealt.groupBy("hub", "a", "b").applyInArrow(links, "x long, y long").distinct()
+    task = F.pmod(F.xxhash64("hub") % n_tasks + F.col("a").cast("long") * F.col("rows") + F.col("b"), F.lit(n_tasks)).cast("int")
+    dealt = answers.unionByName(asks).withColumn("task", task).repartitionById(n_tasks, F.col("task"))  # a hub's blocks go to tasks one after another
+    return dealt.groupBy("task", "hub", "a", "b").applyInArrow(links, "x long, y long").distinct()
 
 
 def forest(xs: list[int], ys: list[int]) -> tuple[list[int], list[int]]:
