@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, langid, license_scan, media, mixing, neardup, quality, shard, token_output
+from . import chat, decontaminate, exactdedup, langid, license_scan, media, mixing, neardup, quality, shard, token_output
 from .common import scratch_path
 
 
@@ -84,8 +84,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` have no date: rows whose id has an even CRC-32 are the history, all others the arriving batch."""
+    found = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+    return found.drop("known")
+
+
+#: What is kept is the same for history and batch, however they are split.
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
+    return {"op12_exact_dedup": op12_exact_dedup, "op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
 
 
 def license_sql() -> str:
@@ -210,5 +222,5 @@ FROM h JOIN e USING (row), k"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op5_feistel_shards": shard_sql(), "op7_poisson_mixing": MIXING_SQL,
-        "op8_chat_collapse": CHAT_SQL, "op10_near_duplicates": NEAR_SQL,
+        "op8_chat_collapse": CHAT_SQL, "op12_exact_dedup": EXACT_SQL, "op10_near_duplicates": NEAR_SQL,
     }
