@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, exactdedup, langid, license_scan, media, mixing, neardup, quality, shard, token_output
+from . import alignment, chat, decontaminate, exactdedup, langid, license_scan, media, mixing, neardup, quality, shard, token_output
 from .common import scratch_path
 
 
@@ -84,6 +84,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` have no date: rows whose id has an even CRC-32 are the history, all others the arriving batch."""
     found = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
@@ -97,7 +101,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op12_exact_dedup": op12_exact_dedup, "op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
+    return {"op12_exact_dedup": op12_exact_dedup, "op13_tokenizer_alignment": op13_tokenizer_alignment, "op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
 
 
 def license_sql() -> str:
