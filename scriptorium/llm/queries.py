@@ -5,11 +5,12 @@ from __future__ import annotations
 import importlib.util
 import math
 import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, chat, decontaminate, exactdedup, langid, license_scan, media, mixing, neardup, quality, shard, token_output
+from . import alignment, chat, decontaminate, exactdedup, langid, license_scan, media, mixing, neardup, quality, runs, shard, token_output
 from .common import scratch_path
 
 
@@ -88,6 +89,27 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten has a period from some word on, by the CRC-32 of its id."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return (words[:a] + words[a : a + p] * (-(-(n - a) // p)))[:n]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=planted_period)
+    best = F.expr("aggregate(runs, get(runs, 0), (m, r) -> IF(r.length * m.period > m.length * r.period, r, m))")  # exact; the first of equals
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select("doc_id", "runs", best.alias("best"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col("best")[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` have no date: rows whose id has an even CRC-32 are the history, all others the arriving batch."""
     found = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
@@ -101,7 +123,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op12_exact_dedup": op12_exact_dedup, "op13_tokenizer_alignment": op13_tokenizer_alignment, "op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
+    return {"op11_periodic_runs": op11_periodic_runs, "op12_exact_dedup": op12_exact_dedup, "op13_tokenizer_alignment": op13_tokenizer_alignment, "op1_license_scan": op1_license_scan, "op10_near_duplicates": op10_near_duplicates, "op2_media_columns": op2_media_columns, "op3_token_output": op3_token_output, "op4_decontaminate": op4_decontaminate, "op5_feistel_shards": op5_feistel_shards, "op6_language_id": op6_language_id, "op7_poisson_mixing": op7_poisson_mixing, "op8_chat_collapse": op8_chat_collapse, "op9_quality": op9_quality}
 
 
 def license_sql() -> str:
