@@ -110,6 +110,28 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words a period apart that are equal make stretches; CRC-32 by its table, byte by byte.
+RUNS_SQL = r"""
+WITH k AS (SELECT list(v ORDER BY i) AS k FROM (SELECT i, list_reduce(range(8), lambda u, v: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384) ELSE u >> 1 END, i) AS v FROM range(256) z(i))),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), lambda u, v: xor(u >> 8, k[(xor(u, v) & 255) + 1]), 4294967295::BIGINT)) AS h FROM documents, k),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS m FROM d),
+t AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // m) END]) ELSE w END AS w FROM g),
+e AS MATERIALIZED (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+p AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM p)
+      GROUP BY doc_id, q, part HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+o AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r z WHERE z.doc_id = r.doc_id AND (z.length * r.period > r.length * z.period
+        OR z.length * r.period = r.length * z.period AND (z.start, z.period) < (r.start, r.period)))),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` have no date: rows whose id has an even CRC-32 are the history, all others the arriving batch."""
     found = exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
@@ -248,5 +270,5 @@ FROM h JOIN e USING (row), k"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_sql(), "op4_decontaminate": CONTAINMENT_SQL, "op5_feistel_shards": shard_sql(), "op7_poisson_mixing": MIXING_SQL,
-        "op8_chat_collapse": CHAT_SQL, "op12_exact_dedup": EXACT_SQL, "op10_near_duplicates": NEAR_SQL,
+        "op8_chat_collapse": CHAT_SQL, "op11_periodic_runs": RUNS_SQL, "op12_exact_dedup": EXACT_SQL, "op10_near_duplicates": NEAR_SQL,
     }
