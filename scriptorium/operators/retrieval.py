@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.models import HashedWords, Reranker, embed, overlap_reranker, rerank_scores
 from ..functions.text import decimals, strip
 from ..functions.vectors import dot, normalized
+from ..scratch import stored
 
 #: Bytes of a block of queries for one pass over the vectors, their hits in a task included.
 QUERY_BYTES = 64 << 20
@@ -63,7 +64,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
     """Exact inner-product search: (query_id, vec_id, score, rank) of the ``k`` best vectors for each query.
 
     Queries (query_id, vector) are the stated set, searched against all vectors. Blocks of queries of ``QUERY_BYTES``
-    go to the executors; each task multiplies its vectors with a block batch by batch and keeps k rows for each query, so the
+    go to the executors one after another (the driver has one block at a time; for more queries than a few blocks see
+    :mod:`.vector_index`, where queries are rows); each task multiplies its vectors with a block batch by batch and keeps k rows for each query, so the
     shuffle has k rows for each task and query at most. A ``threshold`` drops lower scores first. Null vectors have no score.
     """
     spark = vectors.sparkSession
@@ -82,8 +84,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, threshold: float
         if not rows.num_rows:
             continue
         keys, matrix = rows["query_id"].combine_chunks(), _matrix(rows["v"].combine_chunks())
-        near = ranked(base.mapInArrow(_nearest(keys, matrix, k, threshold), schema), k)
-        found = near.drop("rank") if blocks == 1 else found.unionByName(near.drop("rank"))
+        near = ranked(base.mapInArrow(_nearest(keys, matrix, k, threshold), schema), k).drop("rank")
+        found = near if blocks == 1 else found.unionByName(stored(near, "hits"))  # done before the next block is fetched
     return ranked(found, k)
 
 

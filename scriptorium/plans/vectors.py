@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import normalize_score
 from ..functions.vectors import cosine, dot, norm, normalized
-from ..operators import retrieval
+from ..operators import retrieval, vector_index
 from ..sources.files import table
 from . import fixtures
 
@@ -20,6 +20,19 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hits from a stored index, queries dealt as rows."""
+    index = vector_index.build(table(spark, sf, "embeddings"))
+    hits = vector_index.search(index, fixtures.queries(spark, sf), 10)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+def vector_index_reached(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the index's cells each query is compared with, at a threshold that few vectors reach."""
+    index = vector_index.build(table(spark, sf, "embeddings"))
+    return vector_index.reached(index, fixtures.queries(spark, sf), 10, threshold=0.3)
+
+
 def vector_threshold(spark: SparkSession, sf: str) -> DataFrame:
     hits = retrieval.top_k(table(spark, sf, "embeddings"), fixtures.queries(spark, sf), 10, threshold=0.3)
     return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
@@ -108,6 +121,8 @@ TIERS_SQL = f"SELECT tier, string_agg(id, ',' ORDER BY id) AS models FROM ({MODE
 
 QUERIES = {
     "vector_topk": (vector_topk, f"WITH {HITS_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank < 10"),
+    "vector_index_topk": (vector_index_topk, f"WITH {HITS_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank < 10"),
+    "vector_index_reached": (vector_index_reached, None),
     "vector_threshold": (vector_threshold, f"WITH {HITS_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank < 10 AND score >= 0.3"),
     "vector_two_phase": (vector_two_phase, f"""WITH {HITS_SQL}, c AS (SELECT query_id, vec_id, round(score, 6) - label * 0.01::DOUBLE AS score FROM r WHERE rank < 75),
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM c)
