@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import format_span
+from . import paging
 from .numbering import numbered
 
 
@@ -24,8 +25,11 @@ def to_do(candidates: DataFrame, done: DataFrame, on: str, limit: int | None = N
 
 
 def page(df: DataFrame, order: str | list[str], start: int, size: int) -> DataFrame:
-    """``size`` rows from place ``start`` on, in the given order."""
-    return df.orderBy(*([order] if isinstance(order, str) else order)).offset(start).limit(size)
+    """``size`` rows from place ``start`` on, in the given order: of stored ranges, so that no task or driver has what is before the page.
+
+    For many pages of one table keep what :func:`.paging.ordered` stores.
+    """
+    return paging.page(paging.ordered(df, order), start, size)
 
 
 def global_places(df: DataFrame, order: str) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, documents, records, vectors
+from . import chunks, documents, records, search, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: run for module in (vectors, chunks, records, documents) for name, (run, _) in module.QUERIES.items()}
+    return {name: run for module in (vectors, chunks, records, documents, search) for name, (run, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in (vectors, chunks, records, documents) for name, (_, sql) in module.QUERIES.items() if sql}
+    return {name: sql for module in (vectors, chunks, records, documents, search) for name, (_, sql) in module.QUERIES.items() if sql}

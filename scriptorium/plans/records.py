@@ -87,7 +87,7 @@ def modulo_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slice_page(spark: SparkSession, sf: str) -> DataFrame:
-    return operations.page(table(spark, sf, "documents"), "doc_id", 50, 25).select("doc_id", "n_chars")
+    return operations.page(table(spark, sf, "documents"), "doc_id", 150, 25).select("doc_id", "n_chars")
 
 
 def papers_with_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,7 +254,7 @@ QUERIES = {
     "limited_to_do": (limited_to_do, "SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100) d ANTI JOIN labels USING (doc_id)"),
     "already_processed": (already_processed, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
     "modulo_shards": (modulo_shards, "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) WHERE p % 7 = 2"),
-    "slice_page": (slice_page, "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 25 OFFSET 50"),
+    "slice_page": (slice_page, "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 25 OFFSET 150"),
     "papers_with_metadata": (papers_with_metadata, "SELECT d.doc_id AS paper_id, CASE WHEN d.doc_id % 2 = 1 THEN d.doc_id || '.v1' WHEN toxic = 0 THEN 'A title' ELSE 'Unknown Title' END AS paper_title, length(text) AS length FROM documents d JOIN labels l USING (doc_id)"),
     "hourly_uploads": (hourly_uploads, "SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(*) AS files FROM events WHERE ts > TIMESTAMP '2024-01-19 12:30:00' GROUP BY 1 ORDER BY 1 DESC LIMIT 12"),
     "recent_rate": (recent_rate, "WITH h AS (SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(*) AS files FROM events WHERE ts > TIMESTAMP '2024-01-19 12:30:00' GROUP BY 1 ORDER BY 1 DESC LIMIT 3) SELECT round(avg(files), 6) AS files_per_hour, round(avg(files) / 35, 6) AS items_per_hour FROM h"),
