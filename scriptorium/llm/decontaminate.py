@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import WordHashes, shingle_hashes, stored, tidy, words_alnum
 
-BROADCAST_IDS = 1_000_000
+#: Digests of contaminated texts (32 bytes each) are broadcast up to this count, and joined by shuffle beyond it.
+BROADCAST_DIGESTS = 1_000_000
 SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double, first_word long, last_word long"
 
 
@@ -84,18 +85,11 @@ class Index:
                     yield item_id, len(full), shared, int(places[0]), int(places[-1]) + size - 1
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment, first_word, last_word) of items that documents contain.
-
-    An item is contained where a document has ``percent`` of the item's distinct shingles at least (runs of
-    ``k`` words; the whole sequence of a shorter item; A-Z lower-cased, words of digits, letters
-    and non-ASCII characters). first_word and last_word bound the shared shingles' words, from 0.
-    Null and wordless texts contain nothing, and such items are in nothing. Repeated rows of either
-    table give repeated results; ids may be null; empty tables give no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
+def found_items(texts: DataFrame, benchmark: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
+    """``texts`` has two columns, a key of any type and a text; the result has the key instead of SCHEMA's doc_id."""
+    spark, key = texts.sparkSession, texts.schema.fields[0]
+    schema = SCHEMA.replace("doc_id long", f"`{key.name}` {key.dataType.simpleString()}")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weight = F.sum(F.octet_length("text")).alias("n")
     blocks = max(1, -(-(items.agg(weight).first()["n"] or 0) // (2 * block_shingles)))  # a shingle has two bytes at least
 
@@ -103,28 +97,53 @@ def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                places, rows = [], []
+                for place, text in enumerate(batch.column(1).cast(pa.binary())):
                     words = hashes.of(words_alnum(text.as_py() or b""))
-                    rows += [(doc_id.as_py(), item, n, m, m / n, a, b) for item, n, m, a, b in index.matches(words)]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+                    found = [(item, n, m, m / n, a, b) for item, n, m, a, b in index.matches(words)]
+                    places += [place] * len(found)
+                    rows += found
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                kinds = [pa.int64()] * 3 + [pa.float64()] + [pa.int64()] * 2
+                names = [x.split()[0] for x in SCHEMA.split(", ")[1:]]
+                keys = batch.column(0).take(pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [key.name, *names])
 
         return run
 
-    out = spark.createDataFrame([], SCHEMA)
+    out = spark.createDataFrame([], schema)
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = Index([(r["item_id"], bytes(r["text"])) for r in part.collect()], k, percent)
         if index.items:
-            found = texts.mapInArrow(tidy(search(index)), SCHEMA)
+            found = texts.mapInArrow(tidy(search(index)), schema)
             out = found if blocks == 1 else out.unionByName(stored(found, "contained"))
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose id has a document that contains an item; rows without id stay."""
-    hit = stored(contained(docs, benchmark, k, percent).select("doc_id").distinct(), "contaminated")
-    hit = F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+def contained(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment, first_word, last_word) of items that documents contain.
+
+    An item is contained where a document has ``percent`` of the item's distinct shingles at least (runs of
+    ``k`` words; the whole sequence of a shorter item; A-Z lower-cased, words of digits, letters
+    and non-ASCII characters). first_word and last_word bound the shared shingles' words, from 0.
+    Null and wordless texts contain nothing, and such items are in nothing. Repeated rows of either
+    table give repeated results; ids may be null; empty tables give no rows; other columns are not read.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return found_items(texts, benchmark, k, percent, block_shingles)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, block_shingles: int = 2_000_000) -> DataFrame:
+    """``docs`` without the rows whose text contains an item; every other row stays, whatever its id is.
+
+    A row is judged by its own text alone, so ids are not read: they may be null, repeat, or be shared by clean and contaminated rows. Rows are
+    matched by a digest of the text (SHA-256), of which equal texts have the same and null texts none. Null, empty and wordless texts
+    contain nothing; columns may have any names; an empty benchmark takes nothing away.
+    """
+    digest = lambda text: F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+    texts = docs.where(F.col("text").isNotNull()).select(digest("text").alias("of_text"), "text")
+    hit = stored(found_items(texts, benchmark, k, percent, block_shingles).select("of_text").distinct(), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_DIGESTS else hit
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), digest("text").alias("own"))
+    return packed.join(hit, F.col("own") == F.col("of_text"), "left_anti").select("doc.*")
