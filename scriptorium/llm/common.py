@@ -10,11 +10,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-
 from ..scratch import discard, scratch_path, stored
 
-__all__ = ["WordHashes", "discard", "isqrt_up", "mix", "scratch_path", "shingle_hashes", "size_of", "stored", "tidy", "words_alnum", "words_letters", "words_plain"]
+__all__ = ["WordHashes", "discard", "isqrt_up", "mix", "scratch_path", "shingle_hashes", "stored", "tidy", "words_alnum", "words_letters", "words_plain"]
 
 #: Bytes that end a word when punctuation counts as a separator: all ASCII but digits and letters.
 _PUNCT = bytes(
@@ -25,11 +23,6 @@ _PUNCT = bytes(
 _LETTERS = bytes(32 if 48 <= b <= 57 else _PUNCT[b] for b in range(256))
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes of the files that a frame reads, as the optimizer's statistics give them."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, giving memory back at a task's end, as workers live on beside the tasks of later stages."""
 

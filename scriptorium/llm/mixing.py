@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import size_of, stored
+from .common import stored
 
 #: A larger rate is the sum of independent parts of at most this rate, as exp(-rate) must not vanish.
 PART = 16.0
 #: Counts of a part beyond this have probabilities below 1e-30.
 MOST = 96
-#: The table of sources is broadcast up to so many bytes of files; beyond, it is joined with the sources salted.
+#: The table of sources is broadcast up to so many bytes, each with its name and its distribution; beyond, it is joined with the sources salted.
 BROADCAST_BYTES = 64 << 20
 SALTS = 64
 #: Bytes of text in a partition of the shuffled output, and the most partitions.
@@ -57,8 +57,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     return _rates(docs, weights, power, epochs)[0]
 
 
-def _rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epochs: float) -> tuple[DataFrame, int, DataFrame]:
-    """Rates, the corpus's bytes, and the stored table of sources."""
+def _rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epochs: float) -> tuple[DataFrame, int, int]:
+    """Rates, the corpus's bytes, and the bytes of the table with each source's distribution."""
     size = F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("bytes")
     sources = docs.groupBy("source").agg(size)
     if weights is None:
@@ -67,10 +67,12 @@ def _rates(docs: DataFrame, weights: dict[str, float] | None, power: float, epoc
         pairs = [x for item in weights.items() for x in (F.lit(item[0]), F.lit(float(item[1])))]
         weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0)) if pairs else F.lit(0.0)
     sources = stored(sources.withColumn("weight", weight), "sources")
-    whole = sources.agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("bytes") > 0, F.col("weight"))).alias("weight")).first()
+    names = F.sum(F.octet_length(F.coalesce(F.col("source").cast("string"), F.lit("")))).alias("names")
+    whole = sources.agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("bytes") > 0, F.col("weight"))).alias("weight"), F.count("*").alias("n"), names).first()
     rate = F.when(F.col("bytes") > 0, F.col("weight") / F.lit(whole["weight"] or 1.0) * F.lit(epochs * (whole["bytes"] or 0)) / F.col("bytes"))
     chosen = F.round(F.coalesce(rate, F.when(F.lit(weights is None) | (F.col("weight") > 0), F.lit(float(epochs))), F.lit(0.0)), 9)
-    return sources.select("source", chosen.alias("rate")), int(whole["bytes"] or 0), sources
+    row = 8 * (MOST + 1) + 64  # a distribution as an array of doubles, and what a row has beside it
+    return sources.select("source", chosen.alias("rate")), int(whole["bytes"] or 0), whole["n"] * row + (whole["names"] or 0)
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: int = 0) -> DataFrame:
@@ -85,13 +87,13 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     about ``PARTITION_BYTES`` of text.
     """
     docs = docs.drop("rate", "copy", "shuffle_key")
-    by_source, n_bytes, sources = _rates(docs, weights, power, epochs)
+    by_source, n_bytes, table_bytes = _rates(docs, weights, power, epochs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART).cast("int"))
     by_source = by_source.select("source", F.struct("rate", parts.alias("parts"), poisson_cdf(F.col("rate") / parts).alias("cdf")).alias("draw"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("source").alias("of"), key.alias("key"))
     same = F.col("of").eqNullSafe(F.col("source"))
-    if size_of(sources) <= BROADCAST_BYTES:
+    if table_bytes <= BROADCAST_BYTES:
         joined = packed.join(F.broadcast(by_source), same)
     else:  # more sources than an executor should hold: a hot source's rows are dealt out by salt
         salted = by_source.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
