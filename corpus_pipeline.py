@@ -6,6 +6,7 @@ the last return the columns of ``documents``. Between stages the rows are writte
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from scriptorium.llm.common import discard, stored
 from scriptorium.llm.queries import table, vocabulary
 
 
+#: The session's setting of where the token files go.
+TOKENS_DIR = "spark.scriptorium.tokens.dir"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of which one language has half of the words at least."""
     return langid.identified(docs)
@@ -36,8 +41,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token ids and returns what the files hold of each document; a repeated document has a row for each copy."""
-    return token_output.token_output(docs, vocabulary())
+    """Writes token ids and returns what the files hold of each document; a repeated document has a row for each copy.
+
+    The files are a new folder under the session's TOKENS_DIR setting, or in the scratch folder where it is unset.
+    """
+    folder = spark.conf.get(TOKENS_DIR, None)
+    return token_output.token_output(docs, vocabulary(), path=f"{folder.rstrip('/')}/tokens-{uuid.uuid4().hex}" if folder else None)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
