@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import layout, names
 from ..operators import assembly, chunking, evaluation, operations, reports, retrieval, works
 from ..sources.files import find_object, table
-from ..streaming import incremental
+from ..scratch import scratch_path
+from ..streaming import incremental, objects
 from . import chunks, fixtures, records
 
 # Elements of parsed documents: an order is an element of a page of one of 37 documents.
@@ -53,13 +56,14 @@ def all_elements(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents as Markdown, a separator between pages, and their titles."""
-    docs = assembly.documents(_elements(spark, sf).where("label <> 'fig'"))
+    docs = assembly.documents(assembly.figure_link(_elements(spark, sf)))
     texts = assembly.markdown(docs)
     titles = docs.select("source_file", assembly.title(F.struct("source_file", "pages")).alias("title"))
     return texts.join(titles, "source_file").select("source_file", "title", F.length("markdown").alias("length"), F.md5("markdown").alias("digest"))
 
 
-DOCUMENT_MARKDOWN_SQL = f"""WITH {ELEMENTS_SQL}, m AS (SELECT *, CASE label WHEN 'sec_0' THEN '# ' || text || chr(10) || chr(10) WHEN 'list' THEN '- ' || text || chr(10) ELSE text || chr(10) || chr(10) END AS md FROM e WHERE label <> 'fig'),
+DOCUMENT_MARKDOWN_SQL = f"""WITH {ELEMENTS_SQL}, m AS (SELECT *, CASE label WHEN 'sec_0' THEN '# ' || text || chr(10) || chr(10) WHEN 'list' THEN '- ' || text || chr(10)
+    WHEN 'fig' THEN printf('![Figure](figures/figure_%03d_%03d.png)', page_number, reading_order) || chr(10) || chr(10) ELSE text || chr(10) || chr(10) END AS md FROM e),
 p AS (SELECT source_file, page_number, string_agg(md, '' ORDER BY reading_order) AS md, arg_min(text, reading_order) FILTER (label = 'sec_0') AS head FROM m GROUP BY ALL),
 d AS (SELECT source_file, string_agg(md, '---' || chr(10) || chr(10) ORDER BY page_number) AS md, arg_min({{'h': head}}, page_number).h AS head FROM p GROUP BY source_file)
 SELECT source_file, coalesce(head, replace(replace(source_file, 'in/', ''), '.pdf', '')) AS title, length(md) AS length, md5(md) AS digest FROM d"""
@@ -258,6 +262,22 @@ n AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS "end", count(*) AS events FROM n GROUP BY user_id, session"""
 
 
+def object_states(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's day as an object: purchases say it is done, errors that it failed. A stream over the events, its state restarted for each part of them."""
+    outcome = "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'listed' END AS outcome"
+    events = table(spark, sf, "events").selectExpr("concat(user_id, '/', date_format(ts, 'yyyy-MM-dd')) AS object", outcome, "CAST(ts AS TIMESTAMP) AS time", "CAST(event_id % 2 AS INT) AS half")
+    source, changes, checkpoint = (scratch_path(spark, f"states-{n}") for n in ("events", "changes", "checkpoint"))
+    for half in (0, 1):
+        events.where(f"half = {half}").drop("half").write.mode("append").parquet(source)
+        stream = incremental.stream_table(spark, source, "object string, outcome string, time timestamp")
+        objects.write_changes(stream, changes, checkpoint, retries=1, stale=datetime.timedelta(days=10_000), late="9000 days").awaitTermination()
+    return objects.current(spark.read.parquet(changes)).select("object", "status", "failures", F.unix_millis("last").alias("last_ms"))
+
+
+OBJECT_STATES_SQL = """WITH g AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS object, count(*) FILTER (event_type = 'purchase') AS done, CAST(count(DISTINCT epoch_us(ts) // 1000) FILTER (event_type = 'error') AS INT) AS failures, epoch_us(max(ts)) // 1000 AS last_ms FROM events GROUP BY 1)
+SELECT object, CASE WHEN done > 0 THEN 'done' WHEN failures > 1 THEN 'failed' WHEN failures > 0 THEN 'retry' ELSE 'waiting' END AS status, failures, last_ms FROM g"""
+
+
 def first_object(spark: SparkSession, sf: str) -> DataFrame:
     listing = table(spark, sf, "pages").select(F.concat(F.lit("raw/"), F.lpad((F.col("page_id") * 7919 % 1000).cast("string"), 4, "0"), F.lit("_W"), "page_id", F.lit(".pdf")).alias("path"))
     return find_object(listing, "05")
@@ -299,6 +319,7 @@ QUERIES = {
     "works_filtered": (works_filtered, f"WITH {records.WORKS_SQL} SELECT openalex_id, publication_year FROM f WHERE publication_year >= 1995 AND is_oa"),
     "event_windows": (event_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY ALL"),
     "event_sessions": (event_sessions, SESSIONS_SQL),
+    "object_states": (object_states, OBJECT_STATES_SQL),
     "first_object": (first_object, "SELECT path FROM (SELECT 'raw/' || lpad((page_id * 7919 % 1000)::VARCHAR, 4, '0') || '_W' || page_id || '.pdf' AS path FROM pages) WHERE path LIKE 'raw/05%' ORDER BY path LIMIT 1"),
     "embedding_search": (embedding_search, SEARCH_SQL),
 }

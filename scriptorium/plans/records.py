@@ -190,16 +190,19 @@ LAYOUTS = [
 
 
 def layout_parse(spark: SparkSession, sf: str) -> DataFrame:
-    found = spark.createDataFrame(LAYOUTS, "page int, layout string").select("page", F.explode(layout.parse_layout("layout")).alias("e"))
+    """A customer's page has one of the layouts, moved by the customer's number."""
+    given = F.element_at(F.array(*[F.lit(s) for _, s in LAYOUTS]), (1 + F.col("c_custkey") % len(LAYOUTS)).cast("int"))
+    moved = F.concat(F.lit("["), F.col("c_custkey") % 800, F.lit(",1,890,9][para][PAIR_SEP]"), given)
+    found = table(spark, sf, "customer").select(F.col("c_custkey").alias("page"), F.explode(layout.parse_layout(moved)).alias("e"))
     c = F.col("e.coords")
     return found.select("page", "e.reading_order", "e.label", *[c[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-LAYOUT_SQL = r"""WITH t(page, layout) AS (VALUES {}), s AS (SELECT page, unnest(list_filter(list_transform(string_split(replace(layout, '[RELATION_SEP]', '[PAIR_SEP]'), '[PAIR_SEP]'), lambda x: trim(x)),
+LAYOUT_SQL = r"""WITH t AS (SELECT c_custkey AS page, '[' || (c_custkey % 800) || ',1,890,9][para][PAIR_SEP]' || [{}][1 + c_custkey % {}] AS layout FROM customer), s AS (SELECT page, unnest(list_filter(list_transform(string_split(replace(layout, '[RELATION_SEP]', '[PAIR_SEP]'), '[PAIR_SEP]'), lambda x: trim(x)),
     lambda x: regexp_matches(x, '\[(\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+)\]') AND regexp_matches(x, '\]\[[^\]]+\]'))) AS s FROM t),
 n AS (SELECT page, s, row_number() OVER (PARTITION BY page) - 1 AS reading_order, string_split(regexp_extract(s, '\[([0-9.,]+)\]', 1), ',') AS c FROM s)
 SELECT page, CAST(reading_order AS INT) AS reading_order, trim(regexp_extract(s, '\]\[([^\]]+)\]', 1)) AS label, c[1]::DOUBLE AS x1, c[2]::DOUBLE AS y1, c[3]::DOUBLE AS x2, c[4]::DOUBLE AS y2 FROM n""".format(
-    ", ".join(f"({p}, '{s}')" for p, s in LAYOUTS)
+    ", ".join(f"'{s}'" for _, s in LAYOUTS), len(LAYOUTS)
 )
 
 
@@ -219,19 +222,23 @@ ELEMENTS_SQL = f"""SELECT item_id, '# Head line' || chr(10) || chr(10) || '### '
     || trim({_BODY}) || chr(10) || chr(10) || 'end' || chr(10) || chr(10) || '- item' || chr(10) || '```bash' || chr(10) || 'x = 1' || chr(10) || '```' || chr(10) || chr(10)
     || '$$a \\leq  b$$' || chr(10) || chr(10) || '<table><tr></tr></table>' || chr(10) || chr(10) || chr(10) || '![Figure](f.png)' || chr(10) || chr(10) || '![Figure 8](data:image/png;base64,iVBOR)' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS markdown FROM benchmark"""
 
-ANSWERS = [
-    (1, "## Executive Summary\n- One\n• Two\nplain\n\n## Detailed Analysis\n### First\nBody one\nmore\n### Empty\n### Second\nBody two\n\n## Key References\n[1] x"),
-    (2, "No headers at all."),
-    (3, "Executive Summary\nJust text.\nDetailed Analysis\nOnly a paragraph."),
-]
+# Answers made of a document's letters: with bullets and headings, without headers, without bullets, and an analysis alone.
+LETTERS = "trim(concat('about ', substr(regexp_replace(text, '[^a-z]+', ' '), {0}, 60)))"
+ANSWER = """CASE doc_id % 4
+ WHEN 0 THEN concat('# Executive Summary\\n- ', a, '\\n• ', b, '\\n## Detailed Analysis\\n### First\\n', b, '\\n', c, '\\n### Empty\\n\\n### Second\\n', a, '\\n## References\\n- ', c)
+ WHEN 1 THEN a WHEN 2 THEN concat('Executive Summary\\n', a, '\\n', b, '\\nDetailed Analysis\\n', c) ELSE concat('## Detailed Analysis: ', a, '\\n', b) END"""
 
 
 def answer_sections(spark: SparkSession, sf: str) -> DataFrame:
-    found = spark.createDataFrame(ANSWERS, "id int, answer string").select("id", markdown.answer_sections("answer").alias("s"))
-    return found.select("id", F.array_join("s.summary", "|").alias("summary"), F.array_join(F.transform("s.details", lambda d: F.concat(d["title"], F.lit("="), d["content"])), "|").alias("details"))
+    parts = table(spark, sf, "documents").selectExpr("doc_id", *[f"{LETTERS.format(at)} AS {name}" for name, at in (("a", 1), ("b", 61), ("c", 121))])
+    found = parts.select("doc_id", markdown.answer_sections(F.expr(ANSWER)).alias("s"))
+    return found.select("doc_id", F.array_join("s.summary", "|").alias("summary"), F.array_join(F.transform("s.details", lambda d: F.concat(d["title"], F.lit("="), d["content"])), "|").alias("details"))
 
 
-ANSWERS_SQL = "SELECT * FROM (VALUES (1, 'One|Two', 'First=Body one' || chr(10) || 'more|Second=Body two'), (2, 'No headers at all.', ''), (3, 'Just text.', 'Detailed Analysis=Only a paragraph.')) t(id, summary, details)"
+ANSWERS_SQL = """WITH t AS (SELECT doc_id, regexp_replace(text, '[^a-z]+', ' ', 'g') AS t FROM documents),
+s AS (SELECT doc_id, trim('about ' || substr(t, 1, 60)) AS a, trim('about ' || substr(t, 61, 60)) AS b, trim('about ' || substr(t, 121, 60)) AS c FROM t)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN a || '|' || b WHEN 1 THEN a WHEN 2 THEN a || chr(10) || b ELSE '' END AS summary,
+CASE doc_id % 4 WHEN 0 THEN 'First=' || b || chr(10) || c || '|Second=' || a WHEN 1 THEN '' WHEN 2 THEN 'Detailed Analysis=' || c ELSE 'Detailed Analysis=: ' || a || chr(10) || b END AS details FROM s"""
 
 
 def stripped(spark: SparkSession, sf: str) -> DataFrame:

@@ -103,21 +103,34 @@ def hashed_embedding_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.rerank(hits, 5).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests: each names a model of the catalogue, an unknown one, or none."""
+    named = F.element_at(F.array(*[F.lit(m[0]) for m in retrieval.MODELS], F.lit("unknown"), F.lit(None)), (1 + F.col("event_id") % (len(retrieval.MODELS) + 2)).cast("int"))
+    return retrieval.valid_requests(table(spark, sf, "events").select(F.col("event_type").alias("query"), named.alias("model")), retrieval.models(spark))
+
+
 def model_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.models(spark).select("id", "tier", "context", "is_default", retrieval.temperature("id").alias("temperature"))
+    """The catalogue with the number of valid requests for each model."""
+    asked = _asked(spark, sf).groupBy(F.col("model").alias("id")).agg(F.count("*").alias("requests"))
+    found = retrieval.models(spark).join(asked, "id", "left")
+    return found.select("id", "tier", "context", "is_default", retrieval.temperature("id").alias("temperature"), F.coalesce("requests", F.lit(0)).alias("requests"))
 
 
-MODELS_SQL = "SELECT id, tier, context, id = '{}' AS is_default, CASE WHEN contains(id, 'gpt-5') THEN 1.0 ELSE 0.3 END::DOUBLE AS temperature FROM (VALUES {}) t(id, tier, context)".format(
-    retrieval.DEFAULT_MODEL, ", ".join(f"('{m[0]}', '{m[3]}', {m[4]})" for m in retrieval.MODELS)
+MODELS_SQL = """WITH m(id, tier, context) AS (VALUES {1}), r AS (SELECT CASE WHEN event_id % {3} = {3} - 1 THEN '{0}' ELSE [{2}, 'unknown'][1 + event_id % {3}] END AS id FROM events WHERE trim(event_type) <> '')
+SELECT id, tier, context, id = '{0}' AS is_default, CASE WHEN contains(id, 'gpt-5') THEN 1.0 ELSE 0.3 END::DOUBLE AS temperature, (SELECT count(*) FROM r WHERE r.id = m.id) AS requests FROM m""".format(
+    retrieval.DEFAULT_MODEL, ", ".join(f"('{m[0]}', '{m[3]}', {m[4]})" for m in retrieval.MODELS), ", ".join(f"'{m[0]}'" for m in retrieval.MODELS), len(retrieval.MODELS) + 2
 )
 
 
 def models_by_tier(spark: SparkSession, sf: str) -> DataFrame:
-    grouped = retrieval.models_by_tier(retrieval.models(spark))
-    return grouped.select("tier", F.array_join("models", ",").alias("models"))
+    """Tiers with their models and the number of valid requests for these."""
+    catalogue = retrieval.models(spark)
+    asked = _asked(spark, sf).join(F.broadcast(catalogue.select(F.col("id").alias("model"), "tier")), "model").groupBy("tier").agg(F.count("*").alias("requests"))
+    grouped = retrieval.models_by_tier(catalogue).join(asked, "tier", "left")
+    return grouped.select("tier", F.array_join("models", ",").alias("models"), F.coalesce("requests", F.lit(0)).alias("requests"))
 
 
-TIERS_SQL = f"SELECT tier, string_agg(id, ',' ORDER BY id) AS models FROM ({MODELS_SQL}) GROUP BY tier"
+TIERS_SQL = f"SELECT tier, string_agg(id, ',' ORDER BY id) AS models, sum(requests)::BIGINT AS requests FROM ({MODELS_SQL}) GROUP BY tier"
 
 QUERIES = {
     "vector_topk": (vector_topk, f"WITH {HITS_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank < 10"),
