@@ -33,8 +33,8 @@ SPAN = re.compile(rb"[^x]*x")
 LABELS = np.frombuffer(b".abx", np.uint8)
 #: The fixed pattern by which byte-level tokenizers of this kind cut texts.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with longer runs go to the slower of two equal encoders, which is linear in them.
-LONG_RUN = re.compile(r"\S{2000}|\s{500}")
+#: Texts with longer words, or more white space than one character for each word and so many, go to the slower of two equal encoders, which is linear in them.
+LONG_WORD, LONG_SPACE = 2_000, 500
 
 BLOCKS = (
     "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
@@ -58,6 +58,12 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def has_long_run(text: str) -> bool:
+    """Whether a word, or a run of white space, may be long."""
+    sizes = [*map(len, text.split())]
+    return max(sizes, default=0) >= LONG_WORD or len(text) - sum(sizes) - len(sizes) >= LONG_SPACE
+
+
 def byte_level(path: str) -> Tokens:
     """A byte-level tokenizer's file, for a space and the text. Strings of special tokens are plain text.
 
@@ -83,7 +89,7 @@ def byte_level(path: str) -> Tokens:
     if not plain or not merges or [model["vocab"][m] for m in merges] != list(range(256, 256 + len(merges))):
         return Tokens(whole, table)
     ranks = Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks={table[i]: i for i in range(256 + len(merges))}, special_tokens={})
-    return Tokens(lambda text: whole(text) if LONG_RUN.search(text) else ranks.encode_ordinary(" " + text), table)
+    return Tokens(lambda text: whole(text) if has_long_run(text) else ranks.encode_ordinary(" " + text), table)
 
 
 def pieces(path: str) -> Tokens:
@@ -144,9 +150,9 @@ class Aligner:
         a, b, doc_ends = np.concatenate(a_ids), np.concatenate(b_ids), np.cumsum(sizes)
         marks = labels(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
         spans = SPAN.findall(marks)
-        group_a, group_b = (np.array([s.count(x) for s in spans], np.int64) + 1 for x in (b"a", b"b"))
-        group_bytes = np.array([len(s) for s in spans], np.int64)
-        mark = np.frombuffer(marks, np.uint8)
+        group_bytes = np.fromiter(map(len, spans), np.int64, len(spans))
+        mark, last = np.frombuffer(marks, np.uint8), np.cumsum(group_bytes) - 1
+        group_a, group_b = (np.diff(np.cumsum(mark == LABELS[i])[last], prepend=0) + 1 for i in (1, 2))  # a span's labels a, and b
         place = np.flatnonzero(mark != LABELS[0])
         mark = mark[place]
         ends_a, ends_b = mark != LABELS[2], mark != LABELS[1]
