@@ -14,21 +14,31 @@ from pyspark.sql import SparkSession, functions as F
 
 from .functions import names
 from .operators import answers, chunking, evaluation, operations, parsing, reports, retrieval, works
+from .scratch import stored
 from .session import session
 from .sources import files, sinks
-from .sources.works_api import WorksSource
+from .sources.files import spread
+from .sources.works_api import RangesSource, WorksSource, unfinished
 
 
 def fetch_works(spark: SparkSession, a: argparse.Namespace) -> None:
     """Reads works from the API or saved pages and writes flat works and their summary."""
-    spark.dataSource.register(WorksSource)
-    reader = spark.read.format("works_pages").option("filter", a.filter).option("per_page", str(a.per_page))
-    for key in ("url", "email", "pages"):
-        if value := getattr(a, key):
-            reader = reader.option(key, value)
-    if a.cursor:
-        reader = reader.option("cursor", a.cursor)
-    sinks.write_parquet(reader.load(), f"{a.output}/pages")  # read once: the source is remote
+    ranges = a.first is not None and a.last is not None
+    for source in (WorksSource, RangesSource):
+        spark.dataSource.register(source)
+    reader = spark.read.format("works_ranges" if ranges or a.resume else "works_pages").option("filter", a.filter).option("per_page", str(a.per_page))
+    for key in ("url", "email", "pages", "cursor", "field", "first", "last", "most"):
+        if (value := getattr(a, key)) is not None:
+            reader = reader.option(key, str(value))
+    if a.resume:  # an earlier read's ranges that failed; what it has stays
+        if not (left := unfinished(spark.read.parquet(f"{a.output}/pages"))):
+            raise SystemExit("complete: nothing to go on with")
+        reader = reader.option("resume", left)
+        kept = stored(spark.read.parquet(f"{a.output}/pages").where("json IS NOT NULL"), "pages-before")
+        found = stored(reader.load(), "pages-resumed")
+        sinks.write_parquet(kept.unionByName(found), f"{a.output}/pages")
+    else:
+        sinks.write_parquet(reader.load(), f"{a.output}/pages")  # read once: the source is remote
     read = spark.read.parquet(f"{a.output}/pages")
     flat = works.typed(works.flatten(works.parse_works(read.where("json IS NOT NULL")).where("NOT rejected")))
     sinks.write_parquet(flat, f"{a.output}/works")
@@ -36,7 +46,7 @@ def fetch_works(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_json(works.summary(saved), f"{a.output}/summary")
     works.summary_report(saved).coalesce(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(f"{a.output}/report")
     if cut := read.where("error IS NOT NULL").first():
-        raise SystemExit(f"incomplete: {cut['error']}; go on with --cursor {cut['cursor']}")
+        raise SystemExit(f"incomplete: {cut['error']}; go on with " + ("--resume" if "span" in read.columns else f"--cursor {cut['cursor']}"))
 
 
 def chunk(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -103,23 +113,23 @@ def parse(spark: SparkSession, a: argparse.Namespace) -> None:
     from .operators import assembly
 
     listed = files.pdfs(spark, a.input).select("path", "doc_id")
+    if a.workers > 1:  # shares of all files, whenever a worker starts
+        listed = operations.modulo_shard(listed, "path", a.worker, a.workers)
     if a.done:
         finished = spark.read.parquet(a.done).select("paper_id").distinct()
         listed = operations.unprocessed(listed, finished.withColumnRenamed("paper_id", "doc_id"), "doc_id")
-    if a.workers > 1:
-        listed = operations.modulo_shard(listed, "path", a.worker, a.workers)
-    content = files.pdf_bytes(spark, a.input).join(listed.select("path"), "path", "left_semi")
+    content = files.bytes_of(spread(listed))
     renderer = _named(a.renderer) if a.renderer else parsing.installed_renderer
     parsed = parsing.parse_documents(content, renderer, _named(a.model))
-    mode = "append" if a.workers > 1 else "overwrite"
-    sinks.write_parquet(parsed.documents, f"{a.output}/documents", mode=mode)
-    saved = spark.read.parquet(f"{a.output}/documents")
-    papers = assembly.markdown(saved).select(names.pdf_id("source_file").alias("paper_id"), "markdown")
-    sinks.write_documents(papers, f"{a.output}/markdown")
+    mode = "append" if a.workers > 1 else "overwrite"  # a worker only adds its own share
+    documents = stored(parsed.documents, "parsed-documents")
+    sinks.write_parquet(documents, f"{a.output}/documents", mode=mode)
+    papers = assembly.markdown(documents).select(names.pdf_id("source_file").alias("paper_id"), "markdown")
+    sinks.write_documents(papers, f"{a.output}/markdown", mode)
     sinks.write_figures(parsed.figures, f"{a.output}/figures", mode)
     sinks.write_parquet(parsed.failures, f"{a.output}/failures", mode=mode)
     n_failed = parsed.failures.select("source_file").distinct().count()
-    print(f"{saved.count()} documents, {n_failed} with failures")
+    print(f"{documents.count()} documents, {n_failed} with failures")
 
 
 def status(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -200,7 +210,8 @@ def main(argv: list[str] | None = None) -> None:
 
     out = ("--output", {"required": True})
     kind = ("--chunk-type", {"default": "coarse", "choices": ["coarse", "fine"]})
-    command(fetch_works, ("--filter", {"default": ""}), ("--per-page", {"type": int, "default": 200}), ("--url", {}), ("--email", {}), ("--pages", {}), ("--cursor", {}), out)
+    command(fetch_works, ("--filter", {"default": ""}), ("--per-page", {"type": int, "default": 200}), ("--url", {}), ("--email", {}), ("--pages", {}), ("--cursor", {}),
+            ("--field", {}), ("--first", {"type": int}), ("--last", {"type": int}), ("--most", {"type": int}), ("--resume", {"action": "store_true"}), out)
     command(
         download, ("works", {}), ("--max", {"type": int}), ("--workers", {"type": int, "default": 5}), ("--only-with-pdfs", {"action": argparse.BooleanOptionalAction, "default": True}),
         ("--done", {}), ("--fetch", {}), out,

@@ -1,4 +1,4 @@
-"""Chunking of documents, one row in and many chunk rows out, by Catalyst expressions alone.
+"""Chunking of documents, one row in and many chunk rows out, by Catalyst expressions; only many citations are searched by an automaton.
 
 Nothing here shuffles: a document's chunks, their numbers and totals come from one array per document,
 exploded at the end, so plans are map-only and scale with the number of documents.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import col, count_citations, greedy, let, paragraphs, sentences, strip, tail_overlap, word_count
@@ -249,8 +250,11 @@ def _recursive(text: Column, size: int, separators: tuple[str, ...]) -> Column:
     if not separators:
         return F.array(text)
     separator, rest = separators[0], separators[1:]
-    piece = lambda p: F.when(F.length(p) > size, _recursive(p, size, rest)).otherwise(F.array(F.concat(p, F.lit(separator))))
-    cut = lambda parts: F.when(F.size(parts) == 1, _recursive(text, size, rest)).otherwise(F.flatten(F.transform(parts, piece)))
+
+    def cut(parts: Column) -> Column:
+        """Each level is in the expression once: a text without the separator is its own only part and goes on like one that is too long."""
+        return F.flatten(F.transform(parts, lambda p: F.when((F.size(parts) == 1) | (F.length(p) > size), _recursive(p, size, rest)).otherwise(F.array(F.concat(p, F.lit(separator))))))
+
     return let(F.split(text, r"\Q" + separator + r"\E"), cut)
 
 
@@ -283,10 +287,36 @@ def plain_chunks(documents: DataFrame, method: str = "semantic", options: SplitO
     found = documents.withColumn("_pieces", PIECES[method](F.coalesce(F.col(text_col), F.lit("")), options))
     base = {"text": F.col("_p"), "chunk_index": F.col("_i"), "length": F.length("_p"), "word_count": word_count("_p")}
     if citations_col:
-        base["citations"] = F.filter(citations_col, lambda c: F.contains(F.col("_p"), c))
+        found = found.withColumn("_cited", cited("_pieces", citations_col))
+        base["citations"] = F.get("_cited", F.col("_i"))
     rows = found.select("*", F.posexplode("_pieces").alias("_i", "_p"))
     return rows.select(*[F.col(c) for c in keep], *[v.alias(k) for k, v in base.items() if k not in keep])
 
 
+def cited(pieces: Column | str, citations: Column | str) -> Column:
+    """For each string of an array, which of the row's ``citations`` (an array of strings) it contains, in their order.
+
+    All patterns of a batch of rows make one automaton (Aho and Corasick), and each string is read once, however many patterns there are.
+    Null and empty patterns are left out (an empty string would be in everything); repeated ones are found as often; null arrays have none.
+    """
+
+    @F.pandas_udf("array<array<string>>")
+    def search(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        asked = [[p for p in (row if row is not None else []) if p] for row in wanted]
+        for pattern in {p for row in asked for p in row}:
+            automaton.add_word(pattern, pattern)
+        automaton.make_automaton()
+        out = []
+        for row, own in zip(texts, asked, strict=True):
+            found = [{p for _, p in automaton.iter(t)} if own and t else set() for t in (row if row is not None else [])]
+            out.append([[p for p in own if p in hits] for hits in found])
+        return pd.Series(out, dtype=object)
+
+    return search(col(pieces), col(citations))
+
+
 def with_citation_counts(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.withColumn("citations", count_citations(text_col))

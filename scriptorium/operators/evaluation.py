@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.models import HashedWords, sentence_coherence, text_cosine
 from ..functions.names import normalize_score, token_estimate
 from ..functions.text import count_citations, decimals, long_sentences
+from ..scratch import stored
 
 
 def _group(chunks: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
@@ -128,7 +129,11 @@ def report_rows(metrics: DataFrame, name_col: str = "strategy") -> DataFrame:
 
 
 def evaluate(chunks: DataFrame, model: Callable = HashedWords) -> DataFrame:
-    """All metrics of chunks with ``strategy``, ``paper_id`` and ``chunk_index``; every chunk and pair is scored."""
+    """All metrics of chunks with ``strategy``, ``paper_id`` and ``chunk_index``; every chunk and pair is scored.
+
+    Chunks are stored first, so documents are cut once, not for each metric.
+    """
+    chunks = stored(chunks, "evaluated-chunks")
     out = chunk_statistics(chunks, ["strategy"]).join(citation_integrity(chunks, ["strategy"]), "strategy")
     out = out.join(coherence(chunks, model).groupBy("strategy").agg(F.avg("coherence").alias("coherence")), "strategy", "left")
     pairs = boundary_quality(chunks, ["strategy", "paper_id"], ["chunk_index"], model)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.names import normalize_score
-from ..functions.vectors import cosine, dot, norm, normalized
+from ..functions.vectors import cosine, mean_cosine, norm, normalized
 from ..operators import retrieval, vector_index
 from ..sources.files import table
 from . import fixtures
@@ -50,12 +50,8 @@ def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_coherence(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean off-diagonal cosine within a label from one sum of unit vectors, so no pairs are formed."""
-    unit = table(spark, sf, "embeddings").select("label", "vec_id", normalized("embedding").alias("u"))
-    parts = unit.select("label", "vec_id", dot("u", "u").alias("own"), F.posexplode("u").alias("i", "x"))
-    sums = parts.groupBy("label", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.sum(F.when(F.col("i") == 0, F.col("own"))).alias("own"))
-    whole = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("total"), F.max("n").alias("n"), F.sum("own").alias("own"))
-    return whole.where("n > 1").select("label", F.col("n").alias("vectors"), F.round((F.col("total") - F.col("own")) / (F.col("n") * (F.col("n") - 1)), 6).alias("coherence"))
+    found = mean_cosine(table(spark, sf, "embeddings"), "label")
+    return found.where("vectors > 1").select("label", "vectors", F.round("coherence", 6).alias("coherence"))
 
 
 def cosine_neighbours(spark: SparkSession, sf: str) -> DataFrame:

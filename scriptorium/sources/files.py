@@ -56,6 +56,29 @@ def find_object(listing: DataFrame, prefix: str) -> DataFrame:
     return listing.where(F.startswith(F.substring_index("path", "/", -1), F.lit(prefix))).orderBy("path").limit(1)
 
 
+def bytes_of(listing: DataFrame) -> DataFrame:
+    """(path, content) of listed files, each read by its own task, so files that aren't listed are never opened.
+
+    Paths are what the file system's library takes (local, HDFS, object stores); a file that can't be read has no content.
+    """
+
+    def read(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    store, place = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                    with store.open_input_stream(place) as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+
+    return listing.select("path").mapInArrow(read, "path string, content binary")
+
+
 def markdown_folder(spark: SparkSession, folder: str) -> DataFrame:
     """``*.md`` right in a folder: source_file, document_id (its stem), text."""
     read = spark.read.text(f"{folder}/*.md", wholetext=True)

@@ -40,7 +40,68 @@ def test_vectors(spark):
     assert value(spark, vectors.norm(a)) == 5.0
     assert value(spark, vectors.normalized(zero)) == [0.0, 0.0]
     assert value(spark, vectors.cosine(a, zero)) is None
-    assert value(spark, vectors.mean_cosine(F.array(a, a), 2)) == pytest.approx(1.0)
+
+
+def test_mean_cosine_of_groups(spark):
+    """Against all pairs: a group in several tasks, one vector alone, zero vectors, a null group and null vectors."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(["a", "b", None][i % 3], rng.normal(size=5).tolist()) for i in range(90)] + [("one", [1.0] * 5), ("a", [0.0] * 5), ("b", None)]
+    got = {r["g"]: (r["vectors"], r["coherence"]) for r in vectors.mean_cosine(spark.createDataFrame(rows, "g string, embedding array<double>").repartition(4), "g").collect()}
+    for group in ("a", "b", None):
+        v = np.array([x for g, x in rows if g == group and x])
+        n = np.linalg.norm(v, axis=1)
+        u = v / np.where(n > 0, n, 1)[:, None]
+        assert got[group] == (len(v), pytest.approx(((u @ u.T).sum() - (u * u).sum()) / (len(v) * (len(v) - 1))))
+    assert got["one"] == (1, None) and len(got) == 4
+
+
+def test_many_citations(spark):
+    """1,000 patterns a document, overlapping and repeated ones, nulls; equal to searching each in each piece."""
+    from scriptorium.operators import chunking
+
+    patterns = [f"[{i}]" for i in range(996)] + ["[1", "]", "[1]", "\U0001f600"]
+    texts = [" ".join(f"w{i} [{i * 7 % 2000}]" for i in range(300)) + " \U0001f600", "nothing", "", None]
+    docs = spark.createDataFrame([(i, t, patterns if i != 1 else None) for i, t in enumerate(texts)], "doc_id int, text string, cites array<string>")
+    options = chunking.SplitOptions(size=200, overlap=20, least=1)
+    got = chunking.plain_chunks(docs, "fixed", options, keep=["doc_id"], citations_col="cites").collect()
+    assert len(got) > 10
+    for r in got:
+        own = patterns if r["doc_id"] != 1 else []
+        assert r["citations"] == [p for p in own if p in r["text"]]
+
+
+def test_split_harvest(spark, tmp_path):
+    """Four ranges by counts, one of which fails on its second page: the others are complete, and it is taken up again."""
+    counts = {"2000-2007": 90, "2000-2003": 60, "2004-2007": 30, "2000-2001": 30, "2002-2003": 30, "2004-2005": 0, "2006-2007": 30}
+    for span, n in counts.items():
+        (tmp_path / span).mkdir()
+        (tmp_path / span / "count.json").write_text(json.dumps({"meta": {"count": n}}))
+
+    def page(span, name, ids, following=None):
+        (tmp_path / span / f"{name}.json").write_text(json.dumps({"results": [{"id": f"{span}/{i}"} for i in ids], "meta": {"next_cursor": following}}))
+
+    assert works_api.planned(lambda a, b: counts[f"{a}-{b}"], 2000, 2007, 30) == [(2000, 2001), (2002, 2003), (2004, 2007)]
+    for span in ("2000-2001", "2002-2003", "2004-2007"):
+        page(span, "start", range(3), "next")
+    page("2000-2001", "next", [3])
+    page("2004-2007", "next", [3])
+    spark.dataSource.register(works_api.RangesSource)
+    options = {"pages": str(tmp_path), "first": "2000", "last": "2007", "most": "30", "wait": "0"}
+    read = spark.read.format("works_ranges").options(**options).load()
+    assert read.rdd.getNumPartitions() == 3
+    read.write.parquet(str(tmp_path / "out"))
+    kept = spark.read.parquet(str(tmp_path / "out"))
+    assert kept.where("json IS NOT NULL").count() == 11
+    assert json.loads(works_api.unfinished(kept)) == {"2002-2003": "next"}
+    page("2002-2003", "next", [3, 4])
+    rest = spark.read.format("works_ranges").options(**options, resume=works_api.unfinished(kept)).load()
+    assert sorted(json.loads(r["json"])["id"] for r in rest.collect()) == ["2002-2003/3", "2002-2003/4"]
+    assert works_api.unfinished(rest) is None
+    (tmp_path / "2000-2001" / "start.json").unlink()  # a first page that fails
+    again = spark.read.format("works_ranges").options(**options).load()
+    assert json.loads(works_api.unfinished(again)) == {"2000-2001": "*"} and again.where("json IS NOT NULL").count() == 9
 
 
 def test_top_k_ties_and_small_tables(spark):
