@@ -56,21 +56,29 @@ def long_sentences(text: Column | str, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(col(text), r"(?U)[.!?]+\s+"), strip), lambda s: F.length(s) > least)
 
 
-def join_nonempty(left: Column, separator: str, right: Column) -> Column:
-    return F.when(left == "", right).otherwise(F.concat(left, F.lit(separator), right))
+def greedy(pieces: Column, most: int, separator: str = "", extra: int = 0) -> Column:
+    """Packs an array of strings: they are joined by ``separator`` as long as the length so far, the next one's and ``extra`` are ``most`` at most.
 
-
-def greedy(pieces: Column, fits: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column]) -> Column:
-    """Packs an array of strings: while ``fits(current, piece)``, they are joined; else a new string starts."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    A string that is too long stays whole; while nothing is packed yet, the next string starts anew.
+    Only lengths and places are folded: a fold copies its state at each step, so strings in it would take time with the square of the text's length.
+    """
+    state = lambda out, first, size: F.struct(out.alias("out"), first.alias("first"), size.alias("size"))
 
     def step(acc: Column, p: Column) -> Column:
-        closed = (acc["cur"] != "") & ~fits(acc["cur"], p)
-        out = F.when(closed, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-        cur = F.when((acc["cur"] == "") | ~fits(acc["cur"], p), p).otherwise(joined(acc["cur"], p))
-        return F.struct(out.alias("out"), cur.alias("cur"))
-
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
+        fits = acc["size"] + p["n"] + extra <= most
+        closed = (acc["size"] > 0) & ~fits
+        out = F.when(closed, F.concat(acc["out"], F.array(acc["first"], p["i"]))).otherwise(acc["out"])
+        fresh = (acc["size"] == 0) | ~fits
+        return state(out, F.when(fresh, p["i"]).otherwise(acc["first"]), F.when(fresh, p["n"]).otherwise(acc["size"] + p["n"] + len(separator)))
+
+    def packed(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i")))
+        ends = F.aggregate(sizes, state(F.array().cast("array<int>"), F.lit(0), F.lit(0)), step, lambda acc: F.when(acc["size"] > 0, F.concat(acc["out"], F.array(acc["first"], F.size(parts)))).otherwise(acc["out"]))
+        join = lambda e, k: F.array_join(F.slice(parts, F.get(e, 2 * k) + 1, F.get(e, 2 * k + 1) - F.get(e, 2 * k)), separator)
+        none = F.slice(parts, F.lit(1), F.lit(0))
+        return let(ends, lambda e: F.when(F.size(e) > 0, F.transform(F.sequence(F.lit(0), (F.size(e) / 2).cast("int") - 1), lambda k: join(e, k))).otherwise(none))
+
+    return let(pieces, packed)
 
 
 def tail_overlap(pieces: Column, share: float) -> Column:

@@ -1,4 +1,4 @@
-"""Chunking of documents, one row in and many chunk rows out, by Catalyst expressions; only many citations are searched by an automaton.
+"""Chunking of documents, one row in and many chunk rows out: by Catalyst expressions, but for loops whose state is text or a place in it.
 
 Nothing here shuffles: a document's chunks, their numbers and totals come from one array per document,
 exploded at the end, so plans are map-only and scale with the number of documents.
@@ -6,6 +6,8 @@ exploded at the end, so plans are map-only and scale with the number of document
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -74,37 +76,40 @@ def sections(text: Column | str, keep_preamble: bool = False) -> Column:
 
 
 def _sections(text: Column, lines: Column, heads: Column, keep_preamble: bool) -> Column:
-    path = "array<struct<text:string,level:int>>"
-    start = F.struct(F.array().cast(path).alias("stack"), F.array().cast("array<array<string>>").alias("out"))
+    """Sections by headings. Folds have places only, as their state is copied at each step."""
+    start = F.struct(F.array().cast("array<struct<i:int,level:int>>").alias("stack"), F.array().cast("array<array<int>>").alias("out"))
 
     def push(acc: Column, h: Column) -> Column:
         above = F.filter(acc["stack"], lambda s: s["level"] < h["level"])
-        stack = F.concat(above, F.array(F.struct(h["text"].alias("text"), h["level"].alias("level"))))
-        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.transform(stack, lambda s: s["text"]))).alias("out"))
+        stack = F.concat(above, F.array(F.struct(h["i"].alias("i"), h["level"].alias("level"))))
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.transform(stack, lambda s: s["i"]))).alias("out"))
 
-    paths = F.aggregate(heads, start, push, lambda acc: acc["out"])
     joined = lambda a, b: F.array_join(F.slice(lines, a + 1, b - a), "\n")
-    pieces = F.transform(heads, lambda h, i: joined(h["line"], F.coalesce(F.get(heads, i + 1)["line"], F.size(lines))))
     first = F.get(heads, F.lit(0))["line"]
     before = F.when(first > 0, joined(F.lit(0), first))
     origin = F.coalesce(F.length(before) + 1, F.lit(0))
     part = "struct<hierarchy:array<string>,text:string,char_start:int,char_end:int>"
     make = lambda h, t, a: F.struct(h.alias("hierarchy"), t.alias("text"), a.alias("char_start"), (a + F.length(t)).alias("char_end"))
-    begin = F.struct(F.array().cast(f"array<{part}>").alias("out"), origin.alias("at"))
-    placed = F.aggregate(
-        F.arrays_zip(paths.alias("p"), pieces.alias("t")),
-        begin,
-        lambda acc, x: F.struct(F.concat(acc["out"], F.array(make(x["p"], x["t"], acc["at"]))).alias("out"), (acc["at"] + F.length(x["t"]) + 1).alias("at")),
-        lambda acc: acc["out"],
-    )
+
+    def placed(pieces: Column, paths: Column) -> Column:
+        begin = F.struct(F.array().cast("array<int>").alias("out"), origin.alias("at"))
+        follow = lambda acc, n: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + n + 1).alias("at"))
+        starts = F.aggregate(F.transform(pieces, F.length), begin, follow, lambda acc: acc["out"])
+        names = lambda i: F.transform(F.get(paths, i), lambda j: F.get(heads, j)["text"])
+        return let(starts, lambda places: F.transform(pieces, lambda t, i: make(names(i), t, F.get(places, i))))
+
+    numbered = F.transform(heads, lambda h, i: F.struct(i.alias("i"), h["level"].alias("level")))
+    cut = F.transform(heads, lambda h, i: joined(h["line"], F.coalesce(F.get(heads, i + 1)["line"], F.size(lines))))
+    found = let(cut, lambda pieces: let(F.aggregate(numbered, start, push, lambda acc: acc["out"]), lambda paths: placed(pieces, paths)))
     if keep_preamble:
-        placed = F.when(strip(before) != "", F.concat(F.array(make(F.array().cast("array<string>"), before, F.lit(0))), placed)).otherwise(placed)
-    return F.when(F.size(heads) == 0, F.array(make(F.array(F.lit("Document")), text, F.lit(0)))).otherwise(placed)
+        own = F.array(make(F.array().cast("array<string>"), before, F.lit(0)))
+        found = F.when(strip(before) != "", F.concat(own, found)).otherwise(found)
+    return F.when(F.size(heads) == 0, F.array(make(F.array(F.lit("Document")), text, F.lit(0))).cast(f"array<{part}>")).otherwise(found)
 
 
 def packed(text: Column, most: int) -> Column:
     """Paragraphs packed into strings of ``most`` characters at most; a longer paragraph stays whole."""
-    return greedy(paragraphs(text), lambda cur, p: F.length(cur) + F.length(p) + 2 <= most, lambda cur, p: F.concat(cur, F.lit("\n\n"), p))
+    return greedy(paragraphs(text), most, "\n\n", extra=2)
 
 
 def _with_columns(documents: DataFrame, id_col: str, title_col: str | None, text_col: str) -> DataFrame:
@@ -197,14 +202,7 @@ def strategies(documents: DataFrame, presets: dict[str, HybridOptions] = STRATEG
 
 def split_sentences(text: Column, size: int) -> Column:
     """Sentences packed greedily; the joining space doesn't count."""
-    return F.transform(greedy(sentences(text), lambda cur, s: F.length(cur) + F.length(s) <= size, lambda cur, s: F.concat(cur, F.lit(" "), s)), strip)
-
-
-def overlap_text(text: Column, size: int) -> Column:
-    """The last ``size`` characters, from after the first ``. `` in them; a shorter text whole."""
-    tail = F.right(text, F.lit(size))
-    at = F.instr(tail, ". ")
-    return F.when(F.length(text) <= size, text).when(at > 0, F.substring(tail, at + 2, F.lit(size))).otherwise(tail)
+    return F.transform(greedy(sentences(text), size, " "), strip)
 
 
 def semantic_pieces(text: Column | str, options: SplitOptions = SplitOptions()) -> Column:
@@ -212,67 +210,118 @@ def semantic_pieces(text: Column | str, options: SplitOptions = SplitOptions())
 
     Separators don't count towards the size; a last piece below ``least`` characters is dropped.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("size"))
-    paras = F.filter(F.transform(F.split(col(text), "\n\n"), strip), lambda p: p != "")
-
-    def state(out: Column, cur: Column, size: Column) -> Column:
-        return F.struct(out.alias("out"), cur.alias("cur"), size.alias("size"))
-
-    def step(acc: Column, p: Column) -> Column:
-        out, cur, size = acc["out"], acc["cur"], acc["size"]
-        flushed = F.when(cur != "", F.concat(out, F.array(strip(cur)))).otherwise(out)
-        long = state(F.concat(flushed, split_sentences(p, options.size)), F.when(cur != "", F.lit("")).otherwise(cur), F.when(cur != "", F.lit(0)).otherwise(size))
-        if options.overlap > 0:
-            tail = overlap_text(cur, options.overlap)
-            full = state(flushed, F.concat(tail, F.lit("\n\n"), p), F.length(tail) + F.length(p))
-        else:
-            full = state(flushed, p, F.length(p))
-        more = state(out, F.when(cur != "", F.concat(cur, F.lit("\n\n"), p)).otherwise(p), size + F.length(p))
-        return F.when(F.length(p) > options.size * 1.5, long).when(size + F.length(p) > options.size, full).otherwise(more)
-
-    last = lambda acc: F.when((acc["cur"] != "") & (F.length(acc["cur"]) >= options.least), F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-    return F.aggregate(paras, start, step, last)
+    return _semantic(options)(col(text))
+
+
+#: White space after the end of a sentence: Unicode's, without ASCII's four separators, which only ``str.isspace`` has.
+SENTENCE_END = re.compile(r"(?<=[.!?])[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _sentences(text: str, size: int) -> list[str]:
+    """:func:`split_sentences` of one string."""
+    out, held, length = [], [], 0
+    for s in SENTENCE_END.split(text):
+        if length and length + len(s) > size:
+            out.append(" ".join(held).strip())
+            length = 0
+        held, length = ([*held, s], length + 1 + len(s)) if length else ([s], len(s))
+    return [*out, " ".join(held).strip()] if length else out
+
+
+def _semantic(options: SplitOptions) -> Callable[[Column], Column]:
+    """Packs trimmed paragraphs. What a chunk starts with depends on the text of the one before, and a fold by expressions copies all that it has so
+    far at each step; so this is a loop over strings, each of which it reads once."""
+
+    def tail(text: str) -> str:
+        """The last characters for the overlap, from after the first ``. `` in them; a shorter text whole."""
+        end = text[-options.overlap :]
+        at = end.find(". ")
+        return text if len(text) <= options.overlap else end[at + 2 :] if at >= 0 else end
+
+    def packed(text: str) -> list[str]:
+        out, held, size = [], [], 0
+        for p in filter(None, map(str.strip, text.split("\n\n"))):
+            if len(p) > options.size * 1.5:
+                if held:
+                    out.append("\n\n".join(held).strip())
+                    held, size = [], 0
+                out += _sentences(p, options.size)
+            elif size + len(p) > options.size:
+                before = "\n\n".join(held)
+                if before:
+                    out.append(before.strip())
+                held, size = [p], len(p)
+                if options.overlap > 0:
+                    end = tail(before)
+                    held, size = [f"{end}\n\n{p}"], len(end) + len(p)
+            else:
+                held.append(p)
+                size += len(p)
+        last = "\n\n".join(held)
+        return [*out, last.strip()] if last and len(last) >= options.least else out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([packed(t) if t is not None else None for t in texts], dtype=object)
+
+    return run.asNondeterministic()  # not to be repeated in a filter that is derived from exploding it
 
 
 def fixed_pieces(text: Column | str, options: SplitOptions = SplitOptions()) -> Column:
-    """Windows of ``size`` characters every ``size - overlap``; those below ``least`` are dropped."""
+    """Windows of ``size`` characters every ``size - overlap``; those below ``least`` are dropped.
+
+    The text is cut into steps once and a window is its steps joined: a place in a string of bytes is found by counting from its start,
+    so looking up each window in the whole text would take time with the square of its length.
+    """
     step = options.size - options.overlap
     if step == 0:
         raise ValueError("size and overlap must differ")
     text = col(text)
     if step < 0:
         return F.array().cast("array<string>")
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(options.size))), lambda t: F.length(t) >= options.least)
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    several = -(-options.size // step)
+    window = lambda parts, i: F.substring(F.array_join(F.slice(parts, i + 1, F.lit(several)), ""), 1, options.size)
+    return let(steps, lambda parts: F.filter(F.transform(parts, lambda _, i: window(parts, i)), lambda t: F.length(t) >= options.least))
 
 
-def _recursive(text: Column, size: int, separators: tuple[str, ...]) -> Column:
+def _cut(text: str, size: int, separators: tuple[str, ...]) -> Iterator[str]:
+    """Pieces between the first separator, those that are too long cut at the next; a text without it is its own only part and goes on like a long one."""
     if not separators:
-        return F.array(text)
-    separator, rest = separators[0], separators[1:]
-
-    def cut(parts: Column) -> Column:
-        """Each level is in the expression once: a text without the separator is its own only part and goes on like one that is too long."""
-        return F.flatten(F.transform(parts, lambda p: F.when((F.size(parts) == 1) | (F.length(p) > size), _recursive(p, size, rest)).otherwise(F.array(F.concat(p, F.lit(separator))))))
-
-    return let(F.split(text, r"\Q" + separator + r"\E"), cut)
+        yield text
+        return
+    parts = text.split(separators[0]) if separators[0] else list(text)  # an empty separator cuts between characters
+    for p in parts:
+        if len(parts) == 1 or len(p) > size:
+            yield from _cut(p, size, separators[1:])
+        else:
+            yield p + separators[0]
 
 
 def recursive_pieces(text: Column | str, options: SplitOptions = SplitOptions()) -> Column:
     """Cut at the first separator, pieces that are too long at the next, and so on; then packed greedily.
 
     Pieces keep a separator at their end, the last one too; those cut further lose theirs. A last
-    piece below ``least`` characters is dropped.
+    piece below ``least`` characters is dropped. One loop over the pieces, of which a long text has one for each word.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def step(acc: Column, s: Column) -> Column:
-        over = F.length(acc["cur"]) + F.length(s) > options.size
-        out = F.when(over & (acc["cur"] != ""), F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.when(over, s).otherwise(F.concat(acc["cur"], s)).alias("cur"))
-
-    last = lambda acc: F.when((acc["cur"] != "") & (F.length(acc["cur"]) >= options.least), F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-    return F.aggregate(_recursive(col(text), options.size, options.separators or SplitOptions().separators), start, step, last)
+    separators = options.separators or SplitOptions().separators
+
+    def packed(text: str) -> list[str]:
+        out, held, length = [], [], 0
+        for piece in _cut(text, options.size, separators):
+            if length + len(piece) > options.size:
+                if length:
+                    out.append("".join(held).strip())
+                held, length = [], 0
+            held.append(piece)
+            length += len(piece)
+        return [*out, "".join(held).strip()] if length and length >= options.least else out
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([packed(t) if t is not None else None for t in texts], dtype=object)
+
+    return run.asNondeterministic()(col(text))
 
 
 PIECES = {"semantic": semantic_pieces, "fixed": fixed_pieces, "recursive": recursive_pieces}
