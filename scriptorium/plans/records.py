@@ -198,9 +198,9 @@ def layout_parse(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page", "e.reading_order", "e.label", *[c[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-LAYOUT_SQL = r"""WITH t AS (SELECT c_custkey AS page, '[' || (c_custkey % 800) || ',1,890,9][para][PAIR_SEP]' || [{}][1 + c_custkey % {}] AS layout FROM customer), s AS (SELECT page, unnest(list_filter(list_transform(string_split(replace(layout, '[RELATION_SEP]', '[PAIR_SEP]'), '[PAIR_SEP]'), lambda x: trim(x)),
-    lambda x: regexp_matches(x, '\[(\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+)\]') AND regexp_matches(x, '\]\[[^\]]+\]'))) AS s FROM t),
-n AS (SELECT page, s, row_number() OVER (PARTITION BY page) - 1 AS reading_order, string_split(regexp_extract(s, '\[([0-9.,]+)\]', 1), ',') AS c FROM s)
+LAYOUT_SQL = r"""WITH t AS (SELECT c_custkey AS page, '[' || (c_custkey % 800) || ',1,890,9][para][PAIR_SEP]' || [{}][1 + c_custkey % {}] AS layout FROM customer), k AS (SELECT page, list_filter(list_transform(string_split(replace(layout, '[RELATION_SEP]', '[PAIR_SEP]'), '[PAIR_SEP]'), lambda x: trim(x)),
+    lambda x: regexp_matches(x, '\[(\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+),(\d*\.?\d+)\]') AND regexp_matches(x, '\]\[[^\]]+\]')) AS k FROM t),
+n AS (SELECT page, s, reading_order, string_split(regexp_extract(s, '\[([0-9.,]+)\]', 1), ',') AS c FROM (SELECT page, unnest(k) AS s, unnest(range(len(k))) AS reading_order FROM k))
 SELECT page, CAST(reading_order AS INT) AS reading_order, trim(regexp_extract(s, '\]\[([^\]]+)\]', 1)) AS label, c[1]::DOUBLE AS x1, c[2]::DOUBLE AS y1, c[3]::DOUBLE AS x2, c[4]::DOUBLE AS y2 FROM n""".format(
     ", ".join(f"'{s}'" for _, s in LAYOUTS), len(LAYOUTS)
 )
