@@ -39,6 +39,8 @@ META_SIZE = 1 << 12
 GROUPS = ("#$%&*|!@", "AEINORST", "012357", string.punctuation, string.ascii_uppercase, string.digits)
 CLASSES = np.array([[b in c.encode() for b in range(256)] for c in GROUPS], np.int64)
 CONFIDENT, ROUNDS = 0.97, 3
+#: Labelled ids (8 bytes each) are broadcast up to this count.
+BROADCAST_IDS = 1_000_000
 #: Sums of gradients are of whole numbers, so they don't depend on the order of tasks.
 UNIT = float(1 << 24)
 FEATURES = "doc_id long, y int, held boolean, i binary, v binary, m binary"
@@ -294,9 +296,11 @@ def featured(rows: DataFrame) -> DataFrame:
 
 
 def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Features of every document without a label; texts don't go through the join."""
+    """Features of every document without a label. Ids of labels are broadcast up to BROADCAST_IDS; beyond, features are shuffled, not texts."""
     rows = docs.select("doc_id", F.lit(-1).alias("y"), F.lit(False).alias("held"), *COLUMNS)
-    return featured(rows).join(marks.select("_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti").select("i", "v", "m")
+    ids = marks.select("_id")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return featured(rows).join(ids, F.col("doc_id") == F.col("_id"), "left_anti").select("i", "v", "m")
 
 
 def bounded(found: DataFrame, labelled_bytes: int) -> DataFrame:
