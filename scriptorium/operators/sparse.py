@@ -51,10 +51,11 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, path: str | None =
     spark = docs.sparkSession
     path = path or scratch_path(spark, "sparse-index")
     cut = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
-    whole = cut.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    n, mean = whole["n"], whole["mean"] or 1.0
+    n = cut.select("doc_id").count()
     blocks = max(1, -(-n // block_docs))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    cut.groupBy(block).agg(F.count("*").alias("docs"), F.sum(F.size("words")).alias("words")).write.parquet(f"{path}/sizes")
+    mean = (spark.read.parquet(f"{path}/sizes").agg(F.sum("words")).first()[0] or 0) / max(1, n) or 1.0
     each = cut.select("doc_id", block, F.size("words").alias("length"), F.explode("words").alias("term"))
     counted = each.groupBy("term", "block", "doc_id", "length").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.lit(mean)))
@@ -64,13 +65,12 @@ def build(docs: DataFrame, k1: float = 1.2, b: float = 0.75, path: str | None =
     held = spark.read.parquet(f"{path}/maxima")
     df = F.sum("docs")
     held.groupBy("term").agg(F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("rarity")).write.parquet(f"{path}/terms")
-    cut.groupBy(block).agg(F.count("*").alias("docs")).write.parquet(f"{path}/sizes")
     return read(spark, path)
 
 
 def read(spark, path: str) -> Index:
     postings, maxima, terms, sizes = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "maxima", "terms", "sizes"))
-    return Index(postings, maxima.drop("docs"), terms, sizes)
+    return Index(postings, maxima.drop("docs"), terms, sizes.drop("words"))
 
 
 def _scored(asked: DataFrame, goals: DataFrame, index: Index) -> DataFrame:

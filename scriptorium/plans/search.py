@@ -17,8 +17,8 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten best documents for each benchmark item, from an inverted index with blocks small enough to be pruned here."""
-    index = sparse.build(table(spark, sf, "documents"), block_docs=64)
+    """The ten best documents for each benchmark item, from an inverted index."""
+    index = sparse.build(fixtures.documents(spark, sf))
     return sparse.bm25(index, _items(spark, sf), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
@@ -30,7 +30,7 @@ def letters(text: str) -> F.Column:
 
 def fused_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Fifty sparse and fifty dense hits for each benchmark item, fused by reciprocal rank."""
-    docs = table(spark, sf, "documents")
+    docs = fixtures.documents(spark, sf)
     hits = sparse.bm25(sparse.build(docs), _items(spark, sf), 50)
     dense = retrieval.top_k(docs.select("doc_id", letters("text").alias("embedding")), _items(spark, sf).select("query_id", letters("text").alias("vector")), 50, id_col="doc_id")
     both = [hits, dense.withColumnRenamed("vec_id", "doc_id")]
