@@ -64,7 +64,8 @@ def boundary_pairs(chunks: DataFrame, partition: list[str], order: list[str], te
     Pairs in which either is below 20 characters are left out. ``partition`` may be constant to cross papers.
     """
     window = Window.partitionBy(*partition).orderBy(*order)
-    cut = lambda c: F.filter(F.transform(F.split(c, r"(?U)[.!?]+\s+"), F.trim), lambda s: s != "")
+    # Not F.trim itself: a function of two parameters gets a sentence's place as well, and would trim its digits.
+    cut = lambda c: F.filter(F.transform(F.split(c, r"(?U)[.!?]+\s+"), lambda s: F.trim(s)), lambda s: s != "")
     sentences = chunks.select(*partition, *order, cut(F.col(text_col)).alias("_s"))
     ends = sentences.select(*partition, *order, F.try_element_at("_s", F.lit(-1)).alias("last"), F.get("_s", F.lit(0)).alias("_first"))
     paired = ends.withColumn("first", F.lead("_first").over(window)).drop("_first")
