@@ -33,7 +33,12 @@ def parse_works(pages: DataFrame, json_col: str = "json") -> DataFrame:
     parsed = F.from_json(json_col, WORK_SCHEMA, {"mode": "PERMISSIVE"})
     status = F.col("work.open_access.oa_status")
     good = F.col("work.id").isNotNull() & F.col("work.open_access").isNotNull() & (status.isNull() | status.isin(OA_STATUSES))
-    return pages.withColumn("work", parsed).withColumn("rejected", ~F.coalesce(good, F.lit(False)))
+    return pages.withColumn("work", _once(parsed)).withColumn("rejected", ~F.coalesce(good, F.lit(False)))
+
+
+def _once(value: Column) -> Column:
+    """A row's value from a generator: the optimiser copies a projection's expressions into filters and into each later use, not a generator's."""
+    return F.explode(F.array(value))
 
 
 def _nonempty(c: Column) -> Column:
@@ -75,7 +80,8 @@ def _location_columns(location: Column, prefix: str) -> dict[str, Column]:
 
 def flatten(works: DataFrame, work_col: str = "work", full_json: bool = True) -> DataFrame:
     """The flat row of each work: scalars, the first three concepts by place, and lists joined with ``|``."""
-    return works.select(let(F.col(work_col), lambda w: let(F.struct(pdf_urls(w).alias("urls"), author_names(w).alias("names")), lambda x: _flat(w, x["urls"], x["names"], full_json))).alias("_flat")).select("_flat.*")
+    flat = let(F.col(work_col), lambda w: let(F.struct(pdf_urls(w).alias("urls"), author_names(w).alias("names")), lambda x: _flat(w, x["urls"], x["names"], full_json)))
+    return works.select(_once(flat).alias("_flat")).select("_flat.*")
 
 
 def _flat(w: Column, urls: Column, authors: Column, full_json: bool) -> Column:
@@ -117,7 +123,7 @@ def rebuilt(flat: DataFrame) -> DataFrame:
         location("best_oa", F.lit(True)).alias("best_oa_location"), location("primary", c("is_oa")).alias("primary_location"), c("cited_by_count"), c("is_retracted"), c("is_paratext"),
     )
     back = F.from_json(F.to_json(plain), WORK_SCHEMA)
-    return flat.withColumn("work", F.coalesce(F.from_json("full_json", WORK_SCHEMA), F.when(c("id").isNotNull(), back))).where("work IS NOT NULL")
+    return flat.withColumn("work", _once(F.coalesce(F.from_json("full_json", WORK_SCHEMA), F.when(c("id").isNotNull(), back)))).where("work IS NOT NULL")
 
 
 def typed(flat: DataFrame) -> DataFrame:
