@@ -26,15 +26,28 @@ PageModel = Callable[[list[bytes], list[str]], list[str]]
 class HashedWords:
     """Embeds a text as its hashed words' counts, signed and L2-normalised; no words, the zero vector."""
 
+    #: Words whose places are remembered.
+    MOST_WORDS = 200_000
+
     def __init__(self, size: int = 256):
         self.size = size
+        self.places: dict[str, int] = {}
+
+    def _place(self, word: str) -> int:
+        """A word's column, past ``size`` where it counts negative."""
+        if len(self.places) >= self.MOST_WORDS:
+            self.places.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        place = self.places[word] = (h >> 1) % self.size + (0 if h & 1 else self.size)
+        return place
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                h = xxhash.xxh3_64_intdigest(word)
-                row[(h >> 1) % self.size] += 1.0 if h & 1 else -1.0
+            known = self.places.get
+            places = [p if (p := known(word)) is not None else self._place(word) for word in (text or "").lower().split()]
+            counts = np.bincount(np.array(places, np.int64), minlength=2 * self.size)
+            row[:] = counts[: self.size] - counts[self.size :]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 

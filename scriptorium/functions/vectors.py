@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import col
+from .text import col, let
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -21,8 +21,8 @@ def norm(v: Column | str) -> Column:
 
 def normalized(v: Column | str) -> Column:
     """Divided by its Euclidean norm; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(col(v), lambda x: x.cast("double") / n)).otherwise(F.transform(col(v), lambda x: x.cast("double")))
+    divided = lambda n: F.when(n > 0, F.transform(col(v), lambda x: x.cast("double") / n)).otherwise(F.transform(col(v), lambda x: x.cast("double")))
+    return let(norm(v), divided)  # else each element would take the norm anew
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
