@@ -7,15 +7,18 @@ proportions, with words as the units that belong to one language each. Languages
 give nested sets; the set is chosen by likelihood less half the logarithm of the number of words
 for each language after the first, and the prediction is its largest language.
 
-A model has COUNTS numbers at most, whatever the column of languages holds: with more languages each has fewer buckets for its trigrams. The OWN
-languages with most training rows have counts of their own, all rarer ones are pooled by hash in POOLS columns, each named by the
-most frequent of its languages. With more than SCREENED languages, a document's mixture is among those SCREENED that the first step of
-EM, over all languages, gives most of its words.
+A :class:`Model` has COUNTS numbers at most and goes through the driver: with more languages each has fewer buckets for its trigrams. Up to OWN languages
+:func:`fitted` gives one. With more, however many, it gives a :class:`StoredModel`: counts are summed and stored by executors, a row a language, and a task
+lays them out in a file that it maps into memory, so every language keeps counts of its own and can be predicted, and memory is bounded.
+:func:`train` alone pools languages beyond ``own`` by hash in ``pools`` columns, each named by the most frequent of its languages.
+
+A document's mixture is among all languages. With more than TOGETHER of them documents are taken one by one.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,13 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import tidy, words_letters
+from .common import stored, tidy, words_letters
 from .token_output import slices
 
 #: Most buckets for trigram counts of a language, fewest, and numbers in a model: its languages times its buckets.
 BUCKETS, FEWEST, COUNTS = 1 << 16, 1 << 10, 1 << 22
-#: Languages with counts of their own, pools for rarer ones, and the most languages of a document's mixture.
-OWN, POOLS, SCREENED = 1_000, 24, 32
+#: Languages of a model that goes through the driver, pools of :func:`train`, and languages up to which many documents' mixtures are found together.
+OWN, POOLS, TOGETHER = 1_000, 24, 32
+#: Likelihoods of a document that are in memory; more are in a file.
+CELLS = 1 << 24
 SMOOTHING = 0.1
 ITERATIONS = 10
 #: Words whose likelihoods a task remembers, and bytes of text taken at once for four languages.
@@ -48,6 +53,49 @@ class Model:
     languages: list[str]
     log_p: np.ndarray  # (buckets, languages), float32
 
+    def __len__(self) -> int:
+        return len(self.languages)
+
+    def load(self) -> Model:
+        return self
+
+
+def _floats(shape: tuple[int, int]) -> np.ndarray:
+    """Numbers in memory, or above CELLS in a file without a name, which goes with the array."""
+    if shape[0] * shape[1] <= CELLS:
+        return np.empty(shape, np.float32)
+    with tempfile.TemporaryFile() as file:
+        return np.memmap(file, np.float32, "w+", shape=shape)
+
+
+@dataclass(frozen=True)
+class StoredModel:
+    """Counts (lang, buckets, counts) of all languages as Parquet under ``path``, which executors share."""
+
+    path: str
+    size: int
+    buckets: int
+
+    def __len__(self) -> int:
+        return self.size
+
+    def load(self) -> Model:
+        """The model, read by a task. Languages are in the order of their names, as in any other model."""
+        from pyarrow import dataset, fs
+
+        store, path = fs.FileSystem.from_uri(self.path.replace("s3a://", "s3://", 1)) if ":/" in self.path else (fs.LocalFileSystem(), self.path)
+        table = dataset.dataset(path, format="parquet", filesystem=store)
+        languages = sorted(lang for batch in table.to_batches(columns=["lang"]) for lang in batch.column(0).to_pylist())
+        place = {lang: i for i, lang in enumerate(languages)}
+        log_p = _floats((self.buckets, len(languages)))
+        for batch in table.to_batches(batch_size=256, batch_readahead=1, fragment_readahead=1):
+            for lang, buckets, counts in zip(batch["lang"].to_pylist(), batch["buckets"], batch["counts"], strict=True):
+                counts = counts.values.to_numpy()
+                whole = counts.sum() + SMOOTHING * self.buckets
+                log_p[:, place[lang]] = np.log(SMOOTHING / whole)
+                log_p[buckets.values.to_numpy(), place[lang]] = np.log((counts + SMOOTHING) / whole)
+        return Model(languages, log_p)
+
 
 def buckets_for(languages: int) -> int:
     """Buckets (a power of two) for each of so many languages."""
@@ -79,44 +127,57 @@ def columns_of(rows: DataFrame, own: int, pools: int) -> tuple[DataFrame, list[s
     return rows.join(F.broadcast(table), "lang", "left").select(F.coalesce("at", of_pool).alias("at"), "text"), names + [lang for _, lang in pooled]
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", own: int = OWN, pools: int = POOLS) -> Model:
-    """A model from all rows with a language and a text, however many languages there are.
+def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of the rows that have both."""
+    return docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
-    Texts are counted where they are, and counts are summed by language and bucket; the driver gets the sums, COUNTS at most.
+
+def _counted(placed: DataFrame, buckets: int) -> DataFrame:
+    """(at, bucket, n): trigrams of the texts by bucket, for each value of a first column ``at`` of any type.
+
+    A task holds a bounded number of words and gives sums of them, so many languages don't fill its memory.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    placed, languages = columns_of(rows, own, pools)
-    buckets = buckets_for(len(languages))
+    kind = placed.schema["at"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, Counter] = {}
-        totals: dict[int, np.ndarray] = {}
+        words: dict[int | str, Counter] = {}
         held = 0
 
-        def flush() -> None:
+        def flush(at_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             for at, seen in words.items():
-                if seen:
-                    bucket, size = trigrams(list(seen), buckets)
-                    weight = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), size)
-                    total = totals.setdefault(at, np.zeros(buckets, np.int64))
-                    total += np.bincount(bucket, weights=weight, minlength=buckets).astype(np.int64)
+                bucket, size = trigrams(list(seen), buckets) if seen else (np.zeros(1, np.int64), [1])
+                weight = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), size) if seen else np.zeros(1, np.int64)
+                total = np.bincount(bucket, weights=weight, minlength=buckets).astype(np.int64)
+                bucket = np.flatnonzero(total) if seen else bucket  # a language without words is a language
+                yield pa.RecordBatch.from_arrays([pa.array([at], at_type).take(pa.array(np.zeros(len(bucket), np.int64))), pa.array(bucket, pa.int32()), pa.array(total[bucket], pa.int64())], ["at", "bucket", "n"])
             words.clear()
 
+        at_type = pa.string()
         for batch in batches:
+            at_type = batch.column(0).type
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 seen = words.setdefault(at, Counter())
                 held -= len(seen)
                 seen.update(words_letters(text.as_py()))
                 held += len(seen)
-                if held > 2 * MOST_WORDS:
-                    flush()
+                if held + len(words) > 2 * MOST_WORDS:
+                    yield from flush(at_type)
                     held = 0
-        flush()
-        for at, total in totals.items():
-            bucket = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), at), pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[bucket], pa.int64())], ["at", "bucket", "n"])
+        yield from flush(at_type)
 
-    counts = placed.mapInArrow(tidy(count), "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    return placed.mapInArrow(tidy(count), f"at {kind}, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", own: int = OWN, pools: int = POOLS) -> Model:
+    """A model from all rows with a language and a text, however many languages there are; beyond ``own`` they are pooled.
+
+    Texts are counted where they are, and counts are summed by language and bucket; the driver gets the sums, COUNTS at most.
+    """
+    rows = _rows(docs, text_col, lang_col)
+    placed, languages = columns_of(rows, own, pools)
+    buckets = buckets_for(len(languages))
+
+    counts = _counted(placed, buckets).toArrow()
     table = np.zeros((buckets, len(languages)))
     table[counts["bucket"].to_numpy(), counts["at"].to_numpy()] = counts["n"].to_numpy()
     table += SMOOTHING
@@ -124,6 +185,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", own:
     return Model(languages, np.log(table).astype(np.float32))
 
 
+def fitted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", own: int = OWN) -> Model | StoredModel:
+    """A model in which every language of the rows with a text has counts of its own, however many languages there are."""
+    rows = _rows(docs, text_col, lang_col)
+    languages = rows.select("lang").distinct().count()
+    if languages <= own:
+        return train(docs, text_col, lang_col, own)
+    buckets = buckets_for(languages)
+    each = _counted(rows.select(F.col("lang").alias("at"), "text"), buckets).groupBy(F.col("at").alias("lang")).agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
+    table = stored(each.select("lang", F.col("c.bucket").alias("buckets"), F.col("c.n").alias("counts")), "languages")
+    return StoredModel(table.inputFiles()[0].rpartition("/")[0], languages, buckets)
+
+
 class WordLikelihoods(dict):
     """word -> row of ``rows``: its likelihood in each language, over the largest of them."""
 
@@ -189,33 +262,52 @@ def mixtures(likelihood: np.ndarray, size: np.ndarray) -> np.ndarray:
     return best
 
 
-def screened(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The SCREENED languages that have most of a document's words by one step of EM over all, and the words' likelihoods in these.
+def mixture_of_all(model: Model, words: list[bytes]) -> np.ndarray:
+    """One document's proportions of the chosen language set, as :func:`mixtures` has them, for any number of languages.
 
-    Words are taken in pieces, so memory is bounded by the words times SCREENED.
+    Distinct words are taken in pieces, and their likelihoods are in a file if they are many, so memory is bounded. No set is larger than those that can
+    be better: likelihoods are 1 at most, so a set's score is at most what it loses for its size.
     """
     seen = Counter(words)
-    distinct, times = list(seen), np.fromiter(seen.values(), np.float32, len(seen))
-    step = max(1, COUNTS // 8 // len(model.languages))
-    pieces = [slice(at, at + step) for at in range(0, len(distinct), step)]
-
-    def log_p(piece: slice, columns) -> np.ndarray:
-        bucket, size = trigrams(distinct[piece], len(model.log_p))
-        return np.add.reduceat(model.log_p[bucket][:, columns], np.cumsum(size) - size)
-
-    share = np.zeros(len(model.languages))
-    for piece in pieces:
-        p = log_p(piece, slice(None))
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        share += times[piece] @ (p / p.sum(axis=1, keepdims=True))
-    best = np.sort(np.argsort(-share, kind="stable")[:SCREENED])
-    chosen = np.concatenate([log_p(piece, best) for piece in pieces])
-    chosen = np.maximum(np.exp(chosen - chosen.max(axis=1, keepdims=True)), np.float32(1e-30))
-    number = {w: i for i, w in enumerate(distinct)}
-    return best, chosen[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
-
-
-def predict(docs: DataFrame, model: Model, keep: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    distinct, times, n = list(seen), np.fromiter(seen.values(), np.float32, len(seen)), len(words)
+    step = max(1, COUNTS // 8 // len(model))
+    likelihood = _floats((len(distinct), len(model)))
+    for at in range(0, len(distinct), step):
+        bucket, size = trigrams(distinct[at : at + step], len(model.log_p))
+        part = np.add.reduceat(model.log_p[bucket], np.cumsum(size) - size)
+        likelihood[at : at + step] = np.maximum(np.exp(part - part.max(axis=1, keepdims=True)), np.float32(1e-30))
+
+    def maximise(columns, count: int) -> tuple[np.ndarray, float]:
+        share = np.full(count, 1 / count, np.float32)
+        wide = max(1, COUNTS // count)
+        pieces = [slice(at, at + wide) for at in range(0, len(distinct), wide)]
+        own = likelihood[:, columns] if len(pieces) == 1 else None
+        of = lambda piece: own if own is not None else likelihood[piece, columns]
+        for _ in range(ITERATIONS):
+            new = np.zeros(count)
+            for piece in pieces:
+                part = of(piece)
+                new += (times[piece] / (part @ share)) @ part
+            share = (share * new / n).astype(np.float32)
+        return share, float(sum(times[piece].astype(np.float64) @ np.log(np.maximum(of(piece) @ share, np.float32(1e-35))) for piece in pieces))
+
+    share, _ = maximise(slice(None), len(model))
+    order = np.argsort(-share, kind="stable")
+    chosen, best = order[:1], np.ones(1, np.float32)
+    score = float(times.astype(np.float64) @ np.log(likelihood[:, order[0]]))
+    for k in range(2, len(model) + 1):
+        loss = 0.5 * (k - 1) * np.log(n)
+        if share[order[k - 1]] * n <= 0.25 or 1e-5 * n - loss <= score:
+            break
+        part, fit = maximise(order[:k], k)
+        if fit - loss > score:
+            chosen, best, score = order[:k], part, fit - loss
+    out = np.zeros(len(model), np.float32)
+    out[chosen] = best
+    return out
+
+
+def predict(docs: DataFrame, model: Model | StoredModel, keep: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and lang_pred, score and languages (array of lang and share, largest first).
 
     lang_pred is the largest language of the mixture, score its share. Texts that are null or have no letter,
@@ -224,9 +316,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = (), id_col: str = "
     """
     keep = list(keep)
     fields = [docs.schema[c] for c in keep]
-    n_langs = len(model.languages)
+    given, n_langs = model, len(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = given.load()
         likelihoods = WordLikelihoods(model)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
@@ -237,10 +330,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = (), id_col: str = "
                 words = [words_letters(t) if n_langs and has_letter(t) else [] for t in raw]
                 size = np.fromiter(map(len, words), np.int64, len(words))
                 share = np.zeros((len(words), n_langs), np.float32)
-                if n_langs > SCREENED:
+                if n_langs > TOGETHER:
                     for i in np.flatnonzero(size).tolist():
-                        columns, likelihood = screened(model, words[i])
-                        share[i, columns] = mixtures(likelihood, size[i : i + 1])[0]
+                        share[i] = mixture_of_all(model, words[i])
                 elif size.any():
                     share[size > 0] = mixtures(likelihoods.of(words), size[size > 0])
                 for row, n in zip(share, size, strict=True):
@@ -267,6 +359,6 @@ def identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     learned from, but judged. Null texts and texts without a letter go. Where no row has a language nothing can be told and all rows
     go; an empty table stays empty. Columns may have any names.
     """
-    model = train(docs.where(~held_out()))
+    model = fitted(docs.where(~held_out()))
     found = predict(docs, model, [*docs.columns])
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)

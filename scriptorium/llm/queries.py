@@ -54,7 +54,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(langid.held_out(), F.lit(False))
-    model = langid.train(docs.where(~langid.held_out()))
+    model = langid.fitted(docs.where(~langid.held_out()))
     return langid.predict(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
