@@ -38,8 +38,8 @@ OWN, POOLS, TOGETHER = 1_000, 24, 32
 CELLS = 1 << 24
 SMOOTHING = 0.1
 ITERATIONS = 10
-#: Words whose likelihoods a task remembers, and bytes of text taken at once for four languages.
-MOST_WORDS, SLICE_BYTES = 200_000, 4_000_000
+#: Words whose likelihoods a task remembers, bytes of text taken at once for four languages, and for any number of them.
+MOST_WORDS, SLICE_BYTES, MOST_BYTES = 200_000, 4_000_000, 1_000_000
 ASCII_LETTER = re.compile(rb"[A-Za-z]").search
 
 
@@ -312,9 +312,11 @@ def predict(docs: DataFrame, model: Model | StoredModel, keep: list[str] = (), i
 
     lang_pred is the largest language of the mixture, score its share. Texts that are null or have no letter,
     and all texts where the model has no language, get ``und``, score 0 and no languages. Rows are
-    independent: ids may be null or repeat, an empty table gives no rows, and other columns are not read.
+    independent: ids may be null or repeat, an empty table gives no rows, and other columns are not read. A text goes to a worker
+    once, kept or not, and rows come back a slice at a time, so a worker holds one Arrow batch and one slice's words.
     """
     keep = list(keep)
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
     fields = [docs.schema[c] for c in keep]
     given, n_langs = model, len(model)
 
@@ -322,11 +324,10 @@ def predict(docs: DataFrame, model: Model | StoredModel, keep: list[str] = (), i
         model = given.load()
         likelihoods = WordLikelihoods(model)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            pred, score, mixes = [], [], []
-            for at, length in slices(texts, max(1, SLICE_BYTES * 4 // max(4, n_langs))):
-                part = texts.slice(at, length)
-                raw = [t.as_py() or b"" for t in part.cast(pa.binary())]
+            for at, length in slices(batch.column(text_at), max(1, min(MOST_BYTES, SLICE_BYTES * 4 // max(4, n_langs)))):
+                rows = batch.slice(at, length)
+                pred, score, mixes = [], [], []
+                raw = [t.as_py() or b"" for t in rows.column(text_at).cast(pa.binary())]
                 words = [words_letters(t) if n_langs and has_letter(t) else [] for t in raw]
                 size = np.fromiter(map(len, words), np.int64, len(words))
                 share = np.zeros((len(words), n_langs), np.float32)
@@ -340,11 +341,11 @@ def predict(docs: DataFrame, model: Model | StoredModel, keep: list[str] = (), i
                     mixes.append([{"lang": model.languages[i], "share": float(row[i])} for i in order])
                     pred.append(mixes[-1][0]["lang"] if mixes[-1] else "und")
                     score.append(min(1.0, mixes[-1][0]["share"]) if mixes[-1] else 0.0)
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, kind)], [*keep, "lang_pred", "score", "languages"])
+                kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, kind)], [*keep, "lang_pred", "score", "languages"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, languages array<struct<lang:string,share:double>>"])
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(tidy(run), schema)
+    return docs.select(*keep, *([F.col(text_col).alias("_text")] if text_at == len(keep) else [])).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

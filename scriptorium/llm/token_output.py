@@ -61,6 +61,15 @@ def scaled(counts: np.ndarray, bits: int) -> np.ndarray:
     return freq
 
 
+def _counts(ids: np.ndarray) -> np.ndarray:
+    """How often each id occurs; in pieces, as NumPy counts a copy in long."""
+    counts = np.zeros(int(ids.max()) + 1, np.int64)
+    for at in range(0, len(ids), 1 << 18):
+        piece = np.bincount(ids[at : at + (1 << 18)])
+        counts[: len(piece)] += piece
+    return counts
+
+
 def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A segment of ``ids``; ``lengths`` are the documents' numbers of ids. No ids: an empty segment."""
     n = len(ids)
@@ -68,7 +77,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     if n == 0:
         body = packed_lengths
         return MAGIC + HEADER.pack(0, 0, 0, 0, 0, 0, len(packed_lengths), zlib.crc32(body)) + body
-    counts = np.bincount(ids)
+    counts = _counts(ids)
     symbols = np.flatnonzero(counts)
     bits = max(16, int(len(symbols)).bit_length() + 2)
     freq = scaled(counts[symbols].astype(np.float64), bits)
@@ -79,9 +88,14 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
 
     steps = min(STEPS, -(-n // LANES))
     blocks = -(-n // (steps * LANES))
-    padded = np.full(blocks * steps * LANES, symbols[np.argmax(freq)], np.int32)
-    padded[:n] = ids
-    grid = np.ascontiguousarray(padded.reshape(blocks, steps, LANES).swapaxes(0, 1)).reshape(steps, -1)
+    grid = np.empty((steps, blocks, LANES), np.int32)
+    whole = n // (steps * LANES)
+    grid[:, :whole] = ids[: whole * steps * LANES].reshape(whole, steps, LANES).swapaxes(0, 1)
+    if whole < blocks:  # the last block is padded
+        last = np.full(steps * LANES, symbols[np.argmax(freq)], np.int32)
+        last[: n - whole * steps * LANES] = ids[whole * steps * LANES :]
+        grid[:, whole] = last.reshape(steps, LANES)
+    grid = grid.reshape(steps, -1)
     state = np.full(blocks * LANES, LOW, np.uint64)
     shift, scale, word = np.uint64(63 - bits), np.uint64(bits), np.uint64(32)
     words: list[np.ndarray] = []
@@ -92,7 +106,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         full = np.flatnonzero(state >= f << shift)
         overflow = state.take(full)
         words.append(overflow.astype(np.uint32))
-        owners.append(full // LANES)
+        owners.append((full // LANES).astype(np.int32))
         state[full] = overflow >> word
         np.floor_divide(state, f, out=q)
         f *= q
@@ -100,10 +114,12 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
         state += low.take(row)
         q <<= scale
         state += q
-    owner = np.concatenate(owners[::-1])
-    stream = np.concatenate(words[::-1])[np.argsort(owner, kind="stable")]
+    del grid
+    owner, stream = np.concatenate(owners[::-1]), np.concatenate(words[::-1])
+    del owners, words
+    stream = stream[np.argsort(owner, kind="stable")]
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))])
-    as_bytes = ids.astype("<u4")
+    as_bytes = ids.astype("<u4", copy=False)
     checks = [zlib.crc32(as_bytes[i : i + steps * LANES]) for i in range(0, n, steps * LANES)]
     table = zlib.compress(
         struct.pack("<I", len(symbols)) + np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1
@@ -128,7 +144,7 @@ def decode(data: bytes, only: list[int] | None = None) -> tuple[np.ndarray, np.n
         return np.empty(0, np.int64), lengths
     table = zlib.decompress(view[:n_table])
     (m,) = struct.unpack_from("<I", table)
-    symbols = np.cumsum(np.frombuffer(table, "<u4", m, 4).astype(np.int64))
+    symbols = np.cumsum(np.frombuffer(table, "<u4", m, 4), dtype=np.uint32)
     freq = np.frombuffer(table, "<u4", m, 4 + 4 * m).astype(np.int64)
     at = n_table + n_lengths
     state = np.frombuffer(view, "<u8", blocks * lanes, at).reshape(blocks, lanes).astype(np.uint64)
@@ -156,13 +172,15 @@ def decode(data: bytes, only: list[int] | None = None) -> tuple[np.ndarray, np.n
         place = (ptr - np.cumsum(count) + count).take(owner) + np.arange(len(need))
         state[need] = (state.take(need) << word) | stream.take(place)
         ptr += count
-    ids = symbols[out.reshape(steps, len(chosen), lanes).swapaxes(0, 1).reshape(len(chosen), -1)]
+    out = out.reshape(steps, len(chosen), lanes).swapaxes(0, 1).reshape(len(chosen), -1)
+    ids = symbols[out]
+    del out, stream
     size = steps * lanes
     parts = [row[: min(size, n - b * size)] for b, row in zip(chosen.tolist(), ids, strict=True)]
     for b, row in zip(chosen.tolist(), parts, strict=True):
-        if zlib.crc32(row.astype("<u4")) != checks[b]:
+        if zlib.crc32(row.astype("<u4", copy=False)) != checks[b]:
             raise ValueError(f"the checksum of block {b} differs")
-    return np.concatenate(parts), lengths
+    return ids.reshape(-1)[:n] if only is None else np.concatenate(parts), lengths
 
 
 #: UTF-8 byte -> character in byte-level BPE: printable Latin-1 bytes stand for themselves, others for 256, 257, ...
@@ -207,7 +225,7 @@ class WordTokens(dict):
     goes through the whole tokenizer. Both memories forget all at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         super().__init__()
         import re
 
@@ -296,6 +314,7 @@ def word_tokens(path: str) -> WordTokens:
 def segment(part: int, number: int, start: int, ids: list[np.ndarray], sizes: list[np.ndarray], doc_ids: list[pa.Array]) -> pa.RecordBatch:
     """A row of the table of segments."""
     flat, lengths = np.concatenate(ids), np.concatenate(sizes)
+    ids.clear()  # they are all in ``flat``
     keys = pa.concat_arrays(doc_ids)
     return pa.RecordBatch.from_arrays(
         [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([len(flat)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([encode(flat, lengths)], pa.binary())],
@@ -373,7 +392,7 @@ def document_index(segments: DataFrame) -> DataFrame:
             for start, doc_ids, data in zip(*(batch.column(i) for i in range(3)), strict=True):
                 ids, lengths = decode(data.as_py())
                 ends = np.cumsum(lengths)
-                raw = memoryview(ids.astype("<u4")).cast("B")
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids.as_py(), pa.int64()), pa.array(ends - lengths + start.as_py(), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())],
