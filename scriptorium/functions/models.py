@@ -8,6 +8,7 @@ worker. :func:`retrying` and :func:`halving` give a remote model patience, :func
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -184,6 +185,17 @@ def sentence_coherence(sentences: Column | str, model: Callable[[], Embedder] =
     return run(F.col(sentences) if isinstance(sentences, str) else sentences)
 
 
+def row_dots(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from left to right with one rounding for each product and its sum.
+
+    So does DuckDB's ``list_dot_product``; numpy rounds twice, and a cosine's last bit decides where rounding to some places is nearly a tie.
+    """
+    dots = [0.0] * len(u)
+    for a, b in zip(u.T.tolist(), v.T.tolist(), strict=True):
+        dots = list(map(math.fma, a, b, dots))
+    return np.array(dots, float)
+
+
 def text_cosine(a: Column | str, b: Column | str, model: Callable[[], Embedder] = HashedWords) -> Column:
     """Cosine of two texts' embeddings; null where either is zero."""
 
@@ -196,8 +208,7 @@ def text_cosine(a: Column | str, b: Column | str, model: Callable[[], Embedder]
                 continue
             unit = _unit_rows(left.fillna("").tolist() + right.fillna("").tolist(), call)
             u, v = unit[: len(left)], unit[len(left) :]
-            dots = (u * v).sum(axis=1)
-            yield pd.Series(np.where((u != 0).any(1) & (v != 0).any(1), dots, np.nan), index=left.index)
+            yield pd.Series(np.where((u != 0).any(1) & (v != 0).any(1), row_dots(u, v), np.nan), index=left.index)
 
     return run(*(F.col(c) if isinstance(c, str) else c for c in (a, b)))
 

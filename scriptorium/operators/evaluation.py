@@ -58,23 +58,27 @@ def coherence(chunks: DataFrame, model: Callable = HashedWords, text_col: str =
     return chunks.withColumn("coherence", sentence_coherence(long_sentences(text_col), model, least))
 
 
-def boundary_pairs(chunks: DataFrame, partition: list[str], order: list[str], text_col: str = "text") -> DataFrame:
+def boundary_sentences(text: Column) -> Column:
+    """Non-empty pieces between runs of ``.!?`` with Unicode's white space after, without spaces at either end."""
+    # Not F.trim itself: a function of two parameters gets a sentence's place as well, and would trim its digits.
+    return F.filter(F.transform(F.split(text, r"(?U)[.!?]+\s+"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def boundary_pairs(chunks: DataFrame, partition: list[str], order: list[str], text_col: str = "text", cut: Callable[[Column], Column] = boundary_sentences) -> DataFrame:
     """(partition, order, last, first): the last sentence of each chunk and the first of the next one of its paper.
 
-    Pairs in which either is below 20 characters are left out. ``partition`` may be constant to cross papers.
+    Pairs in which either is below 20 characters are left out. ``partition`` may be constant to cross papers; ``cut`` gives a text's sentences.
     """
     window = Window.partitionBy(*partition).orderBy(*order)
-    # Not F.trim itself: a function of two parameters gets a sentence's place as well, and would trim its digits.
-    cut = lambda c: F.filter(F.transform(F.split(c, r"(?U)[.!?]+\s+"), lambda s: F.trim(s)), lambda s: s != "")
     sentences = chunks.select(*partition, *order, cut(F.col(text_col)).alias("_s"))
     ends = sentences.select(*partition, *order, F.try_element_at("_s", F.lit(-1)).alias("last"), F.get("_s", F.lit(0)).alias("_first"))
     paired = ends.withColumn("first", F.lead("_first").over(window)).drop("_first")
     return paired.where((F.length("last") >= 20) & (F.length("first") >= 20))
 
 
-def boundary_quality(chunks: DataFrame, partition: list[str], order: list[str], model: Callable = HashedWords, text_col: str = "text") -> DataFrame:
+def boundary_quality(chunks: DataFrame, partition: list[str], order: list[str], model: Callable = HashedWords, text_col: str = "text", cut: Callable[[Column], Column] = boundary_sentences) -> DataFrame:
     """:func:`boundary_pairs` with their cosine ``boundary``; lower is better. All pairs are scored, none sampled."""
-    pairs = boundary_pairs(chunks, partition, order, text_col)
+    pairs = boundary_pairs(chunks, partition, order, text_col, cut)
     return pairs.withColumn("boundary", F.nanvl(text_cosine("last", "first", model), F.lit(None)))
 
 
